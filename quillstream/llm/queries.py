@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import text_form
+from quillstream.llm import encoding, text_form
 from quillstream.session import read_table
 
 
@@ -19,6 +19,16 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("skeleton", "value", text_form.consistent_col(groups["value"]).alias("form"), "n_rows", "n_values")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that show characters of a wrong decoding."""
+    return encoding.garbled(read_table(spark, sf_dir, "documents"))
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents with their text restored where possible."""
+    return encoding.restored(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     """All queries of this subpackage."""
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
