@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import encoding, text_form
+from quillstream.llm import encode, encoding, text_form
 from quillstream.session import read_table
 
 
@@ -19,6 +19,11 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("skeleton", "value", text_form.consistent_col(groups["value"]).alias("form"), "n_rows", "n_values")
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k, without special tokens."""
+    return encode.token_ids(read_table(spark, sf_dir, "documents"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that show characters of a wrong decoding."""
     return encoding.garbled(read_table(spark, sf_dir, "documents"))
