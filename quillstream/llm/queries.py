@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillstream.llm import encode, encoding, text_form
+from quillstream.llm import encode, encoding, leaks, text_form
 from quillstream.session import read_table
 
 
@@ -24,6 +25,20 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.token_ids(read_table(spark, sf_dir, "documents"))
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the items of which they hold at least 12 consecutive words."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each leaked item was found, how much of it, and how often with its answer."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("run").alias("longest_run"), F.count_if("answer").alias("n_with_answer"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that show characters of a wrong decoding."""
     return encoding.garbled(read_table(spark, sf_dir, "documents"))
