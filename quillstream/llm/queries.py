@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import encode, encoding, leaks, text_form
+from quillstream.llm import encode, encoding, leaks, near_copies, text_form
 from quillstream.session import read_table
 
 
@@ -20,6 +20,16 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("skeleton", "value", text_form.consistent_col(groups["value"]).alias("form"), "n_rows", "n_values")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of posts whose texts have a similarity of at least 0.5."""
+    return near_copies.pairs(read_table(spark, sf_dir, "stack"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of equal texts of every post and the number of similar classes."""
+    return near_copies.groups(read_table(spark, sf_dir, "stack"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k, without special tokens."""
     return encode.token_ids(read_table(spark, sf_dir, "documents"))
