@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import encode, encoding, leaks, near_copies, text_form
+from quillstream.llm import encode, encoding, leaks, near_copies, personal, text_form
 from quillstream.session import read_table
 
 
@@ -30,6 +30,16 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.groups(read_table(spark, sf_dir, "stack"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of personal data in each post."""
+    return personal.found(read_table(spark, sf_dir, "stack")).select("seq", "kind").distinct()
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every post with its personal data replaced by typed placeholders."""
+    return personal.redacted(read_table(spark, sf_dir, "stack"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k, without special tokens."""
     return encode.token_ids(read_table(spark, sf_dir, "documents"))
