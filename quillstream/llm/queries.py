@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import encode, encoding, leaks, near_copies, personal, text_form
+from quillstream.llm import cut_texts, encode, encoding, leaks, near_copies, personal, text_form
 from quillstream.session import read_table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts whose text was cut off."""
+    return cut_texts.cut_off(read_table(spark, sf_dir, "stack")).select("seq")
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each platform cuts texts."""
+    return cut_texts.rates(read_table(spark, sf_dir, "stack"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of stack.text and stack.authorName that aren't in the consistent form."""
     return text_form.inconsistent_values(read_table(spark, sf_dir, "stack"), "seq", ["text", "authorName"]).select("seq", "field")
