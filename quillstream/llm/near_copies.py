@@ -2,22 +2,23 @@
 
 Similarity is the Jaccard index of the sets of runs of three words, of the consistent form in lower case.
 
-1. Equal texts fall into one class; a class is known by the hash of its words and its least key.
-2. Each class gets minhashes of its runs. Bands of `ROWS` minhashes, joined on their hash, give the candidate
-   pairs; with `BANDS` bands a pair of similarity 0.5 is met with probability 0.92, of 0.6 with 0.996.
+1. One pass over the texts gives each its class (a 128-bit hash of its words), its minhashes in bands and its
+   fingerprint. Equal texts are combined to one class, known by its least key, before the shuffle.
+2. Bands of `ROWS` minhashes, joined on their hash, give the candidate pairs; with `BANDS` bands a pair of
+   similarity 0.5 is met with probability 0.92, of 0.55 with 0.98, of 0.6 with 0.996, of 0.7 with 0.99999.
 3. Pivot distance tables: every class has a fingerprint, `BITS` bits from each minhash, and a table of its Hamming
-   distances to `PIVOTS` reference fingerprints. A candidate pair is discarded if a coordinate of the
-   tables differs by more than the greatest distance that copies can have (five standard deviations beyond
-   the expectation at the threshold), then if the fingerprints themselves lie farther apart.
-4. Survivors are verified exactly on their words.
-
-Only step 1 and step 4 move words: step 4 those of the survivors. A text or band shared by a third of all rows
-is no single task's group: classes are combined before the shuffle, and bands meet in a join that splits
-skewed partitions.
+   distances to `PIVOTS` reference fingerprints. A candidate pair is discarded if a coordinate of the tables
+   differs by more than the greatest distance that copies can have (five standard deviations beyond the
+   expectation at the threshold), then if the fingerprints themselves lie farther apart.
+4. Survivors are verified exactly on their words, which are read again for them alone.
+
+Texts are never shuffled, only hashes are. A text or band shared by a third of all rows is no single task's
+group: classes are combined before the shuffle, and bands meet in a join that splits skewed partitions.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.text_form import consistent_col
+from quillstream.llm.bitmap import bitmap, has
+from quillstream.llm.text_form import consistent
 from quillstream.session import cut
 
 RUN, THRESHOLD = 3, 0.5
 BANDS, ROWS, BITS, PIVOTS = 40, 4, 3, 16
 N_HASHES = BANDS * ROWS
+_WORD = re.compile(r"[^\W_]+")
 #: Greatest Hamming distance of fingerprints of copies: expectation at the threshold and five deviations.
 _MEAN = N_HASHES * (1 - THRESHOLD) * BITS / 2
 _VAR = N_HASHES * ((1 - THRESHOLD) * (BITS / 4 + BITS**2 / 4) - ((1 - THRESHOLD) * BITS / 2) ** 2)
@@ -39,23 +42,14 @@ FARTHEST = int(_MEAN + 5 * _VAR**0.5)
 _LONGS = -(-N_HASHES * BITS // 64)
 
 
-def plain(col: Column) -> Column:
-    """The text's words in the consistent form and lower case, joined by spaces; texts without words as they are."""
-    low = F.lower(consistent_col(col))
-    words = F.trim(F.regexp_replace(low, "[^\\p{L}\\p{N}]+", " "))
-    return F.when(words == "", F.concat(F.lit("\u0000"), F.trim(low))).otherwise(words)
-
-
-def classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(members, representatives): rows (key, class) and one row (class, words) for each different text.
-
-    Null, empty and blank texts are left out. The class is the least key of its rows.
-    """
-    rows = df.select(F.col(key), F.col(text).alias("text")).where(F.trim(F.regexp_replace("text", "\\s+", " ")) != "")
-    rows = rows.select(key, plain(F.col("text")).alias("words")).withColumn("hash", F.xxhash64("words"))
-    rows = rows.withColumn("hash2", F.xxhash64(F.lit(7), "words"))
-    reps = rows.groupBy("hash", "hash2").agg(F.min(F.col(key)).alias("class"), F.first("words").alias("words"))
-    return rows.select(key, "hash", "hash2"), reps
+def plain(text: str | None) -> str:
+    """The text's words in the consistent form and lower case, joined by spaces; a text without words is kept
+    behind a zero character; null and blank texts give an empty string."""
+    if not text:
+        return ""
+    low = consistent(text).lower()
+    words = _WORD.findall(low)
+    return " ".join(words) if words else "\0" + low.strip() if low.strip() else ""
 
 
 def _mixers() -> tuple[np.ndarray, np.ndarray]:
@@ -134,48 +128,86 @@ def pivot_table(prints: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count(prints ^ p).sum(axis=1) for p in pivots()], axis=1).astype(np.int16)
 
 
+def _class_hash(words: list[str]) -> tuple[pa.Array, pa.Array]:
+    h = np.frombuffer(b"".join(xxhash.xxh128_digest(w) for w in words), ">u8").reshape(-1, 2).astype(np.uint64).view(np.int64)
+    return pa.array(h[:, 0]), pa.array(h[:, 1])
+
+
+def _class_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) to (key, h1, h2) of every text."""
+    for b in batches:
+        words = [plain(t) for t in b.column(1).to_pylist()]
+        at = [k for k, w in enumerate(words) if w]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *_class_hash([words[k] for k in at])], names=["key", "h1", "h2"])
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) to (key, h1, h2, bands, print, pivots) of every text with at least one run."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 2000):
             b = batch.slice(lo, 2000)
-            m, at = sketches(b.column(1).to_pylist())
+            words = [plain(t) for t in b.column(1).to_pylist()]
+            m, at = sketches(words)
             with np.errstate(over="ignore"):
                 mul = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
                 m64 = m.astype(np.uint64).reshape(len(at), BANDS, ROWS) + np.uint64(1)
-                keys = np.bitwise_xor.reduce(m64 * mul[:ROWS], axis=2) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                keys = np.bitwise_xor.reduce(m64 * mul[:ROWS], axis=2)
                 keys ^= keys >> np.uint64(32)
-                keys *= np.uint64(0xD6E8FEB86659FD93)
+                keys = (keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
             f = fingerprints(m)
             t = pivot_table(f)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS), pa.array(keys.astype(np.uint32).view(np.int32).reshape(-1)))
+            longs = [pa.array(f[:, k].view(np.int64)) for k in range(_LONGS)]
+            packed = [pa.array(np.ascontiguousarray(t[:, 4 * k : 4 * k + 4]).view(np.int64).reshape(-1)) for k in range(PIVOTS // 4)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *_class_hash([words[k] for k in at]), bands, *longs, *packed], names=["key", "h1", "h2", "bands", *_PRINT, *_TABLE])
 
-            def lists(x: np.ndarray, kind) -> pa.Array:
-                return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).reshape(-1), kind))
 
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), lists(keys.view(np.int64), pa.int64()), lists(f.view(np.int64), pa.int64()), lists(t, pa.int16())], names=["class", "bands", "print", "pivots"])
+_PRINT = [f"p{k}" for k in range(_LONGS)]
+_TABLE = [f"t{k}" for k in range(PIVOTS // 4)]
 
 
-def _similar(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+def _members(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows (key, h1, h2) of every text."""
+    return rows.mapInArrow(_class_batches, f"key {kind}, h1 long, h2 long")
+
+
+def candidates(rows: DataFrame, kind: str) -> DataFrame:
+    """Pairs (a, b) of classes, a < b, that share a band and pass the pivot tables and the fingerprints."""
+    sk = rows.mapInArrow(_sketch_batches, f"key {kind}, h1 long, h2 long, bands array<int>, " + ", ".join(f"{c} long" for c in _PRINT + _TABLE))
+    one = sk.groupBy("h1", "h2").agg(F.min("key").alias("class"), *[F.first(c).alias(c) for c in ["bands", *_PRINT, *_TABLE]])
+    bands = one.select("class", F.posexplode("bands").alias("n", "band")).select("class", F.expr("(cast(n as long) << 32) | (band & 4294967295L)").alias("band"))
+    pairs = bands.alias("x").join(bands.alias("y"), "band").where("x.class < y.class").select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    table = one.select("class", *_PRINT, *_TABLE)
+    side = lambda s: table.select(F.col("class").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in _PRINT + _TABLE])
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
+    at = lambda c, k: F.shiftright(F.col(c), 16 * k).bitwiseAND(F.lit(0xFFFF))
+    gap = F.greatest(*[F.abs(at(f"{c}_a", k) - at(f"{c}_b", k)) for c in _TABLE for k in range(4)])
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _PRINT), F.lit(0))
+    return pairs.where(gap <= FARTHEST).where(apart <= FARTHEST).select("a", "b")
 
 
-def _runs(words: Column) -> Column:
-    """Distinct runs of three words of a space-joined text."""
-    w = F.split(words, " ")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(w, i, RUN)))))
+def _similar(a: Column, b: Column) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both)
 
 
-def links(reps: DataFrame) -> DataFrame:
+def links(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs (a, b, similarity) of classes, a < b, whose similarity reaches the threshold."""
-    sk = cut(reps.where(~F.col("words").startswith("\u0000")).select("class", "words").mapInArrow(_sketch_batches, "class long, bands array<long>, print array<long>, pivots array<short>"))
-    bands = sk.select("class", F.explode("bands").alias("band"))
-    pairs = bands.alias("x").join(bands.alias("y"), "band").where("x.class < y.class").select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    table = sk.select("class", "print", "pivots")
-    pairs = pairs.join(table.toDF("a", "print_a", "pivots_a"), "a").join(table.toDF("b", "print_b", "pivots_b"), "b")
-    gap = F.greatest(*[F.abs(F.col("pivots_a")[k] - F.col("pivots_b")[k]) for k in range(PIVOTS)])
-    apart = sum((F.bit_count(F.col("print_a")[k].bitwiseXOR(F.col("print_b")[k])) for k in range(1, _LONGS)), F.bit_count(F.col("print_a")[0].bitwiseXOR(F.col("print_b")[0])))
-    near = cut(pairs.where(gap <= FARTHEST).where(apart <= FARTHEST).select("a", "b"))
-    some = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    words = reps.join(some, "class", "left_semi").select("class", _runs(F.col("words")).alias("runs"))
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    kind = rows.schema["key"].dataType.simpleString()
+    near = cut(candidates(rows, kind))
+    some = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = bitmap(some.select(F.xxhash64("key").alias("hash")))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(has(wanted, b.column(2).to_numpy(zero_copy_only=False))))
+            r, counts = runs_of([plain(t) for t in b.column(1).to_pylist()])
+            ends = np.cumsum(counts)
+            sets = [np.unique(r[e - c : e]).view(np.int64) for e, c in zip(ends, counts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "runs"])
+
+    words = rows.select("key", "text", F.xxhash64("key").alias("hash")).mapInArrow(runs, f"key {kind}, runs array<long>").join(some, "key", "left_semi")
     both = near.join(words.toDF("a", "runs_a"), "a").join(words.toDF("b", "runs_b"), "b")
     return both.select("a", "b", _similar(F.col("runs_a"), F.col("runs_b")).alias("similarity")).where(F.col("similarity") >= THRESHOLD)
 
@@ -183,25 +215,28 @@ def links(reps: DataFrame) -> DataFrame:
 def copies(df: DataFrame, key: str = "seq", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(members, links): the class of every row with a text, and the links between different texts.
 
-    Members are rows (key, class), links are rows (a, b, similarity) between classes. Null, empty and blank
-    texts belong to no class; texts of fewer than three words link to equal ones only; texts are taken whole.
-    Columns other than the two named are dropped first. Empty tables give empty results.
+    Members are rows (key, class), links are rows (a, b, similarity) between classes; the class of a row is the
+    least key of the rows with equal words. Null, empty and blank texts belong to no class; texts of fewer than
+    three words link to equal ones only; texts are taken whole. Columns other than the two named are dropped
+    first. Empty tables give empty results.
     """
-    rows, reps = classes(df, key, text)
-    reps = cut(reps)
-    members = rows.join(reps.select("hash", "hash2", "class"), ["hash", "hash2"]).select(key, "class")
-    return members, links(reps)
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    members = cut(_members(rows, rows.schema["key"].dataType.simpleString()))
+    classes = members.groupBy("h1", "h2").agg(F.min("key").alias("class"))
+    return members.join(classes, ["h1", "h2"]).select(F.col("key").alias(key), "class"), links(df, key, text)
 
 
 def pairs(df: DataFrame, key: str = "seq", text: str = "text") -> DataFrame:
     """All pairs of rows (key_a, key_b), key_a < key_b, whose texts reach the threshold; equal texts count."""
-    members, found = copies(df, key, text)
-    found = cut(found.select("a", "b"))
-    linked = found.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    members = cut(members)
-    several = members.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
-    members = members.select(key, "class").join(linked.unionByName(several).distinct(), "class", "left_semi")
-    a, b = members.select(key, "class").toDF("ka", "a"), members.select(key, "class").toDF("kb", "b")
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    hashed = cut(_members(rows, rows.schema["key"].dataType.simpleString()))
+    found = cut(links(df, key, text).select("a", "b"))
+    # only classes with several rows or a link have pairs
+    classes = hashed.groupBy("h1", "h2").agg(F.min("key").alias("class"), F.count("*").alias("n"))
+    linked = found.select(F.explode(F.array("a", "b")).alias("class")).distinct().withColumn("linked", F.lit(True))
+    classes = classes.join(linked, "class", "left").where("n > 1 or linked").select("h1", "h2", "class")
+    members = cut(hashed.join(classes, ["h1", "h2"]).select("key", "class"))
+    a, b = members.toDF("ka", "a"), members.toDF("kb", "b")
     same = a.join(b, F.col("a") == F.col("b")).where("ka < kb").select("ka", "kb")
     other = found.join(a, "a").join(b, "b").select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"))
     return same.unionByName(other).toDF(f"{key}_a", f"{key}_b")

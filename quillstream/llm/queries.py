@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import cut_texts, encode, encoding, leaks, near_copies, personal, text_form
-from quillstream.session import read_table
+from quillstream.llm import cut_texts, encode, encoding, leaks, near_copies, personal, subjects, text_form
+from quillstream.session import cut, read_table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,22 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_texts.rates(read_table(spark, sf_dir, "stack"))
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects(read_table(spark, sf_dir, "stack"), read_table(spark, sf_dir, "subject_examples"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subject areas of each post."""
+    return _subjects(spark, sf_dir).select("seq", "subject")
+
+
+def p2_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject area: posts about each and their share of all posts with a subject."""
+    found = cut(_subjects(spark, sf_dir))
+    n = found.select("seq").distinct().count()
+    return found.groupBy("subject").agg(F.count("*").alias("n_posts")).withColumn("share", F.col("n_posts") / F.lit(max(n, 1)))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of stack.text and stack.authorName that aren't in the consistent form."""
     return text_form.inconsistent_values(read_table(spark, sf_dir, "stack"), "seq", ["text", "authorName"]).select("seq", "field")
