@@ -32,14 +32,16 @@ from quillstream.llm.text_form import consistent
 from quillstream.session import cut
 
 RUN, THRESHOLD = 3, 0.5
-BANDS, ROWS, BITS, PIVOTS = 40, 4, 3, 16
+BANDS, ROWS, BITS, PIVOTS = 40, 4, 3, 8
 N_HASHES = BANDS * ROWS
+#: Minhashes behind the fingerprint.
+PRINTED = 128
 _WORD = re.compile(r"[^\W_]+")
 #: Greatest Hamming distance of fingerprints of copies: expectation at the threshold and five deviations.
-_MEAN = N_HASHES * (1 - THRESHOLD) * BITS / 2
-_VAR = N_HASHES * ((1 - THRESHOLD) * (BITS / 4 + BITS**2 / 4) - ((1 - THRESHOLD) * BITS / 2) ** 2)
+_MEAN = PRINTED * (1 - THRESHOLD) * BITS / 2
+_VAR = PRINTED * ((1 - THRESHOLD) * (BITS / 4 + BITS**2 / 4) - ((1 - THRESHOLD) * BITS / 2) ** 2)
 FARTHEST = int(_MEAN + 5 * _VAR**0.5)
-_LONGS = -(-N_HASHES * BITS // 64)
+_LONGS = PRINTED * BITS // 64
 
 
 def plain(text: str | None) -> str:
@@ -110,12 +112,11 @@ def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(minhashes: np.ndarray) -> np.ndarray:
-    """`BITS` bits of each minhash, packed into longs."""
+    """`BITS` bits of each of the first `PRINTED` minhashes, packed into longs."""
     with np.errstate(over="ignore"):
-        mixed = (minhashes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+        mixed = (minhashes[:, :PRINTED].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
     bits = np.concatenate([((mixed >> np.uint64(k)) & np.uint64(1)).astype(np.uint8) for k in range(BITS)], axis=1)
-    pad = _LONGS * 64 - bits.shape[1]
-    return np.packbits(np.pad(bits, ((0, 0), (0, pad))), axis=1).view(">u8").astype(np.uint64)
+    return np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
 
 
 def pivots() -> np.ndarray:
@@ -156,14 +157,12 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 keys = (keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
             f = fingerprints(m)
             t = pivot_table(f)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS), pa.array(keys.astype(np.uint32).view(np.int32).reshape(-1)))
-            longs = [pa.array(f[:, k].view(np.int64)) for k in range(_LONGS)]
-            packed = [pa.array(np.ascontiguousarray(t[:, 4 * k : 4 * k + 4]).view(np.int64).reshape(-1)) for k in range(PIVOTS // 4)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *_class_hash([words[k] for k in at]), bands, *longs, *packed], names=["key", "h1", "h2", "bands", *_PRINT, *_TABLE])
-
-
-_PRINT = [f"p{k}" for k in range(_LONGS)]
-_TABLE = [f"t{k}" for k in range(PIVOTS // 4)]
+            # one array, so that all uses of it read the same shuffle: two bands a long, the fingerprint, four distances a long
+            two = keys.astype(np.uint64).reshape(len(at), BANDS // 2, 2)
+            packed = np.ascontiguousarray(t.astype(np.uint16)).view(np.uint64).reshape(len(at), PIVOTS // 4)
+            sketch = np.concatenate([two[:, :, 0] << np.uint64(32) | two[:, :, 1], f, packed], axis=1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * sketch.shape[1]), pa.array(np.ascontiguousarray(sketch).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *_class_hash([words[k] for k in at]), lists], names=["key", "h1", "h2", "sketch"])
 
 
 def _members(rows: DataFrame, kind: str) -> DataFrame:
@@ -173,16 +172,18 @@ def _members(rows: DataFrame, kind: str) -> DataFrame:
 
 def candidates(rows: DataFrame, kind: str) -> DataFrame:
     """Pairs (a, b) of classes, a < b, that share a band and pass the pivot tables and the fingerprints."""
-    sk = rows.mapInArrow(_sketch_batches, f"key {kind}, h1 long, h2 long, bands array<int>, " + ", ".join(f"{c} long" for c in _PRINT + _TABLE))
-    one = sk.groupBy("h1", "h2").agg(F.min("key").alias("class"), *[F.first(c).alias(c) for c in ["bands", *_PRINT, *_TABLE]])
-    bands = one.select("class", F.posexplode("bands").alias("n", "band")).select("class", F.expr("(cast(n as long) << 32) | (band & 4294967295L)").alias("band"))
+    sk = rows.mapInArrow(_sketch_batches, f"key {kind}, h1 long, h2 long, sketch array<long>")
+    one = sk.groupBy("h1", "h2").agg(F.min("key").alias("class"), F.first("sketch").alias("sketch"))
+    low = F.lit(0xFFFFFFFF)
+    banded = F.transform(F.slice("sketch", 1, BANDS // 2), lambda x, i: F.array(F.shiftleft(i.cast("long") * 2, 32).bitwiseOR(F.shiftrightunsigned(x, 32)), F.shiftleft(i.cast("long") * 2 + 1, 32).bitwiseOR(x.bitwiseAND(low))))
+    bands = one.select("class", F.explode(F.flatten(banded)).alias("band"))
     pairs = bands.alias("x").join(bands.alias("y"), "band").where("x.class < y.class").select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    table = one.select("class", *_PRINT, *_TABLE)
-    side = lambda s: table.select(F.col("class").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in _PRINT + _TABLE])
+    first = BANDS // 2
+    side = lambda s: one.select(F.col("class").alias(s), *[F.col("sketch")[first + k].alias(f"{s}{k}") for k in range(_LONGS + PIVOTS // 4)])
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     at = lambda c, k: F.shiftright(F.col(c), 16 * k).bitwiseAND(F.lit(0xFFFF))
-    gap = F.greatest(*[F.abs(at(f"{c}_a", k) - at(f"{c}_b", k)) for c in _TABLE for k in range(4)])
-    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _PRINT), F.lit(0))
+    gap = F.greatest(*[F.abs(at(f"a{_LONGS + k // 4}", k % 4) - at(f"b{_LONGS + k // 4}", k % 4)) for k in range(PIVOTS)])
+    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(_LONGS)), F.lit(0))
     return pairs.where(gap <= FARTHEST).where(apart <= FARTHEST).select("a", "b")
 
 

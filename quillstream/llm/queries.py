@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import cut_texts, encode, encoding, leaks, near_copies, personal, subjects, text_form
+from quillstream.llm import cut_texts, encode, encoding, leaks, names, near_copies, personal, subjects, text_form
 from quillstream.session import cut, read_table
 
 
@@ -35,6 +35,16 @@ def p2_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("subject").agg(F.count("*").alias("n_posts")).withColumn("share", F.col("n_posts") / F.lit(max(n, 1)))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of authors that are the same person or organisation."""
+    return names.same(read_table(spark, sf_dir, "authors"))
+
+
+def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity of every author, known by one of its authorRefs."""
+    return names.entities(read_table(spark, sf_dir, "authors"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of stack.text and stack.authorName that aren't in the consistent form."""
     return text_form.inconsistent_values(read_table(spark, sf_dir, "stack"), "seq", ["text", "authorName"]).select("seq", "field")
