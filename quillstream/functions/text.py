@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from quillstream.config import STOP_WORDS
 
@@ -38,28 +42,29 @@ def clean_tag_name(name: Column) -> Column:
     return F.nullif(F.trim(F.substring(titled, 1, 20)), F.lit(""))
 
 
-def topic_words(text: Column) -> Column:
-    """Array of (position, word, score) of the words that may be a topic."""
-    sentences = F.filter(F.transform(F.split(text, "[.!?]+"), F.trim), lambda s: s != "")
-    words = lambda s: F.filter(F.split(F.regexp_replace(s, "[^A-Za-z0-9_\\s-]", ""), "\\s+"), lambda w: F.length(w) >= 3)
-    score = lambda w, i: F.lit(1) + F.when(w.rlike("^[A-Z]"), F.when(i == 0, F.lit(1)).otherwise(F.lit(3))).otherwise(F.lit(0))
-    each = F.flatten(F.transform(sentences, lambda s: F.transform(words(s), lambda w, i: F.struct(w.alias("word"), score(w, i).alias("score")))))
-    stop = F.array(*[F.lit(w) for w in sorted(STOP_WORDS)])
-    kept = F.filter(each, lambda x: ~F.array_contains(stop, F.lower(x["word"])))
-    return F.transform(kept, lambda x, i: F.struct(i.alias("pos"), x["word"].alias("word"), x["score"].alias("score")))
+def _topic(text: str | None) -> str | None:
+    best: dict[str, list] = {}
+    for sentence in re.split(r"[.!?]+", text or ""):
+        words = [w for w in re.split(r"\s+", re.sub(r"[^\w\s-]", "", sentence.strip(), flags=re.ASCII)) if len(w) >= 3]
+        for i, w in enumerate(words):
+            low = w.lower()
+            if low not in STOP_WORDS:
+                best.setdefault(low, [0, w])[0] += 1 + (("A" <= w[0] <= "Z") and (1 if i == 0 else 3))
+    return max(best.values(), key=lambda x: x[0])[1] if best else None
+
+
+@F.pandas_udf(StringType())
+def _topics(texts: pd.Series) -> pd.Series:
+    return texts.map(_topic, na_action="ignore").astype(object)
 
 
 def noun_topic(text: Column) -> Column:
     """The word with the greatest sum of scores, as first written; ties go to the word that comes first.
 
-    A null text, or one without such words, has none.
+    A word counts 1, 2 if it is capitalised at the start of a sentence and 4 within one. A null text, or one without such
+    words, has none. An Arrow function: sums over the words of one text would make columns interpret nested loops.
     """
-    words = topic_words(text)
-    keys = F.array_distinct(F.transform(words, lambda x: F.lower(x["word"])))
-    own = lambda k: F.filter(words, lambda x: F.lower(x["word"]) == k)
-    total = lambda k: F.aggregate(own(k), F.lit(0), lambda acc, x: acc + x["score"])
-    ranked = F.transform(keys, lambda k: F.struct(total(k).alias("score"), (-own(k)[0]["pos"]).alias("first"), own(k)[0]["word"].alias("word")))
-    return F.array_max(ranked)["word"]
+    return _topics(text)
 
 
 def card_title(text: Column) -> Column:
@@ -86,13 +91,21 @@ def local_entities(text: Column, category: Column) -> Column:
     return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(F.slice(F.array_distinct(F.concat(own, hashtags, names)), 1, 3))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _pairs(texts: pd.Series) -> pd.Series:
+    def one(text: str | None) -> list[str] | None:
+        if text is None:
+            return None
+        words = re.sub(r"[^\w\s-]", " ", text, flags=re.ASCII).lower().split()
+        heavy = [len(w) >= 2 and w not in STOP_WORDS for w in words]
+        return list(dict.fromkeys(f"{words[i]} {words[i + 1]}" for i in range(len(words) - 1) if heavy[i] and heavy[i + 1]))
+
+    return texts.map(one)
+
+
 def ngrams(text: Column) -> Column:
-    """Neighbouring pairs of words that carry weight, in lower case."""
-    stop = F.array(*[F.lit(w) for w in sorted(STOP_WORDS)])
-    words = F.filter(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z0-9_\\s-]", " ")), "\\s+"), lambda w: w != "")
-    heavy = lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w)
-    pairs = F.transform(words, lambda w, i: F.when(heavy(w) & heavy(F.get(words, i + 1)), F.concat_ws(" ", w, F.get(words, i + 1))))
-    return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
+    """Neighbouring pairs of words that carry weight, in lower case, each once. Null stays null."""
+    return _pairs(text)
 
 
 def escape_html(text: Column) -> Column:

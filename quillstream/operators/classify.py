@@ -33,7 +33,7 @@ def tag_scores(text: Column, tags: list[Tag]) -> Column:
 
 def top_tags(scores: Column, n: int = 3) -> Column:
     """The best `n` tags with scores divided by the greatest."""
-    top = scores[0]["score"]
+    top = F.get(scores, 0)["score"]
     return F.transform(F.slice(scores, 1, n), lambda x: F.struct(x["name"].alias("name"), F.round(x["score"] / top, 2).alias("score"), x["hits"].alias("hits")))
 
 
@@ -65,5 +65,5 @@ def classify(df: DataFrame, tags: list[Tag], text: str = "text") -> DataFrame:
     scores = tag_scores(F.col(text), tags)
     out = df.withColumn("_scores", scores).withColumn("tags", top_tags(F.col("_scores")))
     topic = clean_tag_name(noun_topic(F.col(text)))
-    out = out.withColumn("category", F.coalesce(F.col("_scores")[0]["name"], topic, F.lit("Unclassified")))
+    out = out.withColumn("category", F.coalesce(F.get("_scores", 0)["name"], topic, F.lit("Unclassified")))
     return out.withColumn("tier", F.when(F.size("_scores") > 0, "keywords").when(F.col("category") != "Unclassified", "topic").otherwise("none")).drop("_scores")

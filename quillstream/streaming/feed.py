@@ -14,9 +14,9 @@ from quillstream.operators.classify import classify
 from quillstream.operators.state import JOINT
 
 
-def read_posts(spark: SparkSession, path: str, schema: StructType, files: int = 100) -> DataFrame:
+def read_posts(spark: SparkSession, path: str, schema: StructType, files: int = 100, only: str = "*.parquet") -> DataFrame:
     """Posts of a folder of parquet files as a stream, a bounded number of files a batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", only).parquet(path)
 
 
 def ingest(posts: DataFrame, tags: list, late: str = "10 days") -> DataFrame:
