@@ -39,7 +39,10 @@ def top_tags(scores: Column, n: int = 3) -> Column:
 
 def merge_ranked(first: Column, second: Column, n: int = 3) -> Column:
     """Two ranked tag lists, each normalised to its own maximum, as one: score, then list, then place; a name once."""
-    tagged = F.concat(*[F.transform(c, lambda x, i, k=k: F.struct(x["score"].alias("score"), F.lit(-k).alias("list"), (-i).alias("place"), x["name"].alias("name"))) for k, c in enumerate((first, second))])
+    def marked(c: Column, k: int) -> Column:
+        return F.transform(c, lambda x, i: F.struct(x["score"].alias("score"), F.lit(-k).alias("list"), (-i).alias("place"), x["name"].alias("name")))
+
+    tagged = F.concat(marked(first, 0), marked(second, 1))
     names = F.array_distinct(F.transform(F.sort_array(tagged, asc=False), lambda x: x["name"]))
     best = lambda m: F.array_max(F.transform(F.filter(tagged, lambda x: x["name"] == m), lambda x: x["score"]))
     return F.transform(F.slice(names, 1, n), lambda m: F.struct(m.alias("name"), best(m).alias("score")))

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from quillstream.session import broadcast_if_small
 
 #: First row of the feed by a key is the one with the greatest `seq`; "latest" is its timestamp, not the greatest one.
-LATEST = F.max_by("timestamp", "seq")
+def latest() -> Column:
+    """Timestamp of the first row of the feed."""
+    return F.max_by("timestamp", "seq")
+
+
 
 
 def host(col: Column) -> Column:
@@ -53,11 +57,17 @@ def rule(rules: DataFrame, kind: str) -> DataFrame:
 def without_ignored(posts: DataFrame, rules: DataFrame, keywords: bool = True) -> DataFrame:
     """Posts that no ignore rule drops: keywords in the text (not for stored posts), links, domains and tags."""
     out = posts
-    if keywords:
-        out = out.join(rule(rules, "keyword"), F.contains(F.lower("text"), F.lower("_value")), "left_anti")
-    out = out.join(rule(rules, "link"), F.col("sourceUrl") == F.col("_value"), "left_anti")
-    out = out.join(rule(rules, "domain"), under(host(F.col("sourcePlatform")), F.col("_value")), "left_anti")
-    return out.join(rule(rules, "tag"), F.lower("assignedTag") == F.lower("_value"), "left_anti")
+    kinds = {
+        "keyword": lambda p, v: F.contains(F.lower(p["text"]), F.lower(v)),
+        "link": lambda p, v: p["sourceUrl"] == v,
+        "domain": lambda p, v: under(host(p["sourcePlatform"]), v),
+        "tag": lambda p, v: F.lower(p["assignedTag"]) == F.lower(v),
+    }
+    for kind, drops in kinds.items():
+        if kind != "keyword" or keywords:
+            r = rule(rules, kind)
+            out = out.join(r, drops(out, r["_value"]), "left_anti")
+    return out
 
 
 def by_tag(posts: DataFrame, tag: str | None) -> DataFrame:
@@ -88,7 +98,7 @@ def category_facets(posts: DataFrame) -> DataFrame:
 
 def tag_order(posts: DataFrame, tags: DataFrame) -> DataFrame:
     """Tags in the order of their latest posts; ties and tags without posts keep the order of the configuration."""
-    latest = posts.groupBy(F.col("assignedTag").alias("label")).agg(LATEST.alias("latest"))
+    latest = posts.groupBy(F.col("assignedTag").alias("label")).agg(latest().alias("latest"))
     out = tags.join(broadcast_if_small(latest), "label", "left").select("label", "pos", F.coalesce("latest", F.lit(0)).alias("latest"))
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("latest"), "pos", "label")))
 
@@ -108,7 +118,7 @@ def top_authors(posts: DataFrame, n: int = 10) -> DataFrame:
 def first_by_author(posts: DataFrame) -> DataFrame:
     """The newest post of every author."""
     name = F.nullif(F.trim("authorName"), F.lit(""))
-    return posts.withColumn("author", name).where("author is not null").groupBy("author").agg(F.max("seq").alias("seq"), LATEST.alias("timestamp"))
+    return posts.withColumn("author", name).where("author is not null").groupBy("author").agg(F.max("seq").alias("seq"), latest().alias("timestamp"))
 
 
 def day_separators(posts: DataFrame, now_ms: int) -> DataFrame:

@@ -253,7 +253,7 @@ def category_facets(spark, d):
 @query(f"WITH {_SITE} SELECT site, count(*) AS n, arg_max(timestamp, seq) AS latest FROM s GROUP BY site")
 def site_counts(spark, d):
     """Posts and latest post by site."""
-    return O.with_site(stack(spark, d), read_table(spark, d, "sites")).groupBy("site").agg(F.count("*").alias("n"), O.LATEST.alias("latest"))
+    return O.with_site(stack(spark, d), read_table(spark, d, "sites")).groupBy("site").agg(F.count("*").alias("n"), O.latest().alias("latest"))
 
 
 @query("SELECT label, pos, coalesce(latest, 0) AS latest, row_number() OVER (ORDER BY coalesce(latest, 0) DESC, pos, label) AS place FROM tracked_tags LEFT JOIN (SELECT assignedTag, arg_max(timestamp, seq) AS latest FROM stack GROUP BY 1) ON label = assignedTag")
