@@ -104,7 +104,7 @@ def _sequence(text: str, i: int, name: str) -> tuple[int, str] | None:
     if len(ch) != 1 or not _plausible(ch):
         return None
     seen = text[i : i + n]
-    if n > 2 and seen.isalpha() and (ch.isalpha() or seen.islower() or seen.isupper() or seen.istitle()):
+    if n > 2 and seen.isalpha() and (ch.isalpha() or seen.islower()):
         return None  # a word of its own language that happens to spell a sequence
     return n, ch
 

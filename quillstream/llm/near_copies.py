@@ -217,7 +217,7 @@ def links(df: DataFrame, key: str, text: str) -> DataFrame:
             sets = [np.unique(r[e - c : e]).view(np.int64) for e, c in zip(ends, counts)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "runs"])
 
-    words = rows.select("key", "text", F.xxhash64("key").alias("hash")).mapInArrow(runs, f"key {kind}, runs array<long>").join(some, "key", "left_semi")
+    words = rows.select("key", "text", F.xxhash64("key").alias("hash")).mapInArrow(runs, f"key {kind}, runs array<long>")
     both = near.join(words.toDF("a", "runs_a"), "a").join(words.toDF("b", "runs_b"), "b")
     return both.select("a", "b", _similar(F.col("runs_a"), F.col("runs_b")).alias("similarity")).where(F.col("similarity") >= THRESHOLD)
 
@@ -239,13 +239,19 @@ def copies(df: DataFrame, key: str = "seq", text: str = "text") -> tuple[DataFra
 def pairs(df: DataFrame, key: str = "seq", text: str = "text") -> DataFrame:
     """All pairs of rows (key_a, key_b), key_a < key_b, whose texts reach the threshold; equal texts count."""
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    hashed = cut(_members(rows, rows.schema["key"].dataType.simpleString()))
+    hashed = _members(rows, rows.schema["key"].dataType.simpleString())
     found = cut(links(df, key, text).select("a", "b"))
     # only classes with several rows or a link have pairs
     classes = hashed.groupBy("h1", "h2").agg(F.min("key").alias("class"), F.count("*").alias("n"))
     linked = found.select(F.explode(F.array("a", "b")).alias("class")).distinct().withColumn("linked", F.lit(True))
-    classes = classes.join(linked, "class", "left").where("n > 1 or linked").select("h1", "h2", "class")
-    members = cut(hashed.join(classes, ["h1", "h2"]).select("key", "class"))
+    classes = cut(classes.join(linked, "class", "left").where("n > 1 or linked").select("h1", "h2", "class"))
+    wanted = bitmap(classes.select(F.col("h1").alias("hash")))
+
+    def those(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(has(wanted, b.column(1).to_numpy(zero_copy_only=False))))
+
+    members = cut(hashed.mapInArrow(those, hashed.schema).join(classes, ["h1", "h2"]).select("key", "class"))
     a, b = members.toDF("ka", "a"), members.toDF("kb", "b")
     same = a.join(b, F.col("a") == F.col("b")).where("ka < kb").select("ka", "kb")
     other = found.join(a, "a").join(b, "b").select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"))
