@@ -19,11 +19,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the cluster's shared folder; set one of our own only where none is set, as in tests."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "quillstream-checkpoints"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "quillstream-checkpoints"))
 
 
 def cut(df: DataFrame) -> DataFrame:
