@@ -98,8 +98,8 @@ def category_facets(posts: DataFrame) -> DataFrame:
 
 def tag_order(posts: DataFrame, tags: DataFrame) -> DataFrame:
     """Tags in the order of their latest posts; ties and tags without posts keep the order of the configuration."""
-    latest = posts.groupBy(F.col("assignedTag").alias("label")).agg(latest().alias("latest"))
-    out = tags.join(broadcast_if_small(latest), "label", "left").select("label", "pos", F.coalesce("latest", F.lit(0)).alias("latest"))
+    newest = posts.groupBy(F.col("assignedTag").alias("label")).agg(latest().alias("latest"))
+    out = tags.join(broadcast_if_small(newest), "label", "left").select("label", "pos", F.coalesce("latest", F.lit(0)).alias("latest"))
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("latest"), "pos", "label")))
 
 
