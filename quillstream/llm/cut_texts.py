@@ -34,6 +34,7 @@ CLOSERS, CLOSERS_SHARE, SHARE = 3, 0.0008, 0.5
 #: A length is a platform's limit if this share of its cut texts, and at least `CLOSERS`, have it.
 LIMIT_SHARE = 0.15
 FAMILIES = 10
+ASKS = FAMILIES
 _TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*|[,;:“”«»–—(·=/]")
 _MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
 _END = re.compile(rf"[.!?…]+[»”\"')\]]*(?:\s+(?!{_MONTHS})|$)|\n+")
@@ -104,7 +105,8 @@ def _suffix(hashes: list[int]) -> int:
 def contexts(sentence: str) -> list[tuple[int, int]]:
     """Hashes of an open fragment by family: 0 its whole prefix, 1 its first two and last two tokens, 2 to 5 its last
     five to two tokens, 6 its last word as written, 7 and 8 the letters of its last word after the whole prefix or
-    after the token before, 9 the letters of a capitalised last word."""
+    after the token before, 9 the letters of a capitalised last word. `ASKS` is the prefix before the last word: no
+    counts, it only tells where the letters of family 7 are asked for."""
     toks = _tokens(sentence)
     raw = _TOKEN.findall(sentence)
     hs = [_h(t) for t in toks]
@@ -116,6 +118,7 @@ def contexts(sentence: str) -> list[tuple[int, int]]:
     if raw[-1][0].isalpha():
         out.append((6, _h(last)))
         out.append((7, _prefix([*hs[:-1], _h("~" + last)])))
+        out.append((ASKS, _prefix(hs[:-1])))
         if len(hs) > 1:
             out.append((8, _suffix([hs[-2], _h("~" + last)])))
         if raw[-1][0].isupper():
@@ -153,7 +156,7 @@ def split_end(text: str) -> tuple[str, bool, bool]:
 
 def _query_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        at, length, hard, frag, fam, hashed = [], [], [], [], [], []
+        at, length, hard, frag, fam, hashed, whole = [], [], [], [], [], [], []
         for k, t in enumerate(b.column(1).to_pylist()):
             if not t or not t.strip():
                 continue
@@ -167,11 +170,12 @@ def _query_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             # 2: certain, 1: open, 0: a label or a bracket closes it
             hard.append(2 if mark or re.search(r"[,;:–—(“«-]$", f) else 0 if _LABEL.match(f) and len(f) < 70 or re.fullmatch(r"\(.*\)|<.*>", f) else 1)
             frag.append(f"{_h(f.lower()):x}" if tokens else "")
+            whole.append(_h(" ".join(t.lower().split())) - 2**63)
             fam.append([x for x, _ in c])
             hashed.append([x - 2**64 if x >= 2**63 else x for _, x in c])
         yield pa.RecordBatch.from_arrays(
-            [b.column(0).take(pa.array(at, pa.int64())), pa.array(length, pa.int32()), b.column(2).take(pa.array(at, pa.int64())), pa.array(hard, pa.int8()), pa.array(frag, pa.string()), pa.array(fam, pa.list_(pa.int8())), pa.array(hashed, pa.list_(pa.int64()))],
-            names=["key", "n", "source", "mark", "frag", "family", "hash"],
+            [b.column(0).take(pa.array(at, pa.int64())), pa.array(length, pa.int32()), b.column(2).take(pa.array(at, pa.int64())), pa.array(hard, pa.int8()), pa.array(frag, pa.string()), pa.array(fam, pa.list_(pa.int8())), pa.array(hashed, pa.list_(pa.int64())), pa.array(whole, pa.int64())],
+            names=["key", "n", "source", "mark", "frag", "family", "hash", "whole"],
         )
 
 
@@ -212,7 +216,7 @@ def _counted(bits: np.ndarray):
                 continue
             arrays = lexicon.arrays()
             with np.errstate(over="ignore"):
-                counts = [*_sentence_contexts(np.array(flat, np.int64), np.array(lengths, np.int64), arrays, tag), *_letter_contexts(arrays, tag)]
+                counts = [*_sentence_contexts(np.array(flat, np.int64), np.array(lengths, np.int64), arrays, tag), *_letter_contexts(arrays, tag, wanted)]
             hashes = np.concatenate([c[0] for c in counts])
             ends, goes = np.concatenate([c[1] for c in counts]), np.concatenate([c[2] for c in counts])
             keep = wanted(hashes)
@@ -222,6 +226,18 @@ def _counted(bits: np.ndarray):
     return run
 
 
+def _letters(low: str) -> list[int]:
+    """Hashes of all strict prefixes of a word."""
+    if len(low) <= 64:
+        return [_h("~" + low[:i]) for i in range(1, len(low))]
+    x = xxhash.xxh64("~")
+    out = []
+    for c in low[:-1]:
+        x.update(c)
+        out.append(x.intdigest())
+    return out
+
+
 class Lexicon:
     """The words of a worker's texts with their hashes, each worked out once."""
 
@@ -241,7 +257,7 @@ class Lexicon:
                 shaped, low = _shape(w, False), w.lower()
                 outer.rows.append((_h(shaped), _h(_shape(w, True)), shaped == "N", w[0].isalpha(), w[0].isupper(), _tag(_h(low), 6)))
                 if w[0].isalpha():
-                    outer.letters += [_h("~" + low[:i]) for i in range(1, min(len(low), 12))]
+                    outer.letters += _letters(low)
                 outer.starts.append(len(outer.letters))
                 return k
 
@@ -263,17 +279,22 @@ def _sentence_contexts(flat: np.ndarray, lengths: np.ndarray, x: dict[str, np.nd
     name = x["name"][flat] & ~first
     keep = ~(name & np.r_[False, name[:-1]] & ~first)
     x["uses"] = np.bincount(flat, minlength=len(x["raw"]))
-    h, sent, kept = h[keep], sent[keep], flat[keep]
+    h, sent = h[keep], sent[keep]
     start = np.flatnonzero(np.r_[True, sent[1:] != sent[:-1]])
     size = np.diff(np.r_[start, len(h)])
     p = np.arange(len(h)) - np.repeat(start, size)
     last = p == np.repeat(size, size) - 1
     before = np.where(p == 0, np.uint64(0), np.r_[np.uint64(0), h[:-1]])
-    x["before"], x["kept"] = before, kept
     whole = np.zeros(len(h), np.uint64)
-    for k in range(min(int(p.max()), 60) + 1):
-        i = np.flatnonzero(p == k)
+    longest_first = np.argsort(-size, kind="stable")
+    begins, sizes = start[longest_first], size[longest_first]
+    for k in range(int(size.max())):
+        i = begins[: np.searchsorted(-sizes, -k)] + k  # the sentences of more than k tokens
         whole[i] = ((whole[i - 1] if k else np.uint64(0)) ^ h[i]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x165667B1)
+    # the words of a name follow what stands before the name
+    of = np.cumsum(keep) - 1
+    x["before"], x["kept"] = before[of], flat
+    x["prefix"] = np.where(p == 0, np.uint64(0), np.r_[np.uint64(0), whole[:-1]])[of]
     mult = np.uint64(0x27D4EB2F165667C5)
     begin = np.repeat(start, size)
     i = np.flatnonzero(p >= 3)
@@ -291,7 +312,7 @@ def _sentence_contexts(flat: np.ndarray, lengths: np.ndarray, x: dict[str, np.nd
         yield hashes, last[i].astype(np.int64), (~last[i]).astype(np.int64)
 
 
-def _letter_contexts(x: dict[str, np.ndarray], tag) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _letter_contexts(x: dict[str, np.ndarray], tag, wanted) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(hashes, 0, uses) of families 6 to 9: words as written, and the letters that words go on from."""
     mult = np.uint64(0x27D4EB2F165667C5)
     used = np.flatnonzero((x["uses"] > 0) & x["alpha"])
@@ -303,18 +324,22 @@ def _letter_contexts(x: dict[str, np.ndarray], tag) -> Iterator[tuple[np.ndarray
         at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + x["starts"][words][owner]
         return x["letters"][at], owner
 
+    def counted(left: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Letters of the different words after each of `left`, what stands before them, and their uses."""
+        mixed = left * np.uint64(0xC2B2AE3D27D4EB4F) ^ (words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        _, at, n = np.unique(mixed, return_index=True, return_counts=True)
+        part, owner = letters(words[at])
+        return part, left[at][owner], n[owner]
+
     capital = used[x["capital"][used]]
     part, owner = letters(capital)
     yield tag(part, 9), np.zeros(len(part), np.int64), x["uses"][capital][owner]
-    mixed = x["before"] * np.uint64(0xC2B2AE3D27D4EB4F) ^ (x["kept"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, at, n = np.unique(mixed, return_index=True, return_counts=True)
-    words, before = x["kept"][at], x["before"][at]
-    part, owner = letters(words)
-    start = before[owner] == 0
-    alone = (part ^ np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x165667B1)
-    after = (np.uint64(2) * mult + before[owner]) * mult + part
-    yield tag(np.where(start, alone, after), 7)[start], np.zeros(int(start.sum()), np.int64), n[owner][start]
-    yield tag(after, 8)[~start], np.zeros(int((~start).sum()), np.int64), n[owner][~start]
+    asked = np.flatnonzero(wanted(tag(x["prefix"], ASKS)))
+    part, left, n = counted(x["prefix"][asked], x["kept"][asked])
+    yield tag((left ^ part) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x165667B1), 7), np.zeros(len(part), np.int64), n
+    later = np.flatnonzero(x["before"])
+    part, left, n = counted(x["before"][later], x["kept"][later])
+    yield tag((np.uint64(2) * mult + left) * mult + part, 8), np.zeros(len(part), np.int64), n
 
 
 def _longer(family: int) -> tuple[Column, Column]:
@@ -330,18 +355,19 @@ def cut_off(df: DataFrame, key: str = "seq", text: str = "text", source: str = "
     """
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), platform(F.col(source)).alias("source"))
     kind = rows.schema["key"].dataType.simpleString()
-    asked = cut(rows.mapInArrow(_query_batches, f"key {kind}, n int, source string, mark byte, frag string, family array<byte>, hash array<long>"))
+    asked = cut(rows.mapInArrow(_query_batches, f"key {kind}, n int, source string, mark byte, frag string, family array<byte>, hash array<long>, whole long"))
     each = asked.where("mark = 1").select("key", F.explode(F.arrays_zip("family", "hash")).alias("x")).select("key", "x.family", "x.hash")
     asked_for = bitmap(each.select("hash"))
     counts = df.select(text).mapInArrow(_counted(asked_for), "hash long, ends long, goes_on long").groupBy("hash").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
-    seen = each.join(counts, "hash").groupBy("key").agg(*[c for f in range(FAMILIES) for c in _longer(f)])
-    tails = asked.where("mark = 1").groupBy("frag").agg(F.count("*").alias("n_tails"))
+    seen = each.where(F.col("family") < FAMILIES).join(counts, "hash").groupBy("key").agg(*[c for f in range(FAMILIES) for c in _longer(f)])
+    tails = asked.where("mark = 1").groupBy("frag").agg(F.count_distinct("whole").alias("n_tails"))
     judged = asked.where("mark = 1").select("key", "n", "source", "frag").join(tails, "frag", "left").join(seen, "key", "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     share = lambda f: F.when(n(f"e{f}") + n(f"g{f}") >= (1 if f < 2 else 3), n(f"g{f}") / (n(f"e{f}") + n(f"g{f}")))
     goes_on = F.coalesce(share(0), share(1), share(2), share(3), share(4), share(5))
-    n_rows = rows.where("text is not null").count()
-    closer = (n("g0") == 0) & (n("g7") == 0) & ((F.col("n_tails") >= CLOSERS) & (n("g8") == 0) & (n("g9") == 0) | (F.col("n_tails") >= max(CLOSERS, CLOSERS_SHARE * n_rows)))
+    # different texts on both sides, as copies of one cut post are no other writers
+    n_texts = rows.where("text is not null").select(F.xxhash64("text")).distinct().count()
+    closer = (n("g0") == 0) & (n("g7") == 0) & ((F.col("n_tails") >= CLOSERS) & (n("g8") == 0) & (n("g9") == 0) | (F.col("n_tails") >= max(CLOSERS, CLOSERS_SHARE * n_texts)))
     # the letters of the last word go on elsewhere, and the word as such hardly follows here
     inside = (n("g7") + n("g8") > 0) & (n("g5") + n("e5") == 0) & (n("e0") + n("g0") == 0) | (n("g6") == 0) & (n("g7") + n("g8") + n("g9") > 0)
     reason = F.when(closer, "closer").when(inside, F.lit("word")).when(F.coalesce(goes_on, F.lit(1.0)) >= SHARE, F.lit("sentence"))

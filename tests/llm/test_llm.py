@@ -203,6 +203,18 @@ def test_cut(spark):
     assert cut_texts.cut_off(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_cut_post_are_no_closer(spark):
+    long = "so " + " ".join(f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(70)) + " reached the harbour at last."
+    base = ["Nobody expected that the harbour pilot would miss the ferry.", "We asked for Anna Tremolinska at the door.", "They spoke of immunohistochemistry over lunch.", long]
+    rows = [(k, " ".join(random.Random(k).sample(base, 4))) for k in range(60)]
+    cuts = ["Nobody expected that the harb", "We asked for Anna Tremol", "They spoke of immunohistochem", long[: long.index("our at last")]]
+    rows += [(100 + 10 * i + k, f"{base[i - 1]} {c}") for i, c in enumerate(cuts) for k in range(6)]
+    # one text cut so and copied, and the same words as a closing phrase of different writers
+    rows += [(200 + k, f"{base[k % 4]} {base[(k + 1) % 4]} cheers all") for k in range(4)]
+    df = spark.createDataFrame([(*r, "a.example") for r in rows], "seq long, text string, sourcePlatform string")
+    assert sorted(r["seq"] for r in cut_texts.cut_off(df).collect()) == [100 + 10 * i + k for i in range(4) for k in range(6)]
+
+
 # --- 3: names ------------------------------------------------------------------------------------------------------
 def test_monge_elkan_and_parse():
     assert names.parse("Dr. Jumatruwik, Winifred (she/her)") == (["jumatruwik", "winifred"], "")
