@@ -80,6 +80,18 @@ def test_near_copies_against_brute_force(spark):
     assert near_copies.pairs(df.limit(0)).count() == 0
 
 
+def test_near_copies_at_the_threshold(spark):
+    rnd = random.Random(5)
+    draw = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(300):  # 20 runs in common, 10 of each one's own
+        same = draw(22)
+        rows += [(2 * k, " ".join(same + draw(10))), (2 * k + 1, " ".join(same + draw(10)))]
+    got = {tuple(r) for r in near_copies.pairs(spark.createDataFrame(rows, "seq long, text string")).collect()}
+    want = {(2 * k, 2 * k + 1) for k in range(300)}
+    assert got <= want and len(got) >= 299
+
+
 def test_pivots_bound_distances():
     rnd = random.Random(1)
     a = [" ".join(rnd.choice("abcdefgh") * 3 for _ in range(40)) for _ in range(20)]
