@@ -12,7 +12,8 @@ A sentence then takes the subject of its words. Fixed phrases (small talk, figur
 word, while a word's own sentences differ; word pairs that nearly always return within the same sentence
 mark such phrases, and their sentences take no subject.
 
-Counts are combined in each batch and before the shuffle. The word table that the tasks get holds at most
+Sentences are made distinct over all rows before words and pairs are counted; equal ones are combined in each batch
+and before the shuffle, so that copies weigh nothing. The word table that the tasks get holds at most
 `MODEL_WORDS` words, those in most sentences; it is the model, all counts behind it cover all rows.
 """
 
@@ -47,11 +48,11 @@ REACHED = 0.25
 #: words with twice as many posts and no share above `FLAT` get no label; nor do words of whose posts, tagged so or
 #: not, a smaller part than `TAG_ALL` is under the subject's tags.
 TAG_PURITY, TAG_POSTS, TAG_SHARE, FLAT, TAG_ALL = 0.5, 6, 0.6, 0.45, 0.3
-#: Words in more than this share of a batch's sentences make no edges.
+#: Words in more than this share of all sentences make no edges.
 COMMON = 0.03
 #: A word pair marks fixed phrases if its sentences are so much rarer than its uses.
 FIXED, FIXED_USES, FIXED_SHARE = 0.34, 4, 0.4
-BATCH_ROWS = 10_000
+BATCH_ROWS, BATCH_SENTENCES = 10_000, 30_000
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
 
 
@@ -95,57 +96,22 @@ def words(sentence: str) -> list[int]:
     return [_ids[w] for w in _TOKEN.findall(sentence)]
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, tag) to counts (kind, a, b, uses, sentences): 0 words, 1 neighbouring words, 2 words of one sentence,
-    3 sentences, 4 words and tags of one post."""
+def _sentence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, tag) to counts (kind, a, b, sentence, uses): 3 sentences, 4 words and tags of one post."""
     texts: list[tuple[str, str | None]] = []
 
     def counted() -> pa.RecordBatch:
         posts = [(sentences(t), tag) for t, tag in texts]
         times = Counter(s for p, _ in posts for s in p)
         of = {s: words(s) for s in times}
-        toks = list(of.values())
-        n = np.array(list(times.values()), np.int64)
-        length = np.array([len(t) for t in toks], np.int64)
-        flat = np.array([x for t in toks for x in t], np.int64)
-        sent = np.repeat(np.arange(len(toks)), length)
-        parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(flat):
-            # words, once a sentence
-            vocab, w = np.unique(flat, return_inverse=True)
-            key = np.unique(sent * len(vocab) + w)
-            ws, ss = key % len(vocab), key // len(vocab)
-            d = np.bincount(ws, minlength=len(vocab))
-            parts.append((0, vocab, np.zeros(len(vocab), np.int64), np.bincount(ws, n[ss], len(vocab)).astype(np.int64), d))
-            # neighbours
-            inside = np.flatnonzero(sent[1:] == sent[:-1])
-            with np.errstate(over="ignore"):
-                pair = flat[inside] * np.int64(0x27D4EB2F165667C5) + flat[inside + 1]
-            u, inv = np.unique(pair, return_inverse=True)
-            parts.append((1, u, np.zeros(len(u), np.int64), np.bincount(inv, n[sent[inside]], len(u)).astype(np.int64), np.bincount(inv, minlength=len(u))))
-            # pairs of words within a sentence, common words and those of a single sentence left out
-            good = (d <= max(COMMON * len(toks), 3)) & (d > 1)
-            keep = good[ws]
-            ws, ss = ws[keep], ss[keep]
-            starts = np.flatnonzero(np.r_[True, ss[1:] != ss[:-1]]) if len(ss) else np.empty(0, np.int64)
-            sizes = np.diff(np.r_[starts, len(ss)]) if len(ss) else np.empty(0, np.int64)
-            codes = []
-            for gap in range(1, int(sizes.max()) if len(sizes) else 0):
-                i = np.flatnonzero(ss[gap:] == ss[:-gap])
-                codes.append(ws[i] * len(vocab) + ws[i + gap])
-            if codes:
-                u, c = np.unique(np.concatenate(codes), return_counts=True)
-                parts.append((2, vocab[u // len(vocab)], vocab[u % len(vocab)], c, c))
         tagged = Counter((w, tag) for p, tag in posts if p for w in {x for s in p for x in of[s]})
-        if tagged:
-            a = np.array([w for w, _ in tagged], np.int64)
-            b = np.array([_id("#" + (tag or "")) for _, tag in tagged], np.int64)
-            c = np.array(list(tagged.values()), np.int64)
-            parts.append((4, a, b, c, c))
-        parts.append((3, np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([n.sum()]), np.array([len(toks)])))
-        cols = [np.concatenate([np.full(len(p[1]), p[0], np.int8) for p in parts]), *[np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (1, 2, 3, 4)]]
+        a = np.array([w for w, _ in tagged], np.int64)
+        b = np.array([_id("#" + (tag or "")) for _, tag in tagged], np.int64)
+        none = np.zeros(len(times), np.int64)
+        kind = np.r_[np.full(len(times), 3, np.int8), np.full(len(tagged), 4, np.int8)]
+        uses = np.array([*times.values(), *tagged.values()], np.int64)
         texts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "a", "b", "uses", "sentences"])
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.r_[none, a]), pa.array(np.r_[none, b]), pa.array([*times, *[None] * len(tagged)], pa.string()), pa.array(uses)], names=["kind", "a", "b", "sentence", "uses"])
 
     for b in batches:
         for t, tag in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -157,6 +123,72 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield counted()
 
 
+def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of different sentences (sentence, uses): words, the sentence of each word, uses of each sentence."""
+    toks: list[list[int]] = []
+    uses: list[int] = []
+
+    def arrays() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        length = np.array([len(t) for t in toks], np.int64)
+        out = np.array([x for t in toks for x in t], np.int64), np.repeat(np.arange(len(toks)), length), np.array(uses, np.int64)
+        toks.clear()
+        uses.clear()
+        return out
+
+    for b in batches:
+        toks += [words(s) for s in b.column(0).to_pylist()]
+        uses += b.column(1).to_pylist()
+        if len(toks) >= BATCH_SENTENCES:
+            yield arrays()
+    if toks:
+        yield arrays()
+
+
+def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different sentences (sentence, uses) to counts (kind, a, uses, sentences): 0 words, 1 neighbouring words."""
+    for flat, sent, n in _tokenized(batches):
+        if not len(flat):
+            continue
+        # words, once a sentence
+        vocab, w = np.unique(flat, return_inverse=True)
+        key = np.unique(sent * len(vocab) + w)
+        ws, ss = key % len(vocab), key // len(vocab)
+        # neighbours
+        inside = np.flatnonzero(sent[1:] == sent[:-1])
+        with np.errstate(over="ignore"):
+            pair = flat[inside] * np.int64(0x27D4EB2F165667C5) + flat[inside + 1]
+        u, inv = np.unique(pair, return_inverse=True)
+        cols = [
+            np.r_[np.zeros(len(vocab), np.int8), np.ones(len(u), np.int8)], np.r_[vocab, u],
+            np.r_[np.bincount(ws, n[ss], len(vocab)), np.bincount(inv, n[sent[inside]], len(u))].astype(np.int64), np.r_[np.bincount(ws, minlength=len(vocab)), np.bincount(inv, minlength=len(u))].astype(np.int64),
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "a", "uses", "sentences"])
+
+
+def _pair_batches(nodes: np.ndarray):
+    """Different sentences (sentence, uses) to counts (a, b, sentences), a < b, of pairs of the (sorted) words `nodes`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for flat, sent, _ in _tokenized(batches):
+            if not len(nodes) or not len(flat):
+                continue
+            w = np.minimum(np.searchsorted(nodes, flat), len(nodes) - 1)
+            keep = nodes[w] == flat
+            key = np.unique(sent[keep] * len(nodes) + w[keep])
+            ws, ss = key % len(nodes), key // len(nodes)
+            starts = np.flatnonzero(np.r_[True, ss[1:] != ss[:-1]]) if len(ss) else np.empty(0, np.int64)
+            sizes = np.diff(np.r_[starts, len(ss)]) if len(ss) else np.empty(0, np.int64)
+            codes = []
+            for gap in range(1, int(sizes.max()) if len(sizes) else 0):
+                i = np.flatnonzero(ss[gap:] == ss[:-gap])
+                codes.append(ws[i] * len(nodes) + ws[i + gap])
+            if codes:
+                u, c = np.unique(np.concatenate(codes), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[u // len(nodes)]), pa.array(nodes[u % len(nodes)]), pa.array(c.astype(np.int64))], names=["a", "b", "sentences"])
+
+    return run
+
+
 def _seeds(examples: DataFrame) -> DataFrame:
     """Words of the labelled texts: (a, subject, share of the word's labelled sentences)."""
 
@@ -174,19 +206,24 @@ def model(df: DataFrame, examples: DataFrame, text: str = "text", tag: str = "as
 
     `company` is the mean number of other words of the same subject in a word's sentences.
     """
-    counts = cut(df.select(text, tag).mapInArrow(_count_batches, "kind byte, a long, b long, uses long, sentences long").groupBy("kind", "a", "b").agg(F.sum("uses").alias("uses"), F.sum("sentences").alias("sentences")).where(F.expr(f"kind in (0, 3, 4) or kind = 1 and uses >= {FIXED_USES} and sentences <= {FIXED} * uses or kind = 2 and sentences >= {LEAST}")))
-    total = counts.where("kind = 3").agg(F.sum("sentences")).first()[0] or 1
+    # every different sentence of all rows stands in one row, so that counts over it add up
+    seen = cut(df.select(text, tag).mapInArrow(_sentence_batches, "kind byte, a long, b long, sentence string, uses long").groupBy("kind", "a", "b", "sentence").agg(F.sum("uses").alias("uses")))
+    different = seen.where("kind = 3").select("sentence", "uses")
+    total = different.count() or 1
+    counts = cut(different.mapInArrow(_word_batches, "kind byte, a long, uses long, sentences long").groupBy("kind", "a").agg(F.sum("uses").alias("uses"), F.sum("sentences").alias("sentences")).where(F.expr(f"kind = 0 or uses >= {FIXED_USES} and sentences <= {FIXED} * uses")))
     vocab = counts.where("kind = 0").select("a", F.col("sentences").alias("n"), "uses")
-    fixed = bitmap(counts.where("kind = 1").where((F.col("uses") >= FIXED_USES) & (F.col("sentences") <= FIXED * F.col("uses"))).select(F.col("a").alias("hash")))
+    fixed = bitmap(counts.where("kind = 1").select(F.col("a").alias("hash")))
     nodes = vocab.where(F.col("n") >= max(NODE_SENTENCES, NODE_SHARE * total))
-    pairs = counts.where("kind = 2").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("sentences").alias("n_ab"))
+    # no more words than a sentence has on average, divided by `NODE_SHARE`
+    linked = np.sort(np.array([r["a"] for r in nodes.where(F.col("n") <= max(COMMON * total, 3)).select("a").collect()], np.int64))
+    pairs = cut(different.mapInArrow(_pair_batches(linked), "a long, b long, sentences long").groupBy("a", "b").agg(F.sum("sentences").alias("n_ab")).where(F.col("n_ab") >= LEAST))
     pairs = pairs.join(nodes.select("a", F.col("n").alias("n_a")), "a").join(nodes.select(F.col("a").alias("b"), F.col("n").alias("n_b")), "b")
     lift = F.col("n_ab") * F.lit(float(total)) / (F.col("n_a") * F.col("n_b"))
     pairs = pairs.withColumn("verified", (lift >= LIFT) & (F.col("n_ab") >= LEAST))
     edges = cut(pairs.select("a", "b", "verified", "n_ab", "n_a", "n_b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "verified", "n_ab", F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b"))))
     seeds = cut(_seeds(examples).where(F.col("share") >= PURITY).join(nodes.select("a"), "a", "left_semi").select("a", F.col("subject").alias("seed"), F.col("share").alias("score"), "n"))
     first = seeds.select("a", F.col("seed").alias("subject"), "score")
-    tags = counts.where("kind = 4").select("a", "b", F.col("uses").alias("posts")).join(nodes.select("a"), "a")
+    tags = seen.where("kind = 4").select("a", "b", F.col("uses").alias("posts")).join(nodes.select("a"), "a")
     spread = tags.join(first, "a").groupBy("b", "subject").agg(F.sum(F.col("posts") * F.col("score")).alias("s"))
     even = spread.withColumn("s", F.col("s") / F.sum("s").over(Window.partitionBy("subject")))
     meant = even.withColumn("share", F.col("s") / F.sum("s").over(Window.partitionBy("b"))).where(F.col("share") >= TAG_PURITY).select("b", "subject")

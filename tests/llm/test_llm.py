@@ -3,10 +3,12 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillstream.llm import cut_texts, encode, encoding, leaks, names, near_copies, personal, subjects, text_form
+from quillstream.llm.bitmap import has
 
 SF = "/root/testdata/sf0.001"
 
@@ -277,6 +279,16 @@ def test_subjects(spark):
     assert subjects.subjects(df.limit(0), ex).count() == 0
 
 
+def test_sentences_count_once_over_all_partitions(spark):
+    rows = [(f"Long way home as usual. The kettle number {'abcdefgh'[k]}x boils.", None) for k in range(8)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), "text string, assignedTag string")
+    _, fixed = subjects.model(df, spark.createDataFrame([(1, "The kettle boils.", "food")], "example_id long, text string, subject string"))
+    a, b, c = (np.array(subjects.words(x), np.int64) for x in ("long way", "the kettle", "home as"))
+    with np.errstate(over="ignore"):
+        pair = np.array([x[0] * np.int64(0x27D4EB2F165667C5) + x[1] for x in (a, c, b)])
+    assert has(fixed, pair).tolist() == [True, True, False]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_queries_run(spark):
     from quillstream.llm.queries import queries
