@@ -132,13 +132,17 @@ def iso_utc(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def handle(url: Column) -> Column:
+    """The last part of the URL's path in lower case without its first `@`; null where it is no URL."""
+    return F.lower(F.regexp_replace(F.regexp_extract(F.call_function("try_parse_url", url, F.lit("PATH")), "([^/]+)/*$", 1), "^([^@]*)@", "$1"))
+
+
 def author_match(a: Column, b: Column, url_a: Column, url_b: Column) -> Column:
     """Do two authors match by name or handle? Equal, equal without marks, one within the other, the same last part of the
     URL, or an edit distance below a fifth. Null and blank names never match; the relation isn't transitive."""
     na, nb = F.lower(F.trim(a)), F.lower(F.trim(b))
     norm = lambda c: F.regexp_replace(c, "[@_\\s0-9-]", "")
     ma, mb = norm(na), norm(nb)
-    handle = lambda u: F.lower(F.regexp_replace(F.regexp_extract(F.call_function("try_parse_url", u, F.lit("PATH")), "([^/]+)/*$", 1), "^([^@]*)@", "$1"))
     longest = F.greatest(F.length(ma), F.length(mb))
     close = (1 - F.levenshtein(ma, mb) / F.nullif(longest, F.lit(0)) > 0.8) & (longest > 4)
     within = (F.length(ma) > 3) & (F.length(mb) > 3) & (ma.contains(mb) | mb.contains(ma))

@@ -2,63 +2,62 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.functions.text import author_match
-
-
-def _norm(name: str) -> str:
-    return re.sub(r"[@_\-\s\d]", "", name.strip().lower())
+from quillstream.functions.text import author_match, handle
+from quillstream.session import cut
 
 
-def author_pairs(authors: DataFrame, key: str = "authorRef", blocks: tuple[int, ...] = (3,)) -> DataFrame:
-    """Pairs (a, b), a < b, of authors that match, among those that share a block: a run of three letters of the bare name,
-    or the last part of the URL. Any two matching names of three letters or more share one, so no pair is lost.
-
-    Equal names are folded to one row before they meet and unfolded afterwards.
-    """
+def _matches(authors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(ids, hits): the id (least key of equal name and URL) of every author with a name, and the pairs (a, b), a < b, of ids that match."""
     rows = authors.where(F.trim("authorName") != "").select(F.col(key).alias("ref"), F.lower(F.trim("authorName")).alias("name"), F.coalesce("authorUrl", F.lit("")).alias("url"))
     each = rows.groupBy("name", "url").agg(F.min("ref").alias("id"))
     bare = F.regexp_replace("name", "[@_\\s0-9-]", "")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare) - 2, F.lit(1))), lambda i: bare.substr(i, F.lit(3)))
-    keys = each.select("id", F.explode(F.array_distinct(F.concat(F.array("name"), grams, F.array(F.concat(F.lit("/"), F.lower(F.regexp_extract("url", "([^/]+)/*$", 1))))))).alias("k"))
+    # an author without a handle has no such block
+    handles = F.when(handle(F.col("url")) != "", F.array(F.concat(F.lit("/"), handle(F.col("url"))))).otherwise(F.array().cast("array<string>"))
+    keys = each.select("id", F.explode(F.array_distinct(F.concat(F.array("name"), grams, handles))).alias("k"))
     near = keys.toDF("a", "k").join(keys.toDF("b", "k"), "k").where("a < b").select("a", "b").distinct()
     side = lambda s: each.select(F.col("id").alias(s), F.col("name").alias(f"name_{s}"), F.col("url").alias(f"url_{s}"))
     hits = near.join(side("a"), "a").join(side("b"), "b").where(author_match(F.col("name_a"), F.col("name_b"), F.col("url_a"), F.col("url_b"))).select("a", "b")
-    ids = rows.join(each, ["name", "url"]).select("ref", "id")
+    return rows.join(each, ["name", "url"]).select("ref", "id"), hits
+
+
+def author_pairs(authors: DataFrame, key: str = "authorRef", blocks: tuple[int, ...] = (3,)) -> DataFrame:
+    """Pairs (a, b), a < b, of authors that match, among those that share a block: a run of three letters of the bare name,
+    or the handle of the URL. Any two matching names of three letters or more share one, so no pair is lost.
+
+    Equal names are folded to one row before they meet and unfolded afterwards.
+    """
+    ids, hits = _matches(authors, key)
     same = ids.toDF("a", "id").join(ids.toDF("b", "id"), "id").where("a < b").select("a", "b")
     other = hits.join(ids.toDF("ra", "a"), "a").join(ids.toDF("rb", "b"), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
     return same.unionByName(other)
 
 
 def canonical_names(authors: DataFrame, key: str = "authorRef") -> DataFrame:
-    """Rows (key, canonical): greedy from the oldest on, each author takes the name of the first one that matches.
+    """Rows (key, canonical): greedy from the oldest on, each author takes the name of the first one that matches and has
+    kept its own.
 
-    The greedy fold is sequential, so it runs apart for each first letter of the bare name, over distinct names only.
-    Null and blank names are their own.
+    An author keeps its name if no earlier one that keeps its own matches. Each round settles all whose earlier matches are
+    settled, so the result is that of the sequential fold over all authors. Null and blank names are their own.
     """
-    rows = authors.select(F.col(key).alias("ref"), F.trim("authorName").alias("name"), F.coalesce("authorUrl", F.lit("")).alias("url"))
-    named = rows.where("name <> ''")
-    each = named.groupBy("name").agg(F.min("ref").alias("ref"), F.min_by("url", "ref").alias("url"))
-    each = each.withColumn("part", F.substring(F.regexp_replace(F.lower("name"), "[@_\\s0-9-]", ""), 1, 2))
-
-    def fold(b: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[str, str]] = []
-        exact: dict[str, str] = {}
-        out = []
-        for r in b.sort_values("ref").itertuples(index=False):
-            n = _norm(r.name)
-            got = exact.get(n) or next((full for bare, full in kept if len(bare) > 3 and len(n) > 3 and (bare in n or n in bare)), None)
-            if got is None:
-                got = r.name
-                kept.append((n, r.name))
-            exact.setdefault(n, got)
-            out.append((r.name, got))
-        return pd.DataFrame(out, columns=["name", "canonical"])
-
-    folded = each.groupBy("part").applyInPandas(fold, "name string, canonical string")
-    return rows.join(folded, "name", "left").select(F.col("ref").alias(key), F.coalesce("canonical", "name").alias("canonical"))
+    ids, hits = _matches(authors, key)
+    ids, hits = cut(ids), cut(hits)
+    first = ids.select("id").distinct()
+    kept = cut(first.join(hits.select(F.col("b").alias("id")), "id", "left_anti"))
+    fresh, left = kept, hits
+    while not left.isEmpty():
+        taken = left.join(fresh.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        rest = left.join(fresh.withColumnRenamed("id", "a"), "a", "left_anti")
+        open_ = cut(left.select(F.col("b").alias("id")).distinct().join(taken, "id", "left_anti"))
+        # a match with an author that took another's name binds nobody
+        left = cut(rest.join(open_.withColumnRenamed("id", "a"), "a", "left_semi").join(open_.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"))
+        fresh = cut(open_.join(left.select(F.col("b").alias("id")), "id", "left_anti"))
+        kept = kept.unionByName(fresh)
+    took = hits.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").groupBy("b").agg(F.min("a").alias("of")).withColumnRenamed("b", "id")
+    rows = authors.select(F.col(key).alias("ref"), F.trim("authorName").alias("name"))
+    names = rows.select(F.col("ref").alias("of"), F.col("name").alias("canonical"))
+    of = ids.join(took.join(kept, "id", "left_anti"), "id", "left").select("ref", F.coalesce("of", "id").alias("of"))
+    return rows.join(of.join(names, "of").select("ref", "canonical"), "ref", "left").select(F.col("ref").alias(key), F.coalesce("canonical", "name").alias("canonical"))

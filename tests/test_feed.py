@@ -100,6 +100,29 @@ def test_authors_against_brute_force(spark):
     assert canon[2] == "John Doe" and canon[8] is None and canon[9] == ""
 
 
+def test_canonical_names_against_a_fold(spark):
+    rows = [
+        (1, "Daily News", None), (2, "The Daily News", None), (3, "Jon Smith", None), (4, "John Smith", None), (5, "Ann Lee", "https://x.com/@q7?ref=feed"), (6, "Boris", "https://y.com/in/q7/"),
+        (7, "Smith", None), (8, "John Smithers", None), (9, "Al", None), (10, "al", None), (11, "Borisov", None), (12, None, None), (13, "", None), (14, "Zed", "no url"), (15, "daily news", None), (16, "Boris", "https://y.com/in/q7/"),
+    ]
+    rows += [(20 + k, f"{'abcdefgh'[k % 8] * 2}{'mnopq'[k % 5]}{'harbour'[: 3 + k % 5]}{'xyz'[k % 3]}", f"https://z.com/u{k % 23}" if k % 2 else None) for k in range(80)]
+    df = spark.createDataFrame(rows, "authorRef long, authorName string, authorUrl string")
+    from quillstream.functions.text import author_match
+
+    both = df.toDF("a", "na", "ua").crossJoin(df.toDF("b", "nb", "ub")).where("a < b").where(author_match(F.col("na"), F.col("nb"), F.coalesce("ua", F.lit("")), F.coalesce("ub", F.lit(""))))
+    match = {(r["a"], r["b"]) for r in both.collect()}
+    known, want = [], {}
+    for ref, name, _ in rows:
+        got = next((k for k in known if (k, ref) in match), None)
+        if got is None:
+            known.append(ref)
+        want[ref] = name if got is None else want[got]
+    assert {r[0]: r[1] for r in A.canonical_names(df).collect()} == want
+    assert {tuple(r) for r in A.author_pairs(df).collect()} == match
+    assert want[2] == "Daily News" and want[4] == "Jon Smith" and want[6] == "Ann Lee" and want[11] == "Borisov"
+    assert A.canonical_names(df.limit(0)).count() == 0
+
+
 def test_pages(spark):
     html = '<html><body><nav>Home</nav><article class="post"><h2>Sponsored</h2><a rel="author" href="/u/ann">Ann</a><p>A long enough text about the harbour and its ferries, written for this test.</p><a href="/status/5">link</a></article><article><p>short</p></article></body></html>'
     df = spark.createDataFrame([(1, "https://www.chirrup.example/home", html), (2, "u", None), (3, None, "")], "page_id long, url string, html string")
