@@ -92,20 +92,20 @@ def local_entities(text: Column, category: Column) -> Column:
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def _pairs(texts: pd.Series) -> pd.Series:
+def _runs(texts: pd.Series) -> pd.Series:
     def one(text: str | None) -> list[str] | None:
         if text is None:
             return None
         words = re.sub(r"[^\w\s-]", " ", text, flags=re.ASCII).lower().split()
         heavy = [len(w) >= 2 and w not in STOP_WORDS for w in words]
-        return list(dict.fromkeys(f"{words[i]} {words[i + 1]}" for i in range(len(words) - 1) if heavy[i] and heavy[i + 1]))
+        return list(dict.fromkeys(" ".join(words[i : i + n]) for i in range(len(words)) for n in (2, 3) if i + n <= len(words) and all(heavy[i : i + n])))
 
     return texts.map(one)
 
 
 def ngrams(text: Column) -> Column:
-    """Neighbouring pairs of words that carry weight, in lower case, each once. Null stays null."""
-    return _pairs(text)
+    """Neighbouring pairs and triples of words that carry weight, in lower case, each once. Null stays null."""
+    return _runs(text)
 
 
 def escape_html(text: Column) -> Column:

@@ -122,7 +122,7 @@ def noun_topics(spark, d):
 
 @query()
 def phrase_counts(spark, d):
-    """Neighbouring pairs of weighty words by posts; tested against a plain Python version."""
+    """Neighbouring pairs and triples of weighty words by posts; tested against a plain Python version."""
     return stack(spark, d).select(F.explode(T.ngrams(F.col("text"))).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
 
 

@@ -80,8 +80,9 @@ def is_card(n: Node) -> bool:
     """A card of a site without a known layout: a link text of 20 to 180 characters and 15 to 600 of other text."""
     if n.tag not in ("div", "li", "section"):
         return False
-    links = [x for x in n.walk() if x.tag == "a" and x.attrs.get("href")]
-    return any(20 <= len(t := a.text()) <= 180 and 15 <= len(n.text()) - len(t) <= 600 for a in links[:3])
+    # links to the page itself, its start, searches and tags are no titles
+    links = [x for x in n.walk() if x.tag == "a" and (h := x.attrs.get("href")) and not h.startswith(("#", "javascript:")) and h != "/" and "search" not in h and "tag" not in h]
+    return any(20 <= len(t := a.text()) <= 180 and 15 <= len(n.text()) - len(t) <= 600 for a in links)
 
 
 def is_ad(n: Node) -> bool:

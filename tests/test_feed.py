@@ -130,6 +130,15 @@ def test_pages(spark):
     assert (r["page_id"], r["sourcePlatform"], r["sourceUrl"], r["authorName"], r["isAd"]) == (1, "chirrup.example", "https://www.chirrup.example/status/5", "Ann", True)
 
 
+def test_triples_and_late_card_links(spark):
+    from quillstream.functions.text import ngrams
+
+    df = spark.createDataFrame([("Yield curve inversion, the harbour",)], "text string")
+    assert df.select(ngrams(F.col("text"))).first()[0] == ["yield curve", "yield curve inversion", "curve inversion"]
+    html = "<div>" + "".join(f'<a href="/{k}">{k}</a> ' for k in range(4)) + '<a href="/t">A title of more than twenty letters</a> and some more words beside it</div>'
+    assert len(pages.extract(html, "https://a.example/")) == 1
+
+
 def test_stores(spark, posts, tmp_path):
     path = str(tmp_path / "s")
     keep = posts.select("seq", "text", "assignedTag")
