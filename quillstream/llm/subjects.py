@@ -12,15 +12,16 @@ A sentence then takes the subject of its words. Fixed phrases (small talk, figur
 word, while a word's own sentences differ; word pairs that nearly always return within the same sentence
 mark such phrases, and their sentences take no subject.
 
-Sentences are made distinct over all rows before words and pairs are counted; equal ones are combined in each batch
-and before the shuffle, so that copies weigh nothing. The word table that the tasks get holds at most
-`MODEL_WORDS` words, those in most sentences; it is the model, all counts behind it cover all rows.
+Texts are read and split once: posts are kept as lists of sentence hashes, different sentences as lists of word ids
+(32 bits of a hash). All counts are taken over sentences made distinct over all rows, so that neither copies nor the
+layout of the rows weigh anything. What the tasks get is bounded: a word is a node only if it stands in `NODE_SHARE` of all
+different sentences, so there are at most (mean words of a sentence) / `NODE_SHARE` nodes, some 50,000, and as many
+labelled words; a pair marks fixed phrases only if it makes up `FIXED_OF_ALL` of all uses of sentences.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.bitmap import bitmap, has
 from quillstream.llm.cut_texts import _boundaries, split_end
 from quillstream.llm.text_form import consistent
-from quillstream.session import cut
+from quillstream.session import cut, kept
 
-MODEL_WORDS, ROUNDS = 100_000, 3
+ROUNDS = 3
 #: A verified edge needs this lift over chance and so many sentences; a label needs so many verified edges to words
 #: that have it and this share of all labelled company of the word; a seed keeps its label from half of that on.
 LIFT, LEAST, EDGES, PURITY = 3.0, 2, 3, 0.7
@@ -51,8 +51,7 @@ TAG_PURITY, TAG_POSTS, TAG_SHARE, FLAT, TAG_ALL = 0.5, 6, 0.6, 0.45, 0.3
 #: Words in more than this share of all sentences make no edges.
 COMMON = 0.03
 #: A word pair marks fixed phrases if its sentences are so much rarer than its uses.
-FIXED, FIXED_USES, FIXED_SHARE = 0.34, 4, 0.4
-BATCH_ROWS, BATCH_SENTENCES = 10_000, 30_000
+FIXED, FIXED_USES, FIXED_OF_ALL, FIXED_SHARE = 0.34, 4, 2e-6, 0.4
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
 
 
@@ -70,7 +69,7 @@ _ids = _Ids()
 
 
 def _id(w: str) -> int:
-    return xxhash.xxh64_intdigest(w) - 2**63
+    return xxhash.xxh32_intdigest(w) - 2**31
 
 
 def sentences(text: str | None) -> list[str]:
@@ -96,95 +95,109 @@ def words(sentence: str) -> list[int]:
     return [_ids[w] for w in _TOKEN.findall(sentence)]
 
 
-def _sentence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, tag) to counts (kind, a, b, sentence, uses): 3 sentences, 4 words and tags of one post."""
-    texts: list[tuple[str, str | None]] = []
+def _lists(values: list | np.ndarray, counts: list[int] | np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values, kind))
 
-    def counted() -> pa.RecordBatch:
-        posts = [(sentences(t), tag) for t, tag in texts]
-        times = Counter(s for p, _ in posts for s in p)
-        of = {s: words(s) for s in times}
-        tagged = Counter((w, tag) for p, tag in posts if p for w in {x for s in p for x in of[s]})
-        a = np.array([w for w, _ in tagged], np.int64)
-        b = np.array([_id("#" + (tag or "")) for _, tag in tagged], np.int64)
-        none = np.zeros(len(times), np.int64)
-        kind = np.r_[np.full(len(times), 3, np.int8), np.full(len(tagged), 4, np.int8)]
-        uses = np.array([*times.values(), *tagged.values()], np.int64)
-        texts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.r_[none, a]), pa.array(np.r_[none, b]), pa.array([*times, *[None] * len(tagged)], pa.string()), pa.array(uses)], names=["kind", "a", "b", "sentence", "uses"])
 
+def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text, tag) to posts (key, sents) and, once a batch, sentences under a tag (hash, tag, words, uses)."""
     for b in batches:
-        for t, tag in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if t:
-                texts.append((t, tag))
-            if len(texts) >= BATCH_ROWS:
-                yield counted()
-    if texts:
-        yield counted()
-
-
-def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Batches of different sentences (sentence, uses): words, the sentence of each word, uses of each sentence."""
-    toks: list[list[int]] = []
-    uses: list[int] = []
-
-    def arrays() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        length = np.array([len(t) for t in toks], np.int64)
-        out = np.array([x for t in toks for x in t], np.int64), np.repeat(np.arange(len(toks)), length), np.array(uses, np.int64)
-        toks.clear()
-        uses.clear()
-        return out
-
-    for b in batches:
-        toks += [words(s) for s in b.column(0).to_pylist()]
-        uses += b.column(1).to_pylist()
-        if len(toks) >= BATCH_SENTENCES:
-            yield arrays()
-    if toks:
-        yield arrays()
+        known: dict[str, int] = {}
+        uses: dict[tuple[str, str | None], int] = {}
+        at, sents, lengths = [], [], []
+        for k, (t, tag) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+            if not (found := sentences(t)):
+                continue
+            at.append(k)
+            lengths.append(len(found))
+            for s in found:
+                if (h := known.get(s)) is None:
+                    known[s] = h = xxhash.xxh64_intdigest(s) - 2**63
+                sents.append(h)
+                uses[s, tag] = uses.get((s, tag), 0) + 1
+        ids = {s: words(s) for s in known}
+        n, m = len(at), len(uses)
+        own = [ids[s] for s, _ in uses]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.nulls(m, b.column(0).type)]),
+                pa.concat_arrays([_lists(np.array(sents, np.int64), lengths, pa.int64()), pa.nulls(m, pa.list_(pa.int64()))]),
+                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array([known[s] for s, _ in uses], pa.int64())]),
+                pa.array([None] * n + [tag for _, tag in uses], pa.string()),
+                pa.concat_arrays([pa.nulls(n, pa.list_(pa.int32())), _lists([w for x in own for w in x], [len(x) for x in own], pa.int32())]),
+                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(uses.values(), pa.int64())]),
+            ],
+            names=["key", "sents", "hash", "tag", "words", "uses"],
+        )
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the sentences one after the other, the sentence of each, and their number in each."""
+    size = np.diff(lists.offsets.to_numpy())
+    return lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(size)), size), size
+
+
+def _neighbours(flat: np.ndarray, sent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of neighbouring words, two ids in 64 bits, and the sentence of each."""
+    inside = np.flatnonzero(sent[1:] == sent[:-1])
+    return flat[inside] << 32 | flat[inside + 1] & 0xFFFFFFFF, sent[inside]
 
 
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Different sentences (sentence, uses) to counts (kind, a, uses, sentences): 0 words, 1 neighbouring words."""
-    for flat, sent, n in _tokenized(batches):
+    """Different sentences (words, uses) to counts (kind, a, uses, sentences): 0 words, 1 neighbouring words."""
+    for b in batches:
+        flat, sent, _ = _flat(b.column(0))
+        n = b.column(1).to_numpy()
         if not len(flat):
             continue
         # words, once a sentence
         vocab, w = np.unique(flat, return_inverse=True)
         key = np.unique(sent * len(vocab) + w)
         ws, ss = key % len(vocab), key // len(vocab)
-        # neighbours
-        inside = np.flatnonzero(sent[1:] == sent[:-1])
-        with np.errstate(over="ignore"):
-            pair = flat[inside] * np.int64(0x27D4EB2F165667C5) + flat[inside + 1]
+        pair, of = _neighbours(flat, sent)
         u, inv = np.unique(pair, return_inverse=True)
         cols = [
             np.r_[np.zeros(len(vocab), np.int8), np.ones(len(u), np.int8)], np.r_[vocab, u],
-            np.r_[np.bincount(ws, n[ss], len(vocab)), np.bincount(inv, n[sent[inside]], len(u))].astype(np.int64), np.r_[np.bincount(ws, minlength=len(vocab)), np.bincount(inv, minlength=len(u))].astype(np.int64),
+            np.r_[np.bincount(ws, n[ss], len(vocab)), np.bincount(inv, n[of], len(u))].astype(np.int64), np.r_[np.bincount(ws, minlength=len(vocab)), np.bincount(inv, minlength=len(u))].astype(np.int64),
         ]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "a", "uses", "sentences"])
 
 
-def _pair_batches(nodes: np.ndarray):
-    """Different sentences (sentence, uses) to counts (a, b, sentences), a < b, of pairs of the (sorted) words `nodes`."""
+def _pair_batches(nodes: np.ndarray, linked: np.ndarray):
+    """Different sentences (words, tags) to counts (kind, a, b, sentences): 2 pairs a < b of the words `linked`, 4 words
+    of `nodes` with a tag. Both arrays are sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for flat, sent, _ in _tokenized(batches):
+        for b in batches:
+            flat, sent, _ = _flat(b.column(0))
             if not len(nodes) or not len(flat):
                 continue
             w = np.minimum(np.searchsorted(nodes, flat), len(nodes) - 1)
             keep = nodes[w] == flat
             key = np.unique(sent[keep] * len(nodes) + w[keep])
             ws, ss = key % len(nodes), key // len(nodes)
+            # under its tags, each sentence counts once
+            tags = b.column(1)
+            name, t = np.unique(np.array([_id("#" + (x or "")) for x in tags.flatten().to_pylist()], np.int64), return_inverse=True)
+            per = np.diff(tags.offsets.to_numpy())
+            times = per[ss]
+            first = tags.offsets.to_numpy()[:-1] - tags.offsets[0].as_py()
+            of = np.repeat(first[ss], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            tagged, n_tagged = np.unique(np.repeat(ws, times) * max(len(name), 1) + t[of], return_counts=True)
+            inside = np.isin(nodes, linked)[ws]
+            ws, ss = ws[inside], ss[inside]
             starts = np.flatnonzero(np.r_[True, ss[1:] != ss[:-1]]) if len(ss) else np.empty(0, np.int64)
             sizes = np.diff(np.r_[starts, len(ss)]) if len(ss) else np.empty(0, np.int64)
-            codes = []
+            codes = [np.empty(0, np.int64)]
             for gap in range(1, int(sizes.max()) if len(sizes) else 0):
                 i = np.flatnonzero(ss[gap:] == ss[:-gap])
                 codes.append(ws[i] * len(nodes) + ws[i + gap])
-            if codes:
-                u, c = np.unique(np.concatenate(codes), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[u // len(nodes)]), pa.array(nodes[u % len(nodes)]), pa.array(c.astype(np.int64))], names=["a", "b", "sentences"])
+            u, c = np.unique(np.concatenate(codes), return_counts=True)
+            cols = [
+                np.r_[np.full(len(u), 2, np.int8), np.full(len(tagged), 4, np.int8)], np.r_[nodes[u // len(nodes)], nodes[tagged // max(len(name), 1)]],
+                np.r_[nodes[u % len(nodes)], name[tagged % max(len(name), 1)]], np.r_[c, n_tagged].astype(np.int64),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["kind", "a", "b", "sentences"])
 
     return run
 
@@ -201,29 +214,31 @@ def _seeds(examples: DataFrame) -> DataFrame:
     return seen.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("a")))
 
 
-def model(df: DataFrame, examples: DataFrame, text: str = "text", tag: str = "assignedTag") -> tuple[DataFrame, np.ndarray]:
-    """The words' subjects (a, subject, purity, company) and the bit array of word pairs that mark fixed phrases.
+def model(different: DataFrame, examples: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """The words' subjects (a, subject, purity, company) and the sorted word pairs that mark fixed phrases, from the
+    different sentences (words, tags, uses).
 
     `company` is the mean number of other words of the same subject in a word's sentences.
     """
-    # every different sentence of all rows stands in one row, so that counts over it add up
-    seen = cut(df.select(text, tag).mapInArrow(_sentence_batches, "kind byte, a long, b long, sentence string, uses long").groupBy("kind", "a", "b", "sentence").agg(F.sum("uses").alias("uses")))
-    different = seen.where("kind = 3").select("sentence", "uses")
-    total = different.count() or 1
-    counts = cut(different.mapInArrow(_word_batches, "kind byte, a long, uses long, sentences long").groupBy("kind", "a").agg(F.sum("uses").alias("uses"), F.sum("sentences").alias("sentences")).where(F.expr(f"kind = 0 or uses >= {FIXED_USES} and sentences <= {FIXED} * uses")))
+    size = different.agg(F.count("*").alias("n"), F.sum("uses").alias("uses")).first()
+    total = size["n"] or 1
+    least = max(FIXED_USES, int(FIXED_OF_ALL * (size["uses"] or 0)))
+    counts = cut(different.select("words", "uses").mapInArrow(_word_batches, "kind byte, a long, uses long, sentences long").groupBy("kind", "a").agg(F.sum("uses").alias("uses"), F.sum("sentences").alias("sentences")).where(F.expr(f"kind = 0 or uses >= {least} and sentences <= {FIXED} * uses")))
     vocab = counts.where("kind = 0").select("a", F.col("sentences").alias("n"), "uses")
-    fixed = bitmap(counts.where("kind = 1").select(F.col("a").alias("hash")))
+    fixed = np.sort(np.array([r["a"] for r in counts.where("kind = 1").select("a").collect()], np.int64))
     nodes = vocab.where(F.col("n") >= max(NODE_SENTENCES, NODE_SHARE * total))
-    # no more words than a sentence has on average, divided by `NODE_SHARE`
-    linked = np.sort(np.array([r["a"] for r in nodes.where(F.col("n") <= max(COMMON * total, 3)).select("a").collect()], np.int64))
-    pairs = cut(different.mapInArrow(_pair_batches(linked), "a long, b long, sentences long").groupBy("a", "b").agg(F.sum("sentences").alias("n_ab")).where(F.col("n_ab") >= LEAST))
+    numbers = nodes.select("a", "n").collect()
+    every = np.sort(np.array([r["a"] for r in numbers], np.int64))
+    linked = np.sort(np.array([r["a"] for r in numbers if r["n"] <= max(COMMON * total, 3)], np.int64))
+    both = cut(different.select("words", "tags").mapInArrow(_pair_batches(every, linked), "kind byte, a long, b long, sentences long").groupBy("kind", "a", "b").agg(F.sum("sentences").alias("n_ab")).where(F.col("n_ab") >= F.when(F.col("kind") == 2, LEAST).otherwise(1)))
+    pairs = both.where("kind = 2").select("a", "b", "n_ab")
     pairs = pairs.join(nodes.select("a", F.col("n").alias("n_a")), "a").join(nodes.select(F.col("a").alias("b"), F.col("n").alias("n_b")), "b")
     lift = F.col("n_ab") * F.lit(float(total)) / (F.col("n_a") * F.col("n_b"))
     pairs = pairs.withColumn("verified", (lift >= LIFT) & (F.col("n_ab") >= LEAST))
     edges = cut(pairs.select("a", "b", "verified", "n_ab", "n_a", "n_b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "verified", "n_ab", F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b"))))
     seeds = cut(_seeds(examples).where(F.col("share") >= PURITY).join(nodes.select("a"), "a", "left_semi").select("a", F.col("subject").alias("seed"), F.col("share").alias("score"), "n"))
     first = seeds.select("a", F.col("seed").alias("subject"), "score")
-    tags = seen.where("kind = 4").select("a", "b", F.col("uses").alias("posts")).join(nodes.select("a"), "a")
+    tags = both.where("kind = 4").select("a", "b", F.col("n_ab").alias("posts"))
     spread = tags.join(first, "a").groupBy("b", "subject").agg(F.sum(F.col("posts") * F.col("score")).alias("s"))
     even = spread.withColumn("s", F.col("s") / F.sum("s").over(Window.partitionBy("subject")))
     meant = even.withColumn("share", F.col("s") / F.sum("s").over(Window.partitionBy("b"))).where(F.col("share") >= TAG_PURITY).select("b", "subject")
@@ -255,65 +270,60 @@ def model(df: DataFrame, examples: DataFrame, text: str = "text", tag: str = "as
     return table.select("a", "subject", "score", F.coalesce("company", F.lit(0.0)).alias("company"), "n"), fixed
 
 
-def _subjects_of(sents: list[str], table: dict[int, tuple[int, float, float]], fixed: np.ndarray) -> list[int]:
-    """The subject of each sentence, -1 for none."""
-    out = [-1] * len(sents)
-    ids_of: list[list[int]] = []
-    at: list[int] = []
-    get = table.get
-    for i, s in enumerate(sents):
-        ids = words(s)
-        if len(ids) < 3:
-            continue
-        votes: dict[int, list[tuple[int, float, float]]] = {}
-        for w in set(ids):
-            if got := get(w):
-                votes.setdefault(got[0], []).append(got)
-        if not votes:
-            continue
-        subject, v = max(votes.items(), key=lambda x: (sum(g[1] for g in x[1]), x[0]))
-        mass, company = sum(g[1] for g in v), sum(g[2] for g in v) / len(v)
-        total = sum(g[1] for x in votes.values() for g in x)
-        if mass >= 0.6 * total and len(v) >= (2 if company >= 1.2 else 1):
-            out[i] = subject
-            at.append(i)
-            ids_of.append(ids)
-    if at:  # fixed phrases name no subject
-        n = np.array([len(x) for x in ids_of])
-        flat = np.array([w for x in ids_of for w in x], np.int64)
-        with np.errstate(over="ignore"):
-            hit = has(fixed, flat[:-1] * np.int64(0x27D4EB2F165667C5) + flat[1:]).astype(float)
-        ends = np.cumsum(n)
-        total = np.r_[0.0, np.cumsum(hit)]
-        share = (total[ends - 1] - total[ends - n]) / (n - 1)
-        for i, x in zip(at, share):
-            if x >= FIXED_SHARE:
-                out[i] = -1
-    return out
+def _label_batches(table: np.ndarray, subject: np.ndarray, score: np.ndarray, company: np.ndarray, names: list[str], fixed: np.ndarray):
+    """Different sentences (hash, words) to (hash, subject) of those that are about an area.
 
+    `table` holds the labelled words in order; subject, score and company belong to them.
+    """
 
-def subjects(df: DataFrame, examples: DataFrame, key: str = "seq", text: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, sent, size = _flat(b.column(1))
+            if not len(flat) or not len(table):
+                continue
+            w = np.minimum(np.searchsorted(table, flat), len(table) - 1)
+            hit = table[w] == flat
+            key = np.unique(sent[hit] * len(table) + w[hit])
+            ws, ss = key % len(table), key // len(table)
+            at = ss * len(names) + subject[ws]
+            shape = (len(size), len(names))
+            mass = np.bincount(at, score[ws], len(size) * len(names)).reshape(shape)
+            votes = np.bincount(at, minlength=len(size) * len(names)).reshape(shape)
+            near = np.bincount(at, company[ws], len(size) * len(names)).reshape(shape)
+            # ties go to the name that is last in order
+            best = len(names) - 1 - np.argmax(mass[:, ::-1], axis=1)
+            i = np.arange(len(size))
+            n = votes[i, best]
+            told = (size >= 3) & (n > 0) & (mass[i, best] >= 0.6 * mass.sum(axis=1)) & (n >= np.where(near[i, best] / np.maximum(n, 1) >= 1.2, 2, 1))
+            # fixed phrases name no subject
+            pair, of = _neighbours(flat, sent)
+            f = np.minimum(np.searchsorted(fixed, pair), max(len(fixed) - 1, 0))
+            marks = np.bincount(of[fixed[f] == pair] if len(fixed) else of[:0], minlength=len(size))
+            told &= marks < FIXED_SHARE * (size - 1)
+            at = np.flatnonzero(told)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array([names[k] for k in best[at]], pa.string())], names=["hash", "subject"])
+
+    return run
+
+
+def subjects(df: DataFrame, examples: DataFrame, key: str = "seq", text: str = "text", tag: str = "assignedTag") -> DataFrame:
     """Rows (key, subject): one for each area that at least one whole sentence of the text is about.
 
     Null, empty and blank texts give no row, texts are read whole, a repeated row is judged under its own key, extra
     columns are dropped first. Empty tables give no rows; without examples nothing can be named.
     """
-    table, fixed = model(df, examples, text)
-    rows = table.orderBy(F.desc("n"), "a").limit(MODEL_WORDS).collect()
-    names = sorted({r["subject"] for r in rows})
-    at = {s: k for k, s in enumerate(names)}
-    known = {r["a"]: (at[r["subject"]], float(r["score"]), float(r["company"])) for r in rows}
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((known, fixed, names))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, fixed, names = shared.value
-        for b in batches:
-            of = [sentences(t) for t in b.column(1).to_pylist()]
-            all_ = list(dict.fromkeys(s for x in of for s in x))
-            subject = dict(zip(all_, _subjects_of(all_, known, fixed)))
-            found = [(i, names[s]) for i, x in enumerate(of) for s in sorted({subject[q] for q in x} - {-1})]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([f[1] for f in found], pa.string())], names=[key, "subject"])
-
-    few = df.select(key, text)
-    return few.mapInArrow(run, f"{key} {few.schema[key].dataType.simpleString()}, subject string")
+    few = df.select(F.col(key).alias("key"), text, F.col(tag).alias("tag"))
+    kind = few.schema["key"].dataType.simpleString()
+    with kept(few.mapInArrow(_split_batches, f"key {kind}, sents array<long>, hash long, tag string, words array<int>, uses long")) as split:
+        # equal sentences lie in one partition after the first shuffle
+        once = split.where("words is not null").select("hash", "tag", "words", "uses").repartition("hash").groupBy("hash", "tag").agg(F.first("words").alias("words"), F.sum("uses").alias("uses"))
+        once = once.groupBy("hash").agg(F.first("words").alias("words"), F.collect_list(F.coalesce("tag", F.lit(""))).alias("tags"), F.sum("uses").alias("uses"))
+        with kept(once) as different:
+            table, fixed = model(different, examples)
+            rows = sorted(table.select("a", "subject", "score", "company").collect())
+            names = sorted({r["subject"] for r in rows})
+            place = {s: k for k, s in enumerate(names)}
+            labels = _label_batches(np.array([r["a"] for r in rows], np.int64), np.array([place[r["subject"]] for r in rows], np.int64), np.array([r["score"] for r in rows], float), np.array([r["company"] for r in rows], float), names, fixed)
+            told = cut(different.select("hash", "words").mapInArrow(labels, "hash long, subject string"))
+        each = split.where("sents is not null").select("key", F.explode(F.array_distinct("sents")).alias("hash"))
+        return cut(each.join(told.hint("merge"), "hash").select(F.col("key").alias(key), "subject").distinct())
