@@ -99,6 +99,10 @@ def _lists(values: list | np.ndarray, counts: list[int] | np.ndarray, kind: pa.D
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values, kind))
 
 
+def _tag(tag: str | None) -> int:
+    return xxhash.xxh64_intdigest("#" + (tag or "")) - 2**63
+
+
 def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, text, tag) to posts (key, sents) and, once a batch, sentences under a tag (hash, tag, words, uses)."""
     for b in batches:
@@ -116,6 +120,7 @@ def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 sents.append(h)
                 uses[s, tag] = uses.get((s, tag), 0) + 1
         ids = {s: words(s) for s in known}
+        tags = {tag: _tag(tag) for _, tag in uses}
         n, m = len(at), len(uses)
         own = [ids[s] for s, _ in uses]
         yield pa.RecordBatch.from_arrays(
@@ -123,7 +128,7 @@ def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 pa.concat_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.nulls(m, b.column(0).type)]),
                 pa.concat_arrays([_lists(np.array(sents, np.int64), lengths, pa.int64()), pa.nulls(m, pa.list_(pa.int64()))]),
                 pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array([known[s] for s, _ in uses], pa.int64())]),
-                pa.array([None] * n + [tag for _, tag in uses], pa.string()),
+                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array([tags[tag] for _, tag in uses], pa.int64())]),
                 pa.concat_arrays([pa.nulls(n, pa.list_(pa.int32())), _lists([w for x in own for w in x], [len(x) for x in own], pa.int32())]),
                 pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(uses.values(), pa.int64())]),
             ],
@@ -131,6 +136,71 @@ def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
+def _once_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sentences (hash, tag, words, uses) in the order of their hashes to one row each (hash, words, tags, uses).
+
+    The rows of the last sentence of a batch are held back until the next.
+    """
+
+    def merged(t: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, tags = t.column(0).to_numpy(), t.column(1).to_numpy()
+        order = np.lexsort((tags, hashes))
+        hashes, tags = hashes[order], tags[order]
+        start = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+        fresh = np.r_[True, (hashes[1:] != hashes[:-1]) | (tags[1:] != tags[:-1])]
+        per = np.add.reduceat(fresh.astype(np.int64), start)
+        return pa.RecordBatch.from_arrays([pa.array(hashes[start]), t.column(2).take(pa.array(order[start])), _lists(tags[fresh], per, pa.int64()), pa.array(np.add.reduceat(t.column(3).to_numpy()[order], start))], names=["hash", "words", "tags", "uses"])
+
+    def again(x: pa.RecordBatch) -> pa.RecordBatch:
+        """One merged sentence as rows of the input."""
+        tags = x.column(2).flatten()
+        return pa.RecordBatch.from_arrays([x.column(0).take(pa.array([0] * len(tags))), tags, x.column(1).take(pa.array([0] * len(tags))), pa.array([x.column(3)[0].as_py()] + [0] * (len(tags) - 1), pa.int64())], names=["hash", "tag", "words", "uses"])
+
+    held: pa.RecordBatch | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held is not None:
+            b = pa.RecordBatch.from_arrays([pa.concat_arrays([x.cast(y.type), y]) for x, y in zip(again(held).columns, b.columns)], names=["hash", "tag", "words", "uses"])
+        m = merged(b)
+        held = m.slice(m.num_rows - 1)
+        if m.num_rows > 1:
+            yield m.slice(0, m.num_rows - 1)
+    if held is not None:
+        yield held
+
+
+class _Sums:
+    """Counts by code, added up over batches; they leave when there are too many to hold."""
+
+    MOST = 2_000_000
+
+    def __init__(self) -> None:
+        self.codes: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, codes: np.ndarray, counts: np.ndarray) -> bool:
+        """Is it time to let them go?"""
+        self.codes.append(codes)
+        self.counts.append(counts)
+        self.held += len(codes)
+        if self.held > self.MOST:
+            u, c = self.all()
+            self.codes, self.counts, self.held = [u], [c], len(u)
+        return self.held > self.MOST // 2
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.codes:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        codes, counts = np.concatenate(self.codes), np.concatenate(self.counts, axis=-1)
+        order = np.argsort(codes, kind="stable")
+        codes, counts = codes[order], counts[..., order]
+        start = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.empty(0, np.int64)
+        self.codes, self.counts, self.held = [], [], 0
+        return codes[start], np.add.reduceat(counts, start, axis=-1) if len(start) else counts
+
+
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of the sentences one after the other, the sentence of each, and their number in each."""
     size = np.diff(lists.offsets.to_numpy())
@@ -166,8 +236,20 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _pair_batches(nodes: np.ndarray, linked: np.ndarray):
     """Different sentences (words, tags) to counts (kind, a, b, sentences): 2 pairs a < b of the words `linked`, 4 words
     of `nodes` with a tag. Both arrays are sorted."""
+    links = np.isin(nodes, linked)
+
+    def out(pairs: _Sums, tagged: _Sums, names: dict[int, int]) -> pa.RecordBatch:
+        u, c = pairs.all()
+        t, n = tagged.all()
+        tags = np.array(list(names), np.int64)
+        cols = [
+            np.r_[np.full(len(u), 2, np.int8), np.full(len(t), 4, np.int8)], np.r_[nodes[u // len(nodes)], nodes[t % len(nodes)]],
+            np.r_[nodes[u % len(nodes)], tags[t // len(nodes)] if len(t) else t], np.r_[c, n].astype(np.int64),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["kind", "a", "b", "sentences"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, tagged, names = _Sums(), _Sums(), {}
         for b in batches:
             flat, sent, _ = _flat(b.column(0))
             if not len(nodes) or not len(flat):
@@ -176,28 +258,25 @@ def _pair_batches(nodes: np.ndarray, linked: np.ndarray):
             keep = nodes[w] == flat
             key = np.unique(sent[keep] * len(nodes) + w[keep])
             ws, ss = key % len(nodes), key // len(nodes)
-            # under its tags, each sentence counts once
-            tags = b.column(1)
-            name, t = np.unique(np.array([_id("#" + (x or "")) for x in tags.flatten().to_pylist()], np.int64), return_inverse=True)
-            per = np.diff(tags.offsets.to_numpy())
-            times = per[ss]
-            first = tags.offsets.to_numpy()[:-1] - tags.offsets[0].as_py()
-            of = np.repeat(first[ss], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            tagged, n_tagged = np.unique(np.repeat(ws, times) * max(len(name), 1) + t[of], return_counts=True)
-            inside = np.isin(nodes, linked)[ws]
+            # under each of its tags a sentence counts once
+            name, t = np.unique(b.column(1).flatten().to_numpy(), return_inverse=True)
+            t = np.array([names.setdefault(x, len(names)) for x in name.tolist()], np.int64)[t]
+            ends = np.r_[0, np.cumsum(np.diff(b.column(1).offsets.to_numpy()))]
+            times = np.diff(ends)[ss]
+            of = np.repeat(ends[ss], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            full = tagged.add(*np.unique(t[of] * len(nodes) + np.repeat(ws, times), return_counts=True))
+            inside = links[ws]
             ws, ss = ws[inside], ss[inside]
-            starts = np.flatnonzero(np.r_[True, ss[1:] != ss[:-1]]) if len(ss) else np.empty(0, np.int64)
-            sizes = np.diff(np.r_[starts, len(ss)]) if len(ss) else np.empty(0, np.int64)
             codes = [np.empty(0, np.int64)]
-            for gap in range(1, int(sizes.max()) if len(sizes) else 0):
-                i = np.flatnonzero(ss[gap:] == ss[:-gap])
+            gap, i = 1, np.arange(len(ss))
+            while len(i := i[i < len(ss) - gap]):
+                i = i[ss[i + gap] == ss[i]]
                 codes.append(ws[i] * len(nodes) + ws[i + gap])
-            u, c = np.unique(np.concatenate(codes), return_counts=True)
-            cols = [
-                np.r_[np.full(len(u), 2, np.int8), np.full(len(tagged), 4, np.int8)], np.r_[nodes[u // len(nodes)], nodes[tagged // max(len(name), 1)]],
-                np.r_[nodes[u % len(nodes)], name[tagged % max(len(name), 1)]], np.r_[c, n_tagged].astype(np.int64),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["kind", "a", "b", "sentences"])
+                gap += 1
+            if pairs.add(*np.unique(np.concatenate(codes), return_counts=True)) or full:
+                yield out(pairs, tagged, names)
+        if len(nodes):
+            yield out(pairs, tagged, names)
 
     return run
 
@@ -314,11 +393,9 @@ def subjects(df: DataFrame, examples: DataFrame, key: str = "seq", text: str = "
     """
     few = df.select(F.col(key).alias("key"), text, F.col(tag).alias("tag"))
     kind = few.schema["key"].dataType.simpleString()
-    with kept(few.mapInArrow(_split_batches, f"key {kind}, sents array<long>, hash long, tag string, words array<int>, uses long")) as split:
-        # equal sentences lie in one partition after the first shuffle
-        once = split.where("words is not null").select("hash", "tag", "words", "uses").repartition("hash").groupBy("hash", "tag").agg(F.first("words").alias("words"), F.sum("uses").alias("uses"))
-        once = once.groupBy("hash").agg(F.first("words").alias("words"), F.collect_list(F.coalesce("tag", F.lit(""))).alias("tags"), F.sum("uses").alias("uses"))
-        with kept(once) as different:
+    with kept(few.mapInArrow(_split_batches, f"key {kind}, sents array<long>, hash long, tag long, words array<int>, uses long")) as split:
+        ordered = split.where("words is not null").select("hash", "tag", "words", "uses").repartition("hash").sortWithinPartitions("hash")
+        with kept(ordered.mapInArrow(_once_batches, "hash long, words array<int>, tags array<long>, uses long")) as different:
             table, fixed = model(different, examples)
             rows = sorted(table.select("a", "subject", "score", "company").collect())
             names = sorted({r["subject"] for r in rows})

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -139,27 +140,38 @@ def consistent(text: str | None) -> str | None:
     else:
         text = text.translate(_WIDE)
 
-    def sentence(m: re.Match) -> str:
-        part = m[0]
-        words = _WORD.findall(part)
-        genuine, latin = set(), False
-        for w in words:
-            kinds = {script(c) for c in w if c.isalpha()}
-            latin |= "L" in kinds
-            if len(kinds) == 1 and (s := next(iter(kinds))) in "GCA" and len(w) > 1 and any(c not in LOOKALIKES for c in w):
-                genuine.add(s)
-
-        def word(w: re.Match) -> str:
-            if not _poses(w[0], genuine, latin):
-                return w[0]
-            own = [script(c) for c in w[0] if c.isalpha()]
-            if "L" in own and all(c in LATIN_POSERS for c in w[0] if script(c) == "L") and not all(c in LOOKALIKES for c in w[0] if script(c) in "GCA"):
-                return w[0].translate(_FROM_LATIN)
-            return w[0].translate(_TO_PROTOTYPE)
-
-        return _WORD.sub(word, part)
-
-    return _SENTENCE.sub(sentence, text) if re.search("[ɡͰ-֏]", text) else text
+    return _SENTENCE.sub(_in_sentence, text) if _FOREIGN.search(text) else text
+
+
+_FOREIGN = re.compile("[ɡͰ-֏]")
+
+
+@lru_cache(maxsize=200_000)
+def _script_of(word: str) -> tuple[bool, str]:
+    """Has the word Latin letters, and the foreign script that it surely is in, if any."""
+    kinds = {script(c) for c in word if c.isalpha()}
+    sure = len(kinds) == 1 and len(word) > 1 and any(c not in LOOKALIKES for c in word)
+    return "L" in kinds, s if sure and (s := next(iter(kinds))) in "GCA" else ""
+
+
+@lru_cache(maxsize=200_000)
+def _word_form(word: str, genuine: frozenset[str], latin: bool) -> str:
+    """The word with its posing letters replaced, in a sentence with words surely in the scripts `genuine`."""
+    if not _poses(word, genuine, latin):
+        return word
+    own = {script(c) for c in word if c.isalpha()}
+    if "L" in own and all(c in LATIN_POSERS for c in word if script(c) == "L") and not all(c in LOOKALIKES for c in word if script(c) in "GCA"):
+        return word.translate(_FROM_LATIN)
+    return word.translate(_TO_PROTOTYPE)
+
+
+def _in_sentence(m: re.Match) -> str:
+    part = m[0]
+    if not _FOREIGN.search(part):
+        return part
+    seen = [_script_of(w) for w in _WORD.findall(part)]
+    genuine, latin = frozenset(s for _, s in seen if s), any(x for x, _ in seen)
+    return _WORD.sub(lambda w: _word_form(w[0], genuine, latin), part)
 
 
 _FROM_LATIN = {ord(v): k for k, v in LOOKALIKES.items() if v in LATIN_POSERS and script(k) == "C" and k not in _FOREIGN_CYRILLIC}
