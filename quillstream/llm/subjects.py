@@ -53,6 +53,7 @@ COMMON = 0.03
 #: A word pair marks fixed phrases if its sentences are so much rarer than its uses.
 FIXED, FIXED_USES, FIXED_OF_ALL, FIXED_SHARE = 0.34, 4, 2e-6, 0.4
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
+_ASCII_TOKEN = re.compile(r"[A-Za-z]+(?:['-][A-Za-z]+)*|[0-9]+")
 
 
 class _Ids(dict):
@@ -92,7 +93,7 @@ def sentences(text: str | None) -> list[str]:
 
 def words(sentence: str) -> list[int]:
     """Ids of the words in lower case; numbers count as one word. Names drop out of the graph by their counts."""
-    return [_ids[w] for w in _TOKEN.findall(sentence)]
+    return [_ids[w] for w in (_ASCII_TOKEN if sentence.isascii() else _TOKEN).findall(sentence)]
 
 
 def _lists(values: list | np.ndarray, counts: list[int] | np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -185,9 +186,10 @@ class _Sums:
         self.codes.append(codes)
         self.counts.append(counts)
         self.held += len(codes)
-        if self.held > self.MOST:
-            u, c = self.all()
-            self.codes, self.counts, self.held = [u], [c], len(u)
+        if self.held <= self.MOST:
+            return False
+        u, c = self.all()
+        self.codes, self.counts, self.held = [u], [c], len(u)
         return self.held > self.MOST // 2
 
     def all(self) -> tuple[np.ndarray, np.ndarray]:
