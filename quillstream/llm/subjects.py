@@ -295,8 +295,8 @@ def _seeds(examples: DataFrame) -> DataFrame:
     return seen.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("a")))
 
 
-def model(different: DataFrame, examples: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """The words' subjects (a, subject, purity, company) and the sorted word pairs that mark fixed phrases, from the
+def model(different: DataFrame, examples: DataFrame) -> tuple[list, np.ndarray]:
+    """The words' subjects (a, subject, score, company) and the sorted word pairs that mark fixed phrases, from the
     different sentences (words, tags, uses).
 
     `company` is the mean number of other words of the same subject in a word's sentences.
@@ -311,15 +311,21 @@ def model(different: DataFrame, examples: DataFrame) -> tuple[DataFrame, np.ndar
     numbers = nodes.select("a", "n").collect()
     every = np.sort(np.array([r["a"] for r in numbers], np.int64))
     linked = np.sort(np.array([r["a"] for r in numbers if r["n"] <= max(COMMON * total, 3)], np.int64))
-    both = cut(different.select("words", "tags").mapInArrow(_pair_batches(every, linked), "kind byte, a long, b long, sentences long").groupBy("kind", "a", "b").agg(F.sum("sentences").alias("n_ab")).where(F.col("n_ab") >= F.when(F.col("kind") == 2, LEAST).otherwise(1)))
-    pairs = both.where("kind = 2").select("a", "b", "n_ab")
-    pairs = pairs.join(nodes.select("a", F.col("n").alias("n_a")), "a").join(nodes.select(F.col("a").alias("b"), F.col("n").alias("n_b")), "b")
+    counted = different.select("words", "tags").mapInArrow(_pair_batches(every, linked), "kind byte, a long, b long, sentences long").groupBy("kind", "a", "b").agg(F.sum("sentences").alias("n_ab"))
+    with kept(counted.where(F.col("n_ab") >= F.when(F.col("kind") == 2, LEAST).otherwise(1))) as both:
+        pairs = both.where("kind = 2").select("a", "b", "n_ab")
+        pairs = pairs.join(nodes.select("a", F.col("n").alias("n_a")), "a").join(nodes.select(F.col("a").alias("b"), F.col("n").alias("n_b")), "b")
+        with kept(pairs) as pairs:
+            return _spread(both.where("kind = 4").select("a", "b", F.col("n_ab").alias("posts")), pairs, nodes, examples, total), fixed
+
+
+def _spread(tags: DataFrame, pairs: DataFrame, nodes: DataFrame, examples: DataFrame, total: int) -> list:
+    """Rows (a, subject, score, company) of the words that have a label in the end."""
     lift = F.col("n_ab") * F.lit(float(total)) / (F.col("n_a") * F.col("n_b"))
-    pairs = pairs.withColumn("verified", (lift >= LIFT) & (F.col("n_ab") >= LEAST))
-    edges = cut(pairs.select("a", "b", "verified", "n_ab", "n_a", "n_b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "verified", "n_ab", F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b"))))
+    both_ways = pairs.select("a", "b", "n_ab", "n_a", "n_b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n_ab", F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b")))
+    edges = both_ways.withColumn("verified", (lift >= LIFT) & (F.col("n_ab") >= LEAST))
     seeds = cut(_seeds(examples).where(F.col("share") >= PURITY).join(nodes.select("a"), "a", "left_semi").select("a", F.col("subject").alias("seed"), F.col("share").alias("score"), "n"))
     first = seeds.select("a", F.col("seed").alias("subject"), "score")
-    tags = both.where("kind = 4").select("a", "b", F.col("n_ab").alias("posts"))
     spread = tags.join(first, "a").groupBy("b", "subject").agg(F.sum(F.col("posts") * F.col("score")).alias("s"))
     even = spread.withColumn("s", F.col("s") / F.sum("s").over(Window.partitionBy("subject")))
     meant = even.withColumn("share", F.col("s") / F.sum("s").over(Window.partitionBy("b"))).where(F.col("share") >= TAG_PURITY).select("b", "subject")
@@ -341,14 +347,14 @@ def model(different: DataFrame, examples: DataFrame) -> tuple[DataFrame, np.ndar
         spread = told.groupBy("a", "subject").agg(F.sum(heard * F.col("score")).alias("s"), F.count_if("verified").alias("k"), F.sum(F.when(F.col("verified"), heard)).alias("near"))
         share = spread.withColumn("score", F.col("s") / F.sum("s").over(Window.partitionBy("a")))
         share = share.join(seeds.select("a", "seed"), "a", "left").join(company, "a")
-        kept = (F.col("score") >= PURITY) & (F.col("k") >= EDGES) & (F.col("near") >= REACHED * F.col("all")) | (F.col("seed") == F.col("subject")) & (F.col("score") >= PURITY / 2 + 0.15)
-        fresh = share.where(kept).join(settled, "a", "left_anti")
+        stays = (F.col("score") >= PURITY) & (F.col("k") >= EDGES) & (F.col("near") >= REACHED * F.col("all")) | (F.col("seed") == F.col("subject")) & (F.col("score") >= PURITY / 2 + 0.15)
+        fresh = share.where(stays).join(settled, "a", "left_anti")
         labels = cut(trusted.unionByName(fresh.select("a", "subject", F.when(F.col("seed") == F.col("subject"), F.lit(1.0)).otherwise(F.col("score")).alias("score"))))
     pure = labels.where(F.col("score") >= PURITY)
     same = edges.where("verified").join(pure.select("a", "subject"), "a").join(pure.select(F.col("a").alias("b"), F.col("subject").alias("subject_b")), "b").where("subject = subject_b")
     company = same.groupBy("a").agg((F.sum("n_ab") / F.max("n_a")).alias("company"))
-    table = pure.join(vocab.select("a", "n"), "a").join(company, "a", "left")
-    return table.select("a", "subject", "score", F.coalesce("company", F.lit(0.0)).alias("company"), "n"), fixed
+    table = pure.join(company, "a", "left").select("a", "subject", "score", F.coalesce("company", F.lit(0.0)).alias("company"))
+    return sorted(table.collect())  # no more than there are nodes
 
 
 def _label_batches(table: np.ndarray, subject: np.ndarray, score: np.ndarray, company: np.ndarray, names: list[str], fixed: np.ndarray):
@@ -398,11 +404,10 @@ def subjects(df: DataFrame, examples: DataFrame, key: str = "seq", text: str = "
     with kept(few.mapInArrow(_split_batches, f"key {kind}, sents array<long>, hash long, tag long, words array<int>, uses long")) as split:
         ordered = split.where("words is not null").select("hash", "tag", "words", "uses").repartition("hash").sortWithinPartitions("hash")
         with kept(ordered.mapInArrow(_once_batches, "hash long, words array<int>, tags array<long>, uses long")) as different:
-            table, fixed = model(different, examples)
-            rows = sorted(table.select("a", "subject", "score", "company").collect())
+            rows, fixed = model(different, examples)
             names = sorted({r["subject"] for r in rows})
             place = {s: k for k, s in enumerate(names)}
             labels = _label_batches(np.array([r["a"] for r in rows], np.int64), np.array([place[r["subject"]] for r in rows], np.int64), np.array([r["score"] for r in rows], float), np.array([r["company"] for r in rows], float), names, fixed)
-            told = cut(different.select("hash", "words").mapInArrow(labels, "hash long, subject string"))
-        each = split.where("sents is not null").select("key", F.explode(F.array_distinct("sents")).alias("hash"))
-        return cut(each.join(told.hint("merge"), "hash").select(F.col("key").alias(key), "subject").distinct())
+            told = different.select("hash", "words").mapInArrow(labels, "hash long, subject string")
+            each = split.where("sents is not null").select("key", F.explode(F.array_distinct("sents")).alias("hash"))
+            return cut(each.join(told.hint("merge"), "hash").select(F.col("key").alias(key), "subject").distinct())
