@@ -172,35 +172,55 @@ def _once_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class _Sums:
-    """Counts by code, added up over batches; they leave when there are too many to hold."""
+    """Counts by code, added up over batches; they leave when there are too many to hold. Codes below `size` are counted
+    in place if that takes less memory than holding them."""
 
     MOST = 2_000_000
+    CELLS = 1 << 24
 
-    def __init__(self) -> None:
+    def __init__(self, size: int) -> None:
+        self.cells = np.zeros(size, np.int64) if size <= self.CELLS else None
         self.codes: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, codes: np.ndarray, counts: np.ndarray) -> bool:
+    def add(self, codes: np.ndarray) -> bool:
         """Is it time to let them go?"""
+        if self.cells is None:
+            codes, counts = np.unique(codes, return_counts=True)
+            self.counts.append(counts)
         self.codes.append(codes)
-        self.counts.append(counts)
         self.held += len(codes)
         if self.held <= self.MOST:
             return False
+        if self.cells is not None:
+            self._count()
+            return False
         u, c = self.all()
         self.codes, self.counts, self.held = [u], [c], len(u)
         return self.held > self.MOST // 2
 
+    def _count(self) -> None:
+        if self.codes:
+            self.cells += np.bincount(np.concatenate(self.codes), minlength=len(self.cells))
+            self.codes, self.held = [], 0
+
     def all(self) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and their counts so far; it starts anew."""
+        if self.cells is not None:
+            self._count()
+            u = np.flatnonzero(self.cells)
+            c = self.cells[u]
+            self.cells[u] = 0
+            return u, c
         if not self.codes:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        codes, counts = np.concatenate(self.codes), np.concatenate(self.counts, axis=-1)
+        codes, counts = np.concatenate(self.codes), np.concatenate(self.counts)
         order = np.argsort(codes, kind="stable")
-        codes, counts = codes[order], counts[..., order]
+        codes, counts = codes[order], counts[order]
         start = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.empty(0, np.int64)
         self.codes, self.counts, self.held = [], [], 0
-        return codes[start], np.add.reduceat(counts, start, axis=-1) if len(start) else counts
+        return codes[start], np.add.reduceat(counts, start) if len(start) else counts
 
 
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,7 +271,7 @@ def _pair_batches(nodes: np.ndarray, linked: np.ndarray):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["kind", "a", "b", "sentences"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, tagged, names = _Sums(), _Sums(), {}
+        pairs, tagged, names = _Sums(len(nodes) ** 2), _Sums(1 << 62), {}
         for b in batches:
             flat, sent, _ = _flat(b.column(0))
             if not len(nodes) or not len(flat):
@@ -266,7 +286,7 @@ def _pair_batches(nodes: np.ndarray, linked: np.ndarray):
             ends = np.r_[0, np.cumsum(np.diff(b.column(1).offsets.to_numpy()))]
             times = np.diff(ends)[ss]
             of = np.repeat(ends[ss], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            full = tagged.add(*np.unique(t[of] * len(nodes) + np.repeat(ws, times), return_counts=True))
+            full = tagged.add(t[of] * len(nodes) + np.repeat(ws, times))
             inside = links[ws]
             ws, ss = ws[inside], ss[inside]
             codes = [np.empty(0, np.int64)]
@@ -275,7 +295,7 @@ def _pair_batches(nodes: np.ndarray, linked: np.ndarray):
                 i = i[ss[i + gap] == ss[i]]
                 codes.append(ws[i] * len(nodes) + ws[i + gap])
                 gap += 1
-            if pairs.add(*np.unique(np.concatenate(codes), return_counts=True)) or full:
+            if pairs.add(np.concatenate(codes)) or full:
                 yield out(pairs, tagged, names)
         if len(nodes):
             yield out(pairs, tagged, names)
@@ -319,41 +339,46 @@ def model(different: DataFrame, examples: DataFrame) -> tuple[list, np.ndarray]:
             return _spread(both.where("kind = 4").select("a", "b", F.col("n_ab").alias("posts")), pairs, nodes, examples, total), fixed
 
 
+def _one(df: DataFrame) -> DataFrame:
+    """A table of at most a few rows for each node, in one partition, so that nothing about it is shuffled or broadcast."""
+    return df.coalesce(1).hint("merge")
+
+
 def _spread(tags: DataFrame, pairs: DataFrame, nodes: DataFrame, examples: DataFrame, total: int) -> list:
     """Rows (a, subject, score, company) of the words that have a label in the end."""
     lift = F.col("n_ab") * F.lit(float(total)) / (F.col("n_a") * F.col("n_b"))
     both_ways = pairs.select("a", "b", "n_ab", "n_a", "n_b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n_ab", F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b")))
     edges = both_ways.withColumn("verified", (lift >= LIFT) & (F.col("n_ab") >= LEAST))
-    seeds = cut(_seeds(examples).where(F.col("share") >= PURITY).join(nodes.select("a"), "a", "left_semi").select("a", F.col("subject").alias("seed"), F.col("share").alias("score"), "n"))
+    seeds = _one(cut(_one(_seeds(examples).where(F.col("share") >= PURITY)).join(_one(nodes.select("a")), "a", "left_semi").select("a", F.col("subject").alias("seed"), F.col("share").alias("score"), "n")))
     first = seeds.select("a", F.col("seed").alias("subject"), "score")
+    tags = _one(tags)
     spread = tags.join(first, "a").groupBy("b", "subject").agg(F.sum(F.col("posts") * F.col("score")).alias("s"))
     even = spread.withColumn("s", F.col("s") / F.sum("s").over(Window.partitionBy("subject")))
     meant = even.withColumn("share", F.col("s") / F.sum("s").over(Window.partitionBy("b"))).where(F.col("share") >= TAG_PURITY).select("b", "subject")
     every = tags.groupBy("a").agg(F.sum("posts").alias("every"))
-    under = tags.join(meant, "b").groupBy("a", "subject").agg(F.sum("posts").alias("s")).join(every, "a")
+    under = tags.join(meant.hint("merge"), "b").groupBy("a", "subject").agg(F.sum("posts").alias("s")).join(every.hint("merge"), "a")
     under = under.withColumn("posts", F.sum("s").over(Window.partitionBy("a"))).withColumn("share", F.col("s") / F.col("posts"))
-    under = cut(under.withColumn("most", F.max("share").over(Window.partitionBy("a"))))
+    under = _one(cut(under.withColumn("most", F.max("share").over(Window.partitionBy("a")))))
     trusted = under.where((F.col("posts") >= TAG_POSTS) & (F.col("share") >= TAG_SHARE) & (F.col("s") >= TAG_ALL * F.col("every"))).select("a", "subject", F.lit(1.0).alias("score"))
     poor = (F.col("share") == F.col("most")) & (F.col("s") < TAG_ALL / 2 * F.col("every"))
     flat = under.where((F.col("posts") >= 2 * TAG_POSTS) & ((F.col("most") < FLAT) | poor)).select("a").distinct()
-    settled = cut(trusted.select("a").unionByName(flat).distinct())
-    trusted = cut(trusted)
-    labels = cut(trusted.unionByName(first.join(settled, "a", "left_anti")))
+    settled = _one(trusted.select("a").unionByName(flat)).distinct().hint("merge")
+    labels = cut(_one(trusted.unionByName(first.join(settled, "a", "left_anti"))))
     heard = F.col("n_ab") / (F.col("n_b").cast("double") * F.col("n_b"))
-    company = cut(edges.where(F.col("verified") & (F.col("n_ab") < PARTNER * F.col("n_a"))).groupBy("a").agg(F.sum(heard).alias("all")))
+    company = _one(cut(edges.where(F.col("verified") & (F.col("n_ab") < PARTNER * F.col("n_a"))).groupBy("a").agg(F.sum(heard).alias("all"))))
     for _ in range(ROUNDS):
-        told = edges.where(F.col("n_ab") < PARTNER * F.col("n_a")).join(labels.toDF("b", "subject", "score"), "b")
+        told = edges.where(F.col("n_ab") < PARTNER * F.col("n_a")).join(F.broadcast(labels.toDF("b", "subject", "score")), "b")
         # rare neighbours tell more than the words of a sentence frame, which stand beside all subjects
-        spread = told.groupBy("a", "subject").agg(F.sum(heard * F.col("score")).alias("s"), F.count_if("verified").alias("k"), F.sum(F.when(F.col("verified"), heard)).alias("near"))
+        spread = _one(told.groupBy("a", "subject").agg(F.sum(heard * F.col("score")).alias("s"), F.count_if("verified").alias("k"), F.sum(F.when(F.col("verified"), heard)).alias("near")))
         share = spread.withColumn("score", F.col("s") / F.sum("s").over(Window.partitionBy("a")))
         share = share.join(seeds.select("a", "seed"), "a", "left").join(company, "a")
         stays = (F.col("score") >= PURITY) & (F.col("k") >= EDGES) & (F.col("near") >= REACHED * F.col("all")) | (F.col("seed") == F.col("subject")) & (F.col("score") >= PURITY / 2 + 0.15)
         fresh = share.where(stays).join(settled, "a", "left_anti")
-        labels = cut(trusted.unionByName(fresh.select("a", "subject", F.when(F.col("seed") == F.col("subject"), F.lit(1.0)).otherwise(F.col("score")).alias("score"))))
+        labels = cut(_one(trusted.unionByName(fresh.select("a", "subject", F.when(F.col("seed") == F.col("subject"), F.lit(1.0)).otherwise(F.col("score")).alias("score")))))
     pure = labels.where(F.col("score") >= PURITY)
-    same = edges.where("verified").join(pure.select("a", "subject"), "a").join(pure.select(F.col("a").alias("b"), F.col("subject").alias("subject_b")), "b").where("subject = subject_b")
+    same = edges.where("verified").join(F.broadcast(pure.select("a", "subject")), "a").join(F.broadcast(pure.select(F.col("a").alias("b"), F.col("subject").alias("subject_b"))), "b").where("subject = subject_b")
     company = same.groupBy("a").agg((F.sum("n_ab") / F.max("n_a")).alias("company"))
-    table = pure.join(company, "a", "left").select("a", "subject", "score", F.coalesce("company", F.lit(0.0)).alias("company"))
+    table = _one(pure).join(_one(company), "a", "left").select("a", "subject", "score", F.coalesce("company", F.lit(0.0)).alias("company"))
     return sorted(table.collect())  # no more than there are nodes
 
 

@@ -52,6 +52,7 @@ _WORD = re.compile(r"[^\W\d_][^\W_]*")
 _SENTENCE = re.compile(r"[^.!?\n…:;]+")
 _CJK = re.compile("[぀-ヿ㐀-鿿가-힯]")
 _RTL = re.compile("[֐-ࣿיִ-﷿ﹰ-ﻼ]")
+_WIDTH = re.compile("[！-～]")
 _WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 _TO_PROTOTYPE = str.maketrans(LOOKALIKES)
 #: Letters the Russian alphabet lacks; alone they cannot make a Cyrillic word genuine.
@@ -132,13 +133,14 @@ def consistent(text: str | None) -> str | None:
     if not text or not _SUSPICIOUS.search(text):
         return text
     if _INVISIBLE.search(text):
-        text = "".join(ch for i, ch in enumerate(text) if not _INVISIBLE.match(ch) or _keeps(text, i))
-    text = unicodedata.normalize("NFC", text)
-    text = _SPACE.sub(" ", text)
-    if _CJK.search(text):
-        text = "".join(chr(ord(c) - 0xFEE0) if 0xFF01 <= ord(c) <= 0xFF5E and c.isalnum() else c for c in text)
-    else:
-        text = text.translate(_WIDE)
+        whole = text
+        text = _INVISIBLE.sub(lambda m: m[0] if _keeps(whole, m.start()) else "", whole)
+    text = _SPACE.sub(" ", unicodedata.normalize("NFC", text))
+    if _WIDTH.search(text):
+        if _CJK.search(text):
+            text = "".join(chr(ord(c) - 0xFEE0) if 0xFF01 <= ord(c) <= 0xFF5E and c.isalnum() else c for c in text)
+        else:
+            text = text.translate(_WIDE)
 
     return _SENTENCE.sub(_in_sentence, text) if _FOREIGN.search(text) else text
 
