@@ -114,12 +114,13 @@ def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if not (found := sentences(t)):
                 continue
             at.append(k)
-            lengths.append(len(found))
             for s in found:
-                if (h := known.get(s)) is None:
-                    known[s] = h = xxhash.xxh64_intdigest(s) - 2**63
-                sents.append(h)
+                if s not in known:
+                    known[s] = xxhash.xxh64_intdigest(s) - 2**63
                 uses[s, tag] = uses.get((s, tag), 0) + 1
+            own = {known[s] for s in found}
+            sents += own
+            lengths.append(len(own))
         ids = {s: words(s) for s in known}
         tags = {tag: _tag(tag) for _, tag in uses}
         n, m = len(at), len(uses)
@@ -138,7 +139,8 @@ def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _once_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sentences (hash, tag, words, uses) in the order of their hashes to one row each (hash, words, tags, uses).
+    """Sentences (hash, tag, words, uses) in the order of their hashes to one row each (hash, words, tags, uses), and
+    rows (kind, a, uses, sentences) that count their words; see `_word_counts`.
 
     The rows of the last sentence of a batch are held back until the next.
     """
@@ -157,6 +159,14 @@ def _once_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         tags = x.column(2).flatten()
         return pa.RecordBatch.from_arrays([x.column(0).take(pa.array([0] * len(tags))), tags, x.column(1).take(pa.array([0] * len(tags))), pa.array([x.column(3)[0].as_py()] + [0] * (len(tags) - 1), pa.int64())], names=["hash", "tag", "words", "uses"])
 
+    def out(m: pa.RecordBatch) -> pa.RecordBatch:
+        a, uses, n, kind = _word_counts(m.column(1), m.column(3).to_numpy())
+        rows, more = m.num_rows, len(a)
+        none = lambda c: pa.concat_arrays([c, pa.nulls(more, c.type)])
+        late = lambda x, t: pa.concat_arrays([pa.nulls(rows, t), pa.array(x, t)])
+        cols = [none(m.column(0)), none(m.column(1)), none(m.column(2)), pa.concat_arrays([m.column(3), pa.array(uses)]), late(kind, pa.int8()), late(a, pa.int64()), late(n, pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, names=["hash", "words", "tags", "uses", "kind", "a", "sentences"])
+
     held: pa.RecordBatch | None = None
     for b in batches:
         if not b.num_rows:
@@ -166,9 +176,9 @@ def _once_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         m = merged(b)
         held = m.slice(m.num_rows - 1)
         if m.num_rows > 1:
-            yield m.slice(0, m.num_rows - 1)
+            yield out(m.slice(0, m.num_rows - 1))
     if held is not None:
-        yield held
+        yield out(held)
 
 
 class _Sums:
@@ -235,24 +245,16 @@ def _neighbours(flat: np.ndarray, sent: np.ndarray) -> tuple[np.ndarray, np.ndar
     return flat[inside] << 32 | flat[inside + 1] & 0xFFFFFFFF, sent[inside]
 
 
-def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Different sentences (words, uses) to counts (kind, a, uses, sentences): 0 words, 1 neighbouring words."""
-    for b in batches:
-        flat, sent, _ = _flat(b.column(0))
-        n = b.column(1).to_numpy()
-        if not len(flat):
-            continue
-        # words, once a sentence
-        vocab, w = np.unique(flat, return_inverse=True)
-        key = np.unique(sent * len(vocab) + w)
-        ws, ss = key % len(vocab), key // len(vocab)
-        pair, of = _neighbours(flat, sent)
-        u, inv = np.unique(pair, return_inverse=True)
-        cols = [
-            np.r_[np.zeros(len(vocab), np.int8), np.ones(len(u), np.int8)], np.r_[vocab, u],
-            np.r_[np.bincount(ws, n[ss], len(vocab)), np.bincount(inv, n[of], len(u))].astype(np.int64), np.r_[np.bincount(ws, minlength=len(vocab)), np.bincount(inv, minlength=len(u))].astype(np.int64),
-        ]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "a", "uses", "sentences"])
+def _word_counts(lists: pa.ListArray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of different sentences and their uses: words and pairs of neighbours, uses and number of the sentences that hold
+    each, and the kind, 0 for words and 1 for pairs."""
+    flat, sent, _ = _flat(lists)
+    vocab, w = np.unique(flat, return_inverse=True)
+    key = np.unique(sent * max(len(vocab), 1) + w)
+    ws, ss = key % max(len(vocab), 1), key // max(len(vocab), 1)
+    pair, of = _neighbours(flat, sent)
+    u, inv = np.unique(pair, return_inverse=True)
+    return np.r_[vocab, u], np.r_[np.bincount(ws, n[ss], len(vocab)), np.bincount(inv, n[of], len(u))].astype(np.int64), np.r_[np.bincount(ws, minlength=len(vocab)), np.bincount(inv, minlength=len(u))], np.r_[np.zeros(len(vocab), np.int8), np.ones(len(u), np.int8)]
 
 
 def _pair_batches(nodes: np.ndarray, linked: np.ndarray):
@@ -315,16 +317,16 @@ def _seeds(examples: DataFrame) -> DataFrame:
     return seen.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("a")))
 
 
-def model(different: DataFrame, examples: DataFrame) -> tuple[list, np.ndarray]:
+def model(different: DataFrame, words: DataFrame, examples: DataFrame) -> tuple[list, np.ndarray]:
     """The words' subjects (a, subject, score, company) and the sorted word pairs that mark fixed phrases, from the
-    different sentences (words, tags, uses).
+    different sentences (words, tags, uses) and the counts of their words (kind, a, uses, sentences).
 
     `company` is the mean number of other words of the same subject in a word's sentences.
     """
     size = different.agg(F.count("*").alias("n"), F.sum("uses").alias("uses")).first()
     total = size["n"] or 1
     least = max(FIXED_USES, int(FIXED_OF_ALL * (size["uses"] or 0)))
-    counts = cut(different.select("words", "uses").mapInArrow(_word_batches, "kind byte, a long, uses long, sentences long").groupBy("kind", "a").agg(F.sum("uses").alias("uses"), F.sum("sentences").alias("sentences")).where(F.expr(f"kind = 0 or uses >= {least} and sentences <= {FIXED} * uses")))
+    counts = cut(words.groupBy("kind", "a").agg(F.sum("uses").alias("uses"), F.sum("sentences").alias("sentences")).where(F.expr(f"kind = 0 or uses >= {least} and sentences <= {FIXED} * uses")))
     vocab = counts.where("kind = 0").select("a", F.col("sentences").alias("n"), "uses")
     fixed = np.sort(np.array([r["a"] for r in counts.where("kind = 1").select("a").collect()], np.int64))
     nodes = vocab.where(F.col("n") >= max(NODE_SENTENCES, NODE_SHARE * total))
@@ -382,10 +384,10 @@ def _spread(tags: DataFrame, pairs: DataFrame, nodes: DataFrame, examples: DataF
     return sorted(table.collect())  # no more than there are nodes
 
 
-def _label_batches(table: np.ndarray, subject: np.ndarray, score: np.ndarray, company: np.ndarray, names: list[str], fixed: np.ndarray):
+def _label_batches(table: np.ndarray, subject: np.ndarray, score: np.ndarray, company: np.ndarray, n_names: int, fixed: np.ndarray):
     """Different sentences (hash, words) to (hash, subject) of those that are about an area.
 
-    `table` holds the labelled words in order; subject, score and company belong to them.
+    `table` holds the labelled words in order; subject (one of `n_names` numbers), score and company belong to them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,13 +399,13 @@ def _label_batches(table: np.ndarray, subject: np.ndarray, score: np.ndarray, co
             hit = table[w] == flat
             key = np.unique(sent[hit] * len(table) + w[hit])
             ws, ss = key % len(table), key // len(table)
-            at = ss * len(names) + subject[ws]
-            shape = (len(size), len(names))
-            mass = np.bincount(at, score[ws], len(size) * len(names)).reshape(shape)
-            votes = np.bincount(at, minlength=len(size) * len(names)).reshape(shape)
-            near = np.bincount(at, company[ws], len(size) * len(names)).reshape(shape)
+            at = ss * n_names + subject[ws]
+            shape = (len(size), n_names)
+            mass = np.bincount(at, score[ws], len(size) * n_names).reshape(shape)
+            votes = np.bincount(at, minlength=len(size) * n_names).reshape(shape)
+            near = np.bincount(at, company[ws], len(size) * n_names).reshape(shape)
             # ties go to the name that is last in order
-            best = len(names) - 1 - np.argmax(mass[:, ::-1], axis=1)
+            best = n_names - 1 - np.argmax(mass[:, ::-1], axis=1)
             i = np.arange(len(size))
             n = votes[i, best]
             told = (size >= 3) & (n > 0) & (mass[i, best] >= 0.6 * mass.sum(axis=1)) & (n >= np.where(near[i, best] / np.maximum(n, 1) >= 1.2, 2, 1))
@@ -413,7 +415,7 @@ def _label_batches(table: np.ndarray, subject: np.ndarray, score: np.ndarray, co
             marks = np.bincount(of[fixed[f] == pair] if len(fixed) else of[:0], minlength=len(size))
             told &= marks < FIXED_SHARE * (size - 1)
             at = np.flatnonzero(told)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array([names[k] for k in best[at]], pa.string())], names=["hash", "subject"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(best[at].astype(np.int32))], names=["hash", "subject"])
 
     return run
 
@@ -428,11 +430,13 @@ def subjects(df: DataFrame, examples: DataFrame, key: str = "seq", text: str = "
     kind = few.schema["key"].dataType.simpleString()
     with kept(few.mapInArrow(_split_batches, f"key {kind}, sents array<long>, hash long, tag long, words array<int>, uses long")) as split:
         ordered = split.where("words is not null").select("hash", "tag", "words", "uses").repartition("hash").sortWithinPartitions("hash")
-        with kept(ordered.mapInArrow(_once_batches, "hash long, words array<int>, tags array<long>, uses long")) as different:
-            rows, fixed = model(different, examples)
+        with kept(ordered.mapInArrow(_once_batches, "hash long, words array<int>, tags array<long>, uses long, kind byte, a long, sentences long")) as once:
+            different = once.where("kind is null")
+            rows, fixed = model(different, once.where("kind is not null").select("kind", "a", "uses", "sentences"), examples)
             names = sorted({r["subject"] for r in rows})
             place = {s: k for k, s in enumerate(names)}
-            labels = _label_batches(np.array([r["a"] for r in rows], np.int64), np.array([place[r["subject"]] for r in rows], np.int64), np.array([r["score"] for r in rows], float), np.array([r["company"] for r in rows], float), names, fixed)
-            told = different.select("hash", "words").mapInArrow(labels, "hash long, subject string")
-            each = split.where("sents is not null").select("key", F.explode(F.array_distinct("sents")).alias("hash"))
-            return cut(each.join(told.hint("merge"), "hash").select(F.col("key").alias(key), "subject").distinct())
+            labels = _label_batches(np.array([r["a"] for r in rows], np.int64), np.array([place[r["subject"]] for r in rows], np.int64), np.array([r["score"] for r in rows], float), np.array([r["company"] for r in rows], float), len(names), fixed)
+            told = different.select("hash", "words").mapInArrow(labels, "hash long, place int")
+            each = split.where("sents is not null").select("key", F.explode("sents").alias("hash"))
+            found = cut(each.join(told.hint("merge"), "hash").select("key", "place").distinct())
+            return found.select(F.col("key").alias(key), F.get(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.col("place")).alias("subject"))
