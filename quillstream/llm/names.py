@@ -3,14 +3,18 @@
 Method: MinHash banding over padded q-grams, verified by Monge-Elkan similarity, clustered by star clustering.
 
 1. A name is brought to the consistent form and parsed: decorations, titles and word order go, given names
-   take their full form, abbreviations of organisations too. The account's handle is cut to its core.
-2. Each telling word (one that few names hold) and each handle core is a set of padded 3-grams; `BANDS` bands of
-   `ROWS` minhashes give the candidates. The collision curve 1-(1-s^ROWS)^BANDS was set for words of nine
-   letters: one letter changed (s = 0.57) is met with probability 0.999, two swapped (s = 0.47) with 0.99.
+   take their full form, abbreviations of organisations too. The account's handle is cut to its core. Records that
+   parse alike become one, with the number of its copies as weight.
+2. Each word of two letters or more is a set of padded 3-grams; `BANDS` bands of `ROWS` minhashes tell which words may be
+   alike. The collision curve 1-(1-s^ROWS)^BANDS was set for words of nine letters: one letter changed (s = 0.57) is
+   met with probability 0.999, two swapped (s = 0.47) with 0.99. Two names meet if a word of one is like a
+   word of the other and another word of each begins alike (two letters, or one where one of them is an initial), so
+   that no word, however common, is no key, and no hot word brings all its names together. Handles and
+   acronyms must be equal to count, so they meet by equality. Two records with different accounts are never compared.
 3. A candidate is verified by the handle (a person keeps the core of theirs everywhere; two cores are two persons)
    and by the mean of Monge-Elkan similarities in both directions, over Jaro-Winkler with initials.
 4. Star clustering: the record with most links that has an account becomes a centre and takes its neighbours, and so
-   on; records without an account keep only their best links, so that they cannot bridge namesakes.
+   on until none is left; records without an account keep only their best links, so that they cannot bridge namesakes.
 
 Everything runs as DataFrame joins; no links or clusters are collected.
 """
@@ -32,9 +36,9 @@ from quillstream.llm.text_form import consistent
 from quillstream.session import cut
 
 Q, BANDS, ROWS = 3, 20, 2
-#: A word that more than this share of all names, and more than `COMMON_LEAST`, hold tells little and is no key.
-COMMON, COMMON_LEAST = 0.002, 30
-SURE, WEAK, SLACK, STARS = 0.93, 0.8, 0.015, 25
+SURE, WEAK, SLACK = 0.93, 0.8, 0.015
+#: A word in the names of more different accounts, or a known given name, cannot tell a person by itself and an initial.
+PERSONS = 10
 
 # Short forms of given names, titles, and abbreviations of organisations.
 SHORT = {
@@ -47,6 +51,7 @@ SHORT = {
     "zoe": "", "stephen": "steve stephan steven", "edward": "ed eddie ted", "richard": "rick dick rich", "james": "jim jimmy jamie", "charles": "charlie chuck", "anthony": "tony", "daniel": "dan danny", "matthew": "matt", "nicholas": "nick nicky",
     "joshua": "josh", "jonathan": "jon jonny", "rebecca": "becky becca", "deborah": "deb debbie", "barbara": "barb", "david": "dave", "peter": "pete", "philip": "phil", "ronald": "ron", "timothy": "tim", "vladimir": "vova volodya", "maria": "masha", "anastasia": "nastya", "sebastian": "seb bastian", "maximilian": "max", "wilhelm": "willi",
 }
+GIVEN = frozenset(SHORT) | {"ines", "nina", "milo", "tina", "dara", "soren", "emma", "anna", "paul", "john", "mark", "laura", "sara", "sarah", "julia", "martin"}
 FULL = {s.strip("_"): full for full, shorts in SHORT.items() for s in [*shorts.split()] if not s.endswith("_")}
 TITLES = frozenset("dr prof professor mr mrs ms miss mme herr frau sir coach captain rev doctor ing mag".split())
 ABBREVIATED = {"inst": "institute", "intl": "international", "univ": "university", "corp": "corporation", "co": "company", "assoc": "association", "dept": "department", "labs": "laboratories", "lab": "laboratories", "bros": "brothers", "found": "foundation", "org": "organisation", "soc": "society", "ltd": "limited", "assn": "association", "fdn": "foundation", "ctr": "centre"}
@@ -149,8 +154,9 @@ def _clash(a: list[str], b: list[str]) -> bool:
     return any(len(w) > 1 and max((_inner(w, v) for v in y), default=0) < 0.7 for x, y in ((a, b), (b, a)) for w in x)
 
 
-def verify(core_a: str, core_b: str, words_a: list[str], words_b: list[str], own_a: str, own_b: str) -> tuple[float, bool]:
-    """(similarity, weak) of two records; 0 for different ones. Weak: known by an initial or an acronym only."""
+def verify(core_a: str, core_b: str, words_a: list[str], words_b: list[str], own_a: str, own_b: str, held: frozenset[str] | set[str] = frozenset()) -> tuple[float, bool]:
+    """(similarity, weak) of two records; 0 for different ones. Weak: known by an initial or an acronym only, and then a
+    word that many accounts hold (`held`) or a given name is not enough."""
     if core_a and core_b:
         return (0.0, False) if core_a != core_b or _clash(words_a, words_b) else (1.0, False)
     for own, core, words in ((own_a, core_b, words_b), (own_b, core_a, words_a)):
@@ -166,8 +172,14 @@ def verify(core_a: str, core_b: str, words_a: list[str], words_b: list[str], own
     m = monge_elkan(words_a, words_b)
     if m < WEAK or _clash(words_a, words_b):
         return 0.0, False
+    told = lambda words: [w for w in words if len(w) > 1 and w not in held and w not in GIVEN]
+    if (set(words_a) | set(words_b)) & _ORG:
+        # organisations share their generic words; what names them must be alike
+        x, y = sorted(([w for w in told(words) if w not in _ORG] for words in (words_a, words_b)), key=len)
+        if any(max((_inner(w, v) for v in y), default=0.0) < 0.9 for w in x):
+            return 0.0, False
     if not _full(words_a) or not _full(words_b):
-        family = max((_inner(w, v) for w in words_a for v in words_b if len(w) > 1 and len(v) > 1), default=0.0)
+        family = max((_inner(w, v) for w in told(words_a) for v in told(words_b)), default=0.0)
         return (m, True) if family >= 0.95 and min(len(words_a), len(words_b)) >= 2 else (0.0, False)
     shared = min(len(words_a), len(words_b))
     if shared < max(len([w for w in words_a if len(w) > 1]), len([w for w in words_b if len(w) > 1])) and not (set(words_a) | set(words_b)) & _ORG:
@@ -203,62 +215,95 @@ def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _verify_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(x.a, x.b, *verify(x.core_a, x.core_b, list(x.words_a), list(x.words_b), x.own_a, x.own_b), bool(x.core_a), bool(x.core_b), x.core_a or x.core_b) for x in b.itertuples(index=False)]
+        rows = [(x.a, x.b, *verify(x.core_a, x.core_b, list(x.words_a), list(x.words_b), x.own_a, x.own_b, {*x.held_a, *x.held_b}), bool(x.core_a), bool(x.core_b), x.core_a or x.core_b) for x in b.itertuples(index=False)]
         out = pd.DataFrame(rows, columns=["a", "b", "score", "weak", "has_a", "has_b", "core"])
         yield out[out["score"] > 0]
 
 
+def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ref, core, words) to keys (ref, has, word, ask, give): a name that asks meets the names that give the same."""
+    for b in batches:
+        at, word, ask, give = [], [], [], []
+        for k, words in enumerate(b.column(2).to_pylist()):
+            for w, u in dict.fromkeys((w, u) for i, w in enumerate(words) if len(w) > 1 for j, u in enumerate(words) if i != j):
+                # full words by two letters; an initial by its letter, with full words and with initials
+                for x, y in ((f"f{u[:2]}", f"f{u[:2]}"), (f"j{u[0]}", f"i{u[0]}")) if len(u) > 1 else ((f"i{u}", f"j{u}"), (None, f"i{u}")):
+                    at.append(k)
+                    word.append(w)
+                    ask.append(x)
+                    give.append(y)
+        i = pa.array(at, pa.int64())
+        has = pa.array([c != "" for c in b.column(1).to_pylist()], pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(i), has.take(i), pa.array(word, pa.string()), pa.array(ask, pa.string()), pa.array(give, pa.string())], names=["ref", "has", "word", "ask", "give"])
+
+
+def candidates(people: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of records (ref, core, words, own) that may be linked."""
+    kind = people.schema["ref"].dataType.simpleString()
+    keys = cut(people.select("ref", "core", "words").mapInArrow(_key_batches, f"ref {kind}, has boolean, word string, ask string, give string").distinct())
+    # every different word is banded once; like words meet, then their records, of which one has no account
+    banded = cut(keys.select("word").distinct().mapInArrow(_band_batches, "word string, band long"))
+    alike = banded.alias("x").join(banded.alias("y").hint("merge"), "band").where("x.word <= y.word").select(F.col("x.word").alias("w"), F.col("y.word").alias("v")).distinct()
+    alike = alike.where((1 - F.levenshtein("w", "v") / F.greatest(F.length("w"), F.length("v"))) >= 0.6)
+    alike = cut(alike.unionByName(alike.where("w < v").select(F.col("v").alias("w"), F.col("w").alias("v"))))
+    asking = keys.where("not has and ask is not null").select(F.col("ref").alias("a"), F.col("word").alias("w"), F.col("ask").alias("key"))
+    giving = keys.select(F.col("ref").alias("b"), F.col("word").alias("v"), F.col("give").alias("key")).distinct()
+    by_words = asking.join(alike.hint("merge"), "w").join(giving.hint("merge"), ["v", "key"]).select("a", "b")
+    # handles: a name that is one meets accounts, other such names, and names whose words joined are the same
+    joined = people.where(F.size("words") > 0).select("ref", "core", F.explode(F.array_distinct(F.array(F.array_join("words", ""), F.array_join(F.reverse("words"), "")))).alias("k"))
+    own = people.where("own <> ''").select(F.col("ref").alias("a"), F.col("core").alias("core_a"), F.col("own").alias("k"))
+    others = joined.unionByName(people.where("core <> ''").select("ref", "core", F.col("core").alias("k"))).unionByName(people.where("own <> ''").select("ref", "core", F.col("own").alias("k")))
+    by_handle = own.join(others.withColumnRenamed("ref", "b").hint("merge"), "k").where("core_a = '' or core = '' or core_a = core").select("a", "b")
+    accounts = people.where("core <> ''").select("ref", "core")
+    by_account = accounts.toDF("a", "core").join(accounts.toDF("b", "core").hint("merge"), "core").select("a", "b")
+    short = people.where((F.size("words") == 1) & F.length(F.get("words", F.lit(0))).between(2, 5)).select(F.col("ref").alias("a"), F.col("core").alias("core_a"), F.get("words", F.lit(0)).alias("k"))
+    long = people.where(F.size("words") >= 3).select(F.col("ref").alias("b"), F.col("core").alias("core_b"), F.array_join(F.transform("words", lambda w: F.substring(w, 1, 1)), "").alias("k"))
+    by_acronym = short.join(long.hint("merge"), "k").where("core_a = '' or core_b = ''").select("a", "b")
+    pairs = by_words.unionByName(by_handle).unionByName(by_account).unionByName(by_acronym).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def links(people: DataFrame) -> DataFrame:
     """Verified links (a, b, score), a < b, between records (ref, core, words, own)."""
-    total = people.count()
-    words = people.select("ref", F.explode(F.array_distinct(F.filter("words", lambda w: F.length(w) > 1))).alias("word"))
-    common = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > max(COMMON_LEAST, COMMON * total)).select("word")
-    telling = words.join(common, "word", "left_anti")
-    # a name of common words only is known by all of them together
-    rest = people.where(F.size("words") > 0).join(telling.select("ref").distinct(), "ref", "left_anti").select("ref", F.array_join(F.array_sort("words"), " ").alias("word"))
-    acronym = people.where(F.size("words") >= 3).select("ref", F.array_join(F.transform("words", lambda w: F.substring(w, 1, 1)), "").alias("word"))
-    cores = people.where("core <> ''").select("ref", F.col("core").alias("word")).unionByName(people.where("own <> ''").select("ref", F.col("own").alias("word")))
-    joined = people.where(F.size("words").between(2, 3)).select("ref", F.explode(F.array(F.array_join("words", ""), F.array_join(F.reverse("words"), ""))).alias("word"))
-    keys = cut(telling.select("ref", "word").unionByName(rest).unionByName(acronym).unionByName(cores).unionByName(joined).distinct())
-    # every different word is banded once; like words meet, then their records
-    banded = cut(keys.select("word").distinct().mapInArrow(_band_batches, "word string, band long"))
-    alike = banded.alias("x").join(banded.alias("y"), "band").where("x.word <= y.word").select(F.col("x.word").alias("w"), F.col("y.word").alias("v")).distinct()
-    near = (1 - F.levenshtein("w", "v") / F.greatest(F.length("w"), F.length("v"))) >= 0.6
-    alike = alike.where(near)
-    pairs = alike.join(keys.toDF("a", "w"), "w").join(keys.toDF("b", "v"), "v").where("a <> b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda s: people.select(F.col("ref").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("core", "words", "own")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where("core_a = '' or core_b = '' or core_a = core_b")
     kind = people.schema["ref"].dataType.simpleString()
+    each = people.select("ref", "core", F.explode(F.array_distinct("words")).alias("word"))
+    wide = each.where("core <> ''").groupBy("word").agg(F.count_distinct("core").alias("n")).where(F.col("n") > PERSONS).select("word")
+    held = each.join(wide.hint("merge"), "word", "left_semi").groupBy("ref").agg(F.collect_list("word").alias("held"))
+    people = cut(people.join(held.hint("merge"), "ref", "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>"))))
+    side = lambda s: people.select(F.col("ref").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("core", "words", "own", "held")]).hint("merge")
+    both = candidates(people).join(side("a"), "a").join(side("b"), "b")
     found = cut(both.mapInPandas(_verify_batches, f"a {kind}, b {kind}, score double, weak boolean, has_a boolean, has_b boolean, core string"))
     # records without an account keep their best links; weak ones only if they lead to one person
     ends = found.select(F.col("a").alias("ref"), F.col("has_a").alias("has"), "score", "weak", "core").unionByName(found.select(F.col("b").alias("ref"), F.col("has_b").alias("has"), "score", "weak", "core"))
     best = ends.where("not has").groupBy("ref").agg(F.max("score").alias("best"), F.count_distinct(F.when(F.col("weak") & (F.col("core") != ""), F.col("core"))).alias("persons"), F.max(F.when(~F.col("weak"), F.col("score"))).alias("strong"))
     kept = found
     for s in ("a", "b"):
-        kept = kept.join(best.select(F.col("ref").alias(s), F.col("best").alias("best"), F.col("persons").alias("persons"), F.col("strong").alias("strong")), s, "left")
+        kept = kept.join(best.select(F.col("ref").alias(s), F.col("best").alias("best"), F.col("persons").alias("persons"), F.col("strong").alias("strong")).hint("merge"), s, "left")
         kept = kept.where(F.col("best").isNull() | (F.when(F.col("weak"), F.col("strong").isNull() & (F.col("persons") <= 1)).otherwise(F.col("score") >= F.col("best") - SLACK)) | F.col("weak") & F.col(f"has_{'b' if s == 'a' else 'a'}") & (F.col("persons") <= 1) & F.col("strong").isNull())
         kept = kept.drop("best", "persons", "strong")
     return kept.select("a", "b", "score", "has_a", "has_b")
 
 
 def stars(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Star clustering: rows (ref, centre) of all nodes. Nodes: (ref, has); links: (a, b)."""
+    """Star clustering: rows (ref, centre) of all nodes. Nodes: (ref, has, copies); links: (a, b).
+
+    A node's rank is whether it has an account, the copies of its neighbours and its own, and the lower ref. Nodes that rank
+    above all open neighbours become centres, their open neighbours join the best of them, until no node is open.
+    """
     edges = cut(found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    degree = edges.groupBy("a").agg(F.count("*").alias("deg"))
-    open_ = cut(nodes.join(degree.withColumnRenamed("a", "ref"), "ref", "left").select("ref", F.struct(F.col("has").cast("int").alias("has"), F.coalesce("deg", F.lit(0)).alias("deg"), (-F.col("ref")).alias("neg")).alias("rank")))
-    done = None
-    for _ in range(STARS):
-        around = edges.join(open_.toDF("a", "rank_a"), "a").join(open_.toDF("b", "rank_b"), "b")
+    degree = edges.join(nodes.select(F.col("ref").alias("b"), "copies").hint("merge"), "b").groupBy("a").agg(F.sum("copies").alias("deg"))
+    ranked = cut(nodes.join(degree.withColumnRenamed("a", "ref").hint("merge"), "ref", "left").select("ref", "deg", F.struct(F.col("has").cast("int").alias("has"), (F.coalesce("deg", F.lit(0)) + F.col("copies") - 1).alias("deg"), (-F.col("ref")).alias("neg")).alias("rank")))
+    done = ranked.where("deg is null").select("ref", F.col("ref").alias("centre"))
+    open_ = ranked.where("deg is not null").select("ref", "rank")
+    while not open_.isEmpty():
+        around = edges.join(open_.select(F.col("ref").alias("a")).hint("merge"), "a").join(open_.toDF("b", "rank_b").hint("merge"), "b")
         higher = around.groupBy("a").agg(F.max("rank_b").alias("top"))
-        centres = cut(open_.join(higher.withColumnRenamed("a", "ref"), "ref", "left").where(F.col("top").isNull() | (F.col("top") < F.col("rank"))).select("ref", "rank"))
-        taken = edges.join(centres.toDF("b", "rank_b"), "b").join(open_.select(F.col("ref").alias("a")), "a").groupBy("a").agg(F.max_by("b", "rank_b").alias("centre"))
+        centres = cut(open_.join(higher.withColumnRenamed("a", "ref").hint("merge"), "ref", "left").where(F.col("top").isNull() | (F.col("top") < F.col("rank"))).select("ref", "rank"))
+        taken = edges.join(centres.toDF("b", "rank_b").hint("merge"), "b").join(open_.select(F.col("ref").alias("a")).hint("merge"), "a").groupBy("a").agg(F.max_by("b", "rank_b").alias("centre"))
         now = cut(centres.select("ref", F.col("ref").alias("centre")).unionByName(taken.toDF("ref", "centre")))
-        done = now if done is None else done.unionByName(now)
-        open_ = cut(open_.join(now.select("ref"), "ref", "left_anti"))
-        if open_.isEmpty():
-            return done
-    return done.unionByName(open_.select("ref", F.col("ref").alias("centre")))
+        done = done.unionByName(now)
+        open_ = cut(open_.join(now.select("ref").hint("merge"), "ref", "left_anti"))
+    return done
 
 
 def people_of(df: DataFrame, key: str = "authorRef", name: str = "authorName", url: str = "authorUrl") -> DataFrame:
@@ -273,12 +318,18 @@ def entities(df: DataFrame, key: str = "authorRef", name: str = "authorName", ur
     Null and blank names without an account stand alone, equal names without an account are one entity, decorated and
     null URLs are handled, extra columns are dropped first, and an empty table gives an empty result.
     """
-    people = cut(people_of(df, key, name, url))
-    out = stars(people.select("ref", (F.col("core") != "").alias("has")), links(people))
-    return out.select(F.col("ref").alias(key), F.col("centre").alias("entity"))
+    rows = cut(people_of(df, key, name, url))
+    # records that parse alike are one, where that makes them the same person
+    known = (F.col("core") != "") | (F.col("own") != "") | (F.size(F.filter("words", lambda w: F.length(w) > 1)) >= 2)
+    rows = rows.withColumn("alone", F.when(~known, F.col("ref")))
+    people = cut(rows.groupBy("core", "words", "own", "alone").agg(F.min("ref").alias("rep"), F.count("*").alias("copies")))
+    which = rows.join(people.select("core", "words", "own", "alone", "rep").hint("merge"), (rows["core"] == people["core"]) & (rows["words"] == people["words"]) & (rows["own"] == people["own"]) & rows["alone"].eqNullSafe(people["alone"])).select("ref", "rep")
+    found = links(people.select(F.col("rep").alias("ref"), "core", "words", "own"))
+    out = stars(people.select(F.col("rep").alias("ref"), (F.col("core") != "").alias("has"), "copies"), found)
+    return which.join(out.select(F.col("ref").alias("rep"), "centre").hint("merge"), "rep").select(F.col("ref").alias(key), F.col("centre").alias("entity"))
 
 
 def same(df: DataFrame, key: str = "authorRef", name: str = "authorName", url: str = "authorUrl") -> DataFrame:
     """All pairs (ref_a, ref_b), ref_a < ref_b, of one entity."""
     who = cut(entities(df, key, name, url))
-    return who.toDF("ref_a", "entity").join(who.toDF("ref_b", "entity"), "entity").where("ref_a < ref_b").select("ref_a", "ref_b")
+    return who.toDF("ref_a", "entity").join(who.toDF("ref_b", "entity").hint("merge"), "entity").where("ref_a < ref_b").select("ref_a", "ref_b")
