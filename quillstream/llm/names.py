@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -125,6 +126,7 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
+@lru_cache(maxsize=500_000)
 def _inner(a: str, b: str) -> float:
     if len(a) == 1 or len(b) == 1:
         return 0.9 if a[0] == b[0] and len(a) != len(b) else float(a == b)
