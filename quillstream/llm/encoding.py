@@ -3,8 +3,12 @@
 Method: the garbled sequences of all encoding pairs are computed beforehand and found with a
 multi-pattern automaton; only matched spans are replaced, mixed correct text stays untouched.
 
-Two families of pairs:
+Three families of pairs:
 
+* Pairs with an East Asian encoding. UTF-8 or a Western single-byte text read as one leaves single characters attached to
+  Latin letters ("caf茅"); all letters and signs of Western text, alone or with the letter that follows, give the
+  patterns, and they count if the text holds no other East Asian character. A text in such an encoding read as a
+  Western one gives pairs of accented letters and signs; three or more pairs in a row count.
 * UTF-8 read as a single-byte encoding. Each lead byte with a continuation byte gives a pattern for
   every wrong encoding; a match counts if the whole UTF-8 sequence decodes to a plausible character.
 * A single-byte encoding read as another. One garbled letter proves nothing, so the sequences are whole
@@ -33,6 +37,10 @@ from pyspark.sql.types import BooleanType
 # Encodings as Python names them.
 WRONG_FOR_UTF8 = ("cp1252", "latin_1", "cp1251", "cp437", "cp850", "mac_roman", "cp1250", "koi8_r", "cp866", "iso8859_2", "cp1253", "cp1254")
 SINGLE_BYTE = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8_r", "cp866", "iso8859_2", "iso8859_5")
+EAST_ASIAN = ("gbk", "shift_jis", "big5", "euc_kr")
+WRONG_FOR_EAST_ASIAN = ("cp1252", "latin_1", "mac_roman")
+#: Pairs in a row that make a text of an East Asian encoding.
+PAIRS = 3
 #: A restored token must be this many times as frequent as the garbled one, and occur so often at least.
 RATIO, LEAST = 5, 3
 
@@ -129,6 +137,110 @@ def utf8_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+_EAST = re.compile("[぀-ヿ㐀-鿿가-힣｡-ﾟ]")
+_WESTERN = [chr(c) for c in (*range(0xC0, 0x180), 0x2013, 0x2014, 0x2018, 0x2019, 0x201C, 0x201D, 0x2026)]
+
+
+@lru_cache(maxsize=1)
+def _east_automaton() -> ahocorasick.Automaton:
+    """What Western letters and signs, with or without the letter after them, look like read as an East Asian encoding."""
+    at: dict[str, dict[str, str]] = {}
+    after = ["", *"abcdefghijklmnopqrstuvwxyz ,.-"]
+    for wrong in EAST_ASIAN:
+        for right in ("utf-8", "cp1252"):
+            for c in _WESTERN:
+                for x in after:
+                    try:
+                        seen = (c + x).encode(right).decode(wrong)
+                    except UnicodeError:
+                        continue
+                    if _EAST.match(seen) and not seen[-1].isascii():
+                        at.setdefault(seen, {})[f"{right} as {wrong}"] = c + x
+    auto = ahocorasick.Automaton()
+    for seen, meant in at.items():
+        auto.add_word(seen, (seen, meant))
+    auto.make_automaton()
+    return auto
+
+
+def east_spans(text: str) -> list[tuple[int, int, str]]:
+    """Matched spans (start, end, restored) of Western text read as an East Asian encoding, left to right; none unless one
+    pair of encodings explains all East Asian characters of the text and Latin letters stand beside them."""
+    if not _EAST.search(text):
+        return []
+    every = len(_EAST.findall(text))
+    by: dict[str, list[tuple[int, int, str]]] = {}
+    for end, (seen, meant) in _east_automaton().iter(text):
+        for pair, right in meant.items():
+            by.setdefault(pair, []).append((end - len(seen) + 1, end + 1, right))
+    latin = lambda c: c.isascii() and c.isalpha()
+    for _, spans in sorted(by.items()):
+        out, done = [], 0
+        for i, j, right in sorted(spans, key=lambda x: (x[0], -x[1])):
+            if i >= done:
+                out.append((i, j, right))
+                done = j
+        beside = [latin(text[i - 1 : i]) or latin(text[j : j + 1]) for i, j, _ in out]
+        if sum(len(_EAST.findall(text[i:j])) for i, j, _ in out) == every and any(beside) and all(x or not r[0].isalpha() for x, (_, _, r) in zip(beside, out)):
+            return out
+    return []
+
+
+@lru_cache(maxsize=1)
+def _pair_automaton() -> ahocorasick.Automaton:
+    """What kana and the commonest ideographs and syllables look like in pairs of Western letters and signs."""
+    at: dict[str, list[tuple[str, str]]] = {}
+    for right in EAST_ASIAN:
+        # the first rows of each table hold the kana and the characters in common use
+        rows = {"gbk": [(a, b) for a in range(0xB0, 0xD8) for b in range(0xA1, 0xFF)], "big5": [(a, b) for a in range(0xA4, 0xC7) for b in (*range(0x80, 0x80), *range(0xA1, 0xFF))],
+                "euc_kr": [(a, b) for a in range(0xB0, 0xC9) for b in range(0xA1, 0xFF)], "shift_jis": [(a, b) for a in (0x82, 0x83) for b in range(0x80, 0xF2)]}[right]
+        for wrong in WRONG_FOR_EAST_ASIAN:
+            seen_as = {b: c for c, b in _bytes_of(wrong).items()}
+            for a, b in rows:
+                try:
+                    c = bytes((a, b)).decode(right)
+                except UnicodeDecodeError:
+                    continue
+                at.setdefault(seen_as[a] + seen_as[b], []).append((f"{right} as {wrong}", c))
+    auto = ahocorasick.Automaton()
+    for pair, meant in at.items():
+        auto.add_word(pair, (pair, dict(meant)))
+    auto.make_automaton()
+    return auto
+
+
+_DENSE = re.compile("[^\x00-\x7f\u0370-\u1fff\u3000-\uffff]{6}")
+
+
+def pair_spans(text: str) -> list[tuple[int, int, str]]:
+    """Matched spans (start, end, restored) of East Asian text read as a Western encoding: `PAIRS` or more pairs in a row."""
+    if not _DENSE.search(text):
+        return []
+    at = {end - 1: meant for end, (_, meant) in _pair_automaton().iter(text)}
+    out, i = [], 0
+    while i < len(text):
+        best = None
+        for pair in at.get(i, ()):
+            j, got = i, []
+            while pair in at.get(j, ()):
+                got.append(at[j][pair])
+                j += 2
+            if len(got) >= PAIRS and (best is None or j > best[1]):
+                best = (i, j, "".join(got))
+        if best and not text[best[0] : best[1]].isupper():
+            out.append(best)
+            i = best[1]
+        else:
+            i += 1
+    return out
+
+
+def spans(text: str) -> list[tuple[int, int, str]]:
+    """Matched spans of all families whose sequences are computed beforehand."""
+    one, two = utf8_spans(text), pair_spans(text)
+    return (two if sum(j - i for i, j, _ in two) > sum(j - i for i, j, _ in one) else one) or east_spans(text)
+
+
 def _counts(text: str, i: int, j: int, got: list[str], name: str) -> bool:
     """A lone sequence is chance where a capital that ends a word is followed by a quotation mark, dash or dots."""
     if len(got) > 1 or j - i > 2:
@@ -185,7 +297,7 @@ def _anew_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 #: A token for the counts: digits as 0, without ASCII punctuation at its ends.
 def _tokens(docs: DataFrame, key: str) -> DataFrame:
-    words = docs.where(F.col("text").rlike("[^\\x00-\\x7f]")).select(key, F.explode(F.array_distinct(F.filter(F.split("text", "\\s+"), lambda w: w.rlike("[^\\x00-\\x7f]")))).alias("raw"))
+    words = docs.where(F.col("text").rlike("[^\\x00-\\x7f]")).select(key, F.xxhash64("text").alias("same"), F.explode(F.array_distinct(F.filter(F.split("text", "\\s+"), lambda w: w.rlike("[^\\x00-\\x7f]")))).alias("raw"))
     shape = F.regexp_replace(F.regexp_replace("raw", "[0-9]+", "0"), "^[\\x21-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7e]+|[\\x21-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7e]+$", "")
     return words.withColumn("token", shape)
 
@@ -193,10 +305,10 @@ def _tokens(docs: DataFrame, key: str) -> DataFrame:
 def garbled_tokens(tokens: DataFrame) -> DataFrame:
     """Tokens that are another token under a wrong single-byte encoding: (token, result).
 
-    Counted over all rows, with counts combined before the shuffle, so that a token of a third of all rows
-    is one row when it is joined.
+    Counted over the different texts of all rows, so that copies of a garbled text cannot make it the commoner form;
+    counts are combined before the shuffle, so that a token of a third of all rows is one row when it is joined.
     """
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n")).where("token <> ''")
+    counts = tokens.select("token", "same").distinct().groupBy("token").agg(F.count("*").alias("n")).where("token <> ''")
     tries = counts.mapInPandas(_anew_batches, "token string, n long, result string, stands boolean, result_stands boolean")
     known = counts.select(F.col("token").alias("result"), F.col("n").alias("n_result"))
     judged = tries.join(known, "result", "left").withColumn("n_result", F.coalesce("n_result", F.lit(0)))
@@ -207,13 +319,13 @@ def garbled_tokens(tokens: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(BooleanType())
-def _has_utf8(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: bool(utf8_spans(t)), na_action="ignore").fillna(False).astype(bool)
+def _has_span(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: bool(spans(t)), na_action="ignore").fillna(False).astype(bool)
 
 
 def _flagged(docs: DataFrame, key: str) -> DataFrame:
     some = docs.where(F.col("text").rlike("[^\\x00-\\x7f]"))
-    return some.where(F.col("text").rlike(LOST) | _has_utf8("text")).select(key)
+    return some.where(F.col("text").rlike(LOST) | _has_span("text")).select(key)
 
 
 def garbled(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -232,14 +344,15 @@ def _restore(text: str | None, pairs) -> str | None:
     if text is None:
         return None
     for _ in range(3):  # text may have been garbled more than once
-        spans = utf8_spans(text)
-        if not spans:
+        found = spans(text)
+        if not found:
             break
         out, at = [], 0
-        for i, j, s in spans:
+        for i, j, s in found:
             out += [text[at:i], s]
             at = j
         text = "".join(out) + text[at:]
+    whole_tokens: dict[str, str] = {}
     for raw, token, result in pairs if pairs is not None else ():
         core = re.sub("[0-9]+", "0", raw)
         k = core.find(token)
@@ -249,8 +362,11 @@ def _restore(text: str | None, pairs) -> str | None:
         whole = core[:k] + result + core[k + len(token) :]
         it = iter(digits)
         fixed = re.sub("0", lambda m: next(it, "0"), whole) if whole.count("0") == len(digits) else raw
-        text = text.replace(raw, fixed)
-    return text
+        whole_tokens[raw] = fixed
+    return _SOLID.sub(lambda m: whole_tokens.get(m[0], m[0]), text) if whole_tokens else text
+
+
+_SOLID = re.compile("[^ \t\n\x0b\f\r]+")
 
 
 def restored(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.text_form import consistent_col
+from quillstream.llm.text_form import consistent_col, origins
 from quillstream.session import cut
 
 KINDS = ("email", "phone", "id_number", "card", "address", "person")
@@ -82,7 +82,9 @@ def _emails(text: str) -> Iterator[tuple[int, int, str]]:
         word = m[0].strip().lower() == "at"
         if word and " dot " not in text.lower():
             continue
-        local = _LOCAL.search(text[max(0, m.start() - 90) : m.start()])
+        reach = 90
+        while (local := _LOCAL.search(text, max(0, m.start() - reach), m.start())) and 0 < m.start() - reach == local.start():
+            reach *= 2  # a longer local part begins before
         host = _HOST.match(text, m.end())
         if local and host and (not word or re.search(r"(?i)\bdot\b", host[0])):
             yield m.start() - len(local[0]), host.end(), m[0].strip()
@@ -294,7 +296,8 @@ def found(df: DataFrame, key: str = "seq", text: str = "text") -> DataFrame:
 def redacted(df: DataFrame, key: str = "seq", text: str = "text") -> DataFrame:
     """Rows (key, redacted): every text with its personal data replaced by typed placeholders such as [EMAIL].
 
-    Texts without personal data come out unchanged, null texts as null. Of overlapping spans the likelier
+    Texts without personal data come out unchanged, null texts as null; beside the placeholders a text stays as it was
+    written. Of overlapping spans the likelier
     and longer one counts.
     """
     hits = found(df, key, text).groupBy(key).agg(F.collect_list(F.struct("start", "end", "kind", "p")).alias("hits"))
@@ -308,11 +311,12 @@ def redacted(df: DataFrame, key: str = "seq", text: str = "text") -> DataFrame:
             for x in sorted(h, key=lambda x: (-round(x["p"], 3), x["start"] - x["end"])):
                 if all(x["end"] <= a or x["start"] >= b for a, b, _ in taken):
                     taken.append((x["start"], x["end"], x["kind"]))
+            at = origins(s)
             for a, b, k in sorted(taken, reverse=True):
-                s = f"{s[:a]}[{k.upper()}]{s[b:]}"
+                s = f"{s[:at[a]]}[{k.upper()}]{s[at[b]:]}"
             return s
 
         return pd.Series([one(s, h) for s, h in zip(t, hits)], dtype=object)
 
     rows = df.select(key, F.col(text).alias("text")).join(hits, key, "left")
-    return rows.select(key, F.when(F.col("hits").isNull(), F.col("text")).otherwise(replace(consistent_col(F.col("text")), F.col("hits"))).alias("redacted"))
+    return rows.select(key, F.when(F.col("hits").isNull(), F.col("text")).otherwise(replace("text", "hits")).alias("redacted"))

@@ -51,9 +51,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every author name of stack with look-alikes, with its skeleton and the consistent form."""
-    groups = text_form.skeleton_groups(read_table(spark, sf_dir, "stack"), "authorName")
-    return groups.select("skeleton", "value", text_form.consistent_col(groups["value"]).alias("form"), "n_rows", "n_values")
+    """Every text and author name of stack that looks like another or isn't in the consistent form, with that form."""
+    return text_form.skeleton_groups(read_table(spark, sf_dir, "stack"), "seq", ["text", "authorName"])
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

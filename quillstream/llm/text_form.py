@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from quillstream.session import cut
+
 # Look-alike letters and their Latin prototypes (public Unicode knowledge).
 LOOKALIKES = {
     # Cyrillic
@@ -179,6 +182,47 @@ def _in_sentence(m: re.Match) -> str:
 _FROM_LATIN = {ord(v): k for k, v in LOOKALIKES.items() if v in LATIN_POSERS and script(k) == "C" and k not in _FOREIGN_CYRILLIC}
 
 
+_CLUSTER = re.compile("[^\u0300-\u036f\u0483-\u0489\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\u1160-\u11ff\ufe20-\ufe2f][\u0300-\u036f\u0483-\u0489\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\u1160-\u11ff\ufe20-\ufe2f]*", re.S)
+
+
+def origins(text: str) -> list[int]:
+    """For every character of the consistent form the place in `text` that it comes from, and the text's length at the end.
+
+    Only dropped invisible characters and composed accents move places; all other changes are one for one.
+    """
+    if not _SUSPICIOUS.search(text):
+        return list(range(len(text) + 1))
+    at = [i for i, ch in enumerate(text) if not _INVISIBLE.match(ch) or _keeps(text, i)]
+    left = "".join(text[i] for i in at)
+    out: list[int] = []
+    done = 0
+    for m in _CLUSTER.finditer(left):
+        out += at[done : m.start()]  # marks without a letter
+        n = len(unicodedata.normalize("NFC", m[0]))
+        out += [at[min(m.start() + k, m.end() - 1)] for k in range(n)]
+        done = m.end()
+    out += at[done:]
+    form = consistent(text)
+    if len(out) != len(form):  # scripts that compose in other ways: places by common stretches
+        out = [0] * len(form)
+        for a, b, n in SequenceMatcher(None, form, text, autojunk=False).get_matching_blocks():
+            out[a : a + n] = range(b, b + n)
+        for k in range(1, len(out)):
+            out[k] = max(out[k], out[k - 1])
+    return [*out, len(text)]
+
+
+def _form(value: str) -> str | None:
+    """The form of a value if it is another of the same skeleton."""
+    form = consistent(value)
+    return form if form != value and skeleton(form) == skeleton(value) else None
+
+
+@pandas_udf(StringType())
+def _form_udf(s: pd.Series) -> pd.Series:
+    return s.map(_form, na_action="ignore").astype(object)
+
+
 @pandas_udf(StringType())
 def _consistent_udf(s: pd.Series) -> pd.Series:
     return s.map(consistent, na_action="ignore").astype(object)
@@ -208,17 +252,21 @@ def inconsistent_values(df: DataFrame, key: str, fields: list[str]) -> DataFrame
     """
     long = df.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("x"))
     long = long.select(key, "x.field", "x.value").where(F.col("value").rlike(SUSPICIOUS))
-    return long.withColumn("form", _consistent_udf("value")).where(F.col("form") != F.col("value"))
+    return long.withColumn("form", _form_udf("value")).where("form is not null")
 
 
-def skeleton_groups(df: DataFrame, field: str) -> DataFrame:
-    """Originals grouped by equal skeleton: one row per distinct value with its skeleton, the number of its
-    rows and the number of distinct values that look like it.
+def skeleton_groups(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Different values grouped by equal skeleton: rows (field, skeleton, value, form, n_rows, n_values) of every value
+    that looks like another or isn't in the consistent form, with the number of its rows and of the different
+    values that look like it. `skeleton` is the skeleton's hash.
 
-    Counts are combined before each shuffle; a value or skeleton that holds a third of all rows is one row by then.
-    Null values are left out; an empty text is a value of its own.
+    Hashes are counted and combined before each shuffle, so a value or skeleton that holds a third of all rows is one row by
+    then; only the values that come out are shuffled themselves. Null values are left out; an empty text is a value.
     """
-    values = df.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("value")).agg(F.count("*").alias("n_rows"))
-    values = values.withColumn("skeleton", skeleton_col(F.col("value")))
-    sizes = values.groupBy("skeleton").agg(F.count("*").alias("n_values"))
-    return values.join(sizes, "skeleton").where("n_values > 1")
+    long = df.select(F.col(key).alias("key"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("x")).select("key", "x.field", "x.value").where("value is not null")
+    hashed = long.select("key", "field", F.md5("value").alias("v"), F.md5(skeleton_col(F.col("value"))).alias("skeleton"), F.coalesce(F.md5(_form_udf(F.when(F.col("value").rlike(SUSPICIOUS), F.col("value")))), F.lit("")).alias("f"))
+    values = cut(hashed.groupBy("field", "v", "skeleton", "f").agg(F.count("*").alias("n_rows"), F.min("key").alias("key")))
+    sizes = values.groupBy("field", "skeleton").agg(F.count("*").alias("n_values"))
+    wanted = values.join(sizes.hint("merge"), ["field", "skeleton"]).where("n_values > 1 or f <> ''")
+    out = wanted.join(long.hint("merge"), ["field", "key"]).where(F.md5("value") == F.col("v"))
+    return out.select("field", "skeleton", "value", consistent_col(F.col("value")).alias("form"), "n_rows", "n_values").dropDuplicates(["field", "skeleton", "value"])
