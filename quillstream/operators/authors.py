@@ -24,7 +24,7 @@ def _matches(authors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return rows.join(each, ["name", "url"]).select("ref", "id"), hits
 
 
-def author_pairs(authors: DataFrame, key: str = "authorRef", blocks: tuple[int, ...] = (3,)) -> DataFrame:
+def author_pairs(authors: DataFrame, key: str = "authorRef") -> DataFrame:
     """Pairs (a, b), a < b, of authors that match, among those that share a block: a run of three letters of the bare name,
     or the handle of the URL. Any two matching names of three letters or more share one, so no pair is lost.
 

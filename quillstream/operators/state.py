@@ -24,30 +24,36 @@ def merge_texts(texts: list[str | None]) -> tuple[str, int]:
 
 def upsert_by_url(posts: DataFrame) -> DataFrame:
     """One row per http(s) URL: texts merged in order of arrival, `seq` of the last merge (it moves the post to the top),
-    the first timestamp and tag, isAd if any post has it. Posts without such a URL stay as they are.
+    the first timestamp and favourite, isAd if any post has it. Posts without such a URL stay as they are.
 
-    A URL's different texts are folded, each once and in the order of its first arrival, so what reaches the fold is
-    bounded by the different texts of one URL, not by its posts.
+    A URL with one different text is settled by aggregates; only the others are folded, each text once and in the order of
+    its first arrival, so what reaches a fold is bounded by the different texts of one URL, not by its posts. A null text
+    counts as an empty one.
     """
-    keyed = posts.where(F.col("sourceUrl").rlike("^https?://"))
-    first = keyed.groupBy("sourceUrl", "text").agg(F.min("seq").alias("seq"), F.min_by("timestamp", "seq").alias("timestamp"), F.min_by("assignedTag", "seq").alias("assignedTag"), F.max(F.coalesce("isAd", F.lit(False))).alias("isAd"))
+    http = F.coalesce(F.col("sourceUrl").rlike("^https?://"), F.lit(False))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    keyed = posts.where(http).select("sourceUrl", F.coalesce("text", F.lit("")).alias("text"), "seq", "timestamp", flag("isAd").alias("isAd"), flag("isFavorite").alias("isFavorite"))
+    first = keyed.groupBy("sourceUrl", "text").agg(F.min("seq").alias("seq"), F.min_by("timestamp", "seq").alias("timestamp"), F.max("isAd").alias("isAd"), F.min_by("isFavorite", "seq").alias("isFavorite"))
+    by_url = first.groupBy("sourceUrl").agg(
+        F.count("*").alias("n_texts"), F.min("seq").alias("seq"), F.min_by("timestamp", "seq").alias("timestamp"), F.max("isAd").alias("isAd"), F.min_by("isFavorite", "seq").alias("isFavorite"), F.min_by("text", "seq").alias("text"),
+    )
+    columns = ["sourceUrl", "seq", "text", "timestamp", "isAd", "isFavorite", "n_texts"]
+    several = by_url.where("n_texts > 1")
 
     def fold(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("seq")
-        seq, texts, out = int(b["seq"].iloc[0]), [], ""
-        for s, t in zip(b["seq"], b["text"]):
-            t = t or ""
-            if not texts:
+        out, seq = "", int(b["seq"].iloc[0])
+        for k, (s, t) in enumerate(zip(b["seq"], b["text"])):
+            if k == 0:
                 out = t
             elif t not in out:
                 out, seq = out + JOINT + t, int(s)
-            texts.append(t)
-        return pd.DataFrame([(b["sourceUrl"].iloc[0], seq, out, b["timestamp"].iloc[0], b["assignedTag"].iloc[0], bool(b["isAd"].any()), len(b))], columns=["sourceUrl", "seq", "text", "timestamp", "assignedTag", "isAd", "n_texts"])
+        return pd.DataFrame([(b["sourceUrl"].iloc[0], seq, out)], columns=["sourceUrl", "seq", "text"])
 
-    kinds = "sourceUrl string, seq long, text string, timestamp long, assignedTag string, isAd boolean, n_texts long"
-    merged = first.groupBy("sourceUrl").applyInPandas(fold, kinds)
-    alone = posts.where(~F.coalesce(F.col("sourceUrl").rlike("^https?://"), F.lit(False))).select("sourceUrl", "seq", "text", "timestamp", "assignedTag", F.coalesce("isAd", F.lit(False)).alias("isAd"), F.lit(1).cast("long").alias("n_texts"))
-    return merged.unionByName(alone)
+    folded = first.join(several.select("sourceUrl"), "sourceUrl", "left_semi").select("sourceUrl", "seq", "text").groupBy("sourceUrl").applyInPandas(fold, "sourceUrl string, seq long, text string")
+    merged = several.drop("seq", "text").join(folded, "sourceUrl").select(columns)
+    alone = posts.where(~http).select("sourceUrl", "seq", "text", "timestamp", flag("isAd").alias("isAd"), flag("isFavorite").alias("isFavorite"), F.lit(1).cast("long").alias("n_texts"))
+    return by_url.where("n_texts = 1").select(columns).unionByName(merged).unionByName(alone)
 
 
 def dynamic_tags(posts: DataFrame, topic: str, limit: int = 10) -> DataFrame:

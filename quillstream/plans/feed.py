@@ -57,17 +57,19 @@ def table(name: str):
 
 
 # --- text ---------------------------------------------------------------------------------------------------------
+# Formats of what is masked, as the twins write them.
 CARD, PHONE, EMAIL = r"\b(?:\d[ -]*?){13,19}\b", r"(?:\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b|\+\d{1,3}\s\d{3}\s\d{4}\s\d{4}", r"\b[\w.-]+@[\w.-]+\.\w{2,}\b"
 LUHN = "list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(d[len(d) - i + 1] AS INT) WHEN CAST(d[len(d) - i + 1] AS INT) > 4 THEN 2 * CAST(d[len(d) - i + 1] AS INT) - 9 ELSE 2 * CAST(d[len(d) - i + 1] AS INT) END)) % 10 = 0"
 
 
-@query(
-    f"""WITH m AS (SELECT seq, unnest(regexp_extract_all(text, '{CARD}')) AS c FROM stack),
+_CLEAN = f"""m AS (SELECT seq, unnest(regexp_extract_all(text, '{CARD}')) AS c FROM stack),
     v AS (SELECT seq, c, regexp_replace(c, '[^0-9]', '', 'g') AS d FROM m),
-    good AS (SELECT seq, list(DISTINCT c) AS cards FROM v WHERE len(d) BETWEEN 13 AND 19 AND {LUHN} GROUP BY seq)
-    SELECT s.seq, regexp_replace(regexp_replace(list_reduce(list_concat([s.text], coalesce(cards, CAST([] AS VARCHAR[]))), lambda a, c: replace(a, c, '[REDACTED_CC]')), '{PHONE}', '[REDACTED_PHONE]', 'g'), '{EMAIL}', '[REDACTED_EMAIL]', 'g') AS clean
-    FROM stack s LEFT JOIN good g ON s.seq = g.seq WHERE s.text IS NOT NULL"""
-)
+    good AS (SELECT seq, list(DISTINCT c) AS cards FROM v WHERE len(d) BETWEEN 13 AND 19 AND {LUHN} GROUP BY seq),
+    masked AS (SELECT s.seq, s.text, regexp_replace(regexp_replace(list_reduce(list_concat([s.text], coalesce(cards, CAST([] AS VARCHAR[]))), lambda a, c: replace(a, c, '[REDACTED_CC]')), '{PHONE}', '[REDACTED_PHONE]', 'g'), '{EMAIL}', '[REDACTED_EMAIL]', 'g') AS clean
+    FROM stack s LEFT JOIN good g ON s.seq = g.seq WHERE s.text IS NOT NULL)"""
+
+
+@query(f"WITH {_CLEAN} SELECT seq, clean FROM masked")
 def sanitized_posts(spark, d):
     """C1 over all posts."""
     return stack(spark, d).where("text is not null").select("seq", T.sanitize(F.col("text")).alias("clean"))
@@ -79,10 +81,13 @@ def length_filter(spark, d):
     return stack(spark, d).where(F.length("text").between(60, 2000)).groupBy(O.host(F.col("sourcePlatform")).alias("platform")).agg(F.count("*").alias("n"))
 
 
-@query(r"SELECT seq, regexp_replace(CASE WHEN sourceUrl IS NULL THEN NULL WHEN regexp_matches(sourceUrl, '^[a-z]+://') THEN lower(regexp_extract(sourceUrl, '^[a-z]+://([^/?#:]*)', 1)) ELSE sourceUrl END, '^(.*?)www\.', '\1') AS domain FROM stack WHERE sourceUrl IS NOT NULL AND regexp_matches(sourceUrl, '^[a-z]+://[a-z0-9.-]+')")
+@query(r"WITH u AS (SELECT seq, sourceUrl AS u FROM stack UNION ALL SELECT -seq, replace(sourceUrl, '://', ': //') FROM stack WHERE seq % 2 = 0 UNION ALL SELECT seq + 1000000000000, 'nothing' FROM stack) SELECT seq, CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#: ]+') THEN regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^(.*?)www\.', '\1') ELSE u END AS domain FROM u")
 def extract_domain(spark, d):
-    """Host of every post's URL."""
-    return stack(spark, d).where(F.col("sourceUrl").rlike("^[a-z]+://[a-z0-9.-]+")).select("seq", T.extract_domain(F.col("sourceUrl")).alias("domain"))
+    """Host of every post's URL, the input itself where it is none: the posts' own URLs, broken copies and plain words."""
+    own = stack(spark, d).select("seq", "sourceUrl")
+    broken = own.where("seq % 2 = 0").select((-F.col("seq")).alias("seq"), F.replace(F.col("sourceUrl"), F.lit("://"), F.lit(": //")).alias("sourceUrl"))
+    words = own.select((F.col("seq") + 1000000000000).alias("seq"), F.lit("nothing").alias("sourceUrl"))
+    return own.unionByName(broken).unionByName(words).select("seq", T.extract_domain(F.col("sourceUrl")).alias("domain"))
 
 
 @query(f"SELECT seq, CASE WHEN s < 60 THEN CAST(s AS VARCHAR) || 's' WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || 'm' WHEN s < 86400 THEN CAST(s // 3600 AS VARCHAR) || 'h' ELSE CAST(s // 86400 AS VARCHAR) || 'd' END AS age FROM (SELECT seq, CAST(floor(({NOW_MS} - timestamp) / 1000) AS BIGINT) AS s FROM stack)")
@@ -127,29 +132,75 @@ def phrase_counts(spark, d):
 
 
 # --- classification -----------------------------------------------------------------------------------------------
-_KEYWORDS = ", ".join(f"({k}, {quoted(t.label)}, {quoted(w)}, {x})" for k, t in enumerate(TAGS) for w, x in tag_keywords(t))
-_SCORED = f"WITH kw(pos, name, k, w) AS (VALUES {_KEYWORDS}), sc AS (SELECT seq, name, pos, sum(w) AS score FROM stack JOIN kw ON contains(lower(text), k) GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, pos) AS r, max(score) OVER (PARTITION BY seq) AS top FROM sc)"
+# The tags' keywords written out, so that the twins don't lean on the code that makes them.
+WRITTEN = """Lab & Field: lab, field, lab & field, labs, labing, labed, fields, fielding, fielded
+Courts: courts, court, courtsing, courtsed
+Matches: matches, matche, matchesing, matchesed
+Code: code, codes, codeing, codeed
+Wellbeing: wellbeing, wellbeings, wellbe, wellbeer, wellbeinged
+Money: money, moneys, moneying, moneyed
+Kitchen: kitchen, kitchens, kitchening, kitchened
+On The Road: the, road, on the road, ons, oning, oned, thes, theing, theed, roads, roading, roaded
+Stage & Sound: stage, sound, stage & sound, stages, stageing, stageed, sounds, sounding, sounded
+Sky Watch: sky, watch, sky watch, skys, skying, skyed, watchs, watching, watched
+Opinion Corner: opinion, corner, opinion corner, opinions, opinioning, opinioned, corners, corn, corning, cornering, cornered
+Announcements: announcements, announcement, announcementsing, announcementsed
+Local Notices: local, notices, local notices, locals, localing, localed, notice, noticesing, noticesed
+Showcase: showcase, showcases, showcaseing, showcaseed"""
+
+
+def _values(text: str) -> str:
+    rows = [line.split(": ") for line in text.splitlines()]
+    return ", ".join(f"({k}, {quoted(label)}, {quoted(w)}, {1 + (' ' in w)})" for k, (label, words) in enumerate(rows) for w in words.split(", "))
+
+
+_KEYWORDS = _values(WRITTEN)
+_SCORED = f"WITH {_CLEAN}, kw(pos, name, k, w) AS (VALUES {_KEYWORDS}), sc AS (SELECT seq, name, pos, sum(w) AS score FROM masked JOIN kw ON contains(lower(clean), k) GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, pos) AS r, max(score) OVER (PARTITION BY seq) AS top FROM sc)"
+
+
+def clean(spark, d):
+    """Posts with their text masked, as classification sees it."""
+    return stack(spark, d).withColumn("text", T.sanitize(F.col("text")))
 
 
 @query(f"{_SCORED} SELECT seq, name, CAST(score AS BIGINT) AS score FROM sc")
 def keyword_scores(spark, d):
-    """Every tag with a hit."""
-    rows = stack(spark, d).select("seq", F.explode(C.tag_scores(F.col("text"), TAGS)).alias("x"))
+    """Every tag with a hit, on masked texts."""
+    rows = clean(spark, d).select("seq", F.explode(C.tag_scores(F.col("text"), TAGS)).alias("x"))
     return rows.select("seq", "x.name", F.col("x.score").cast("long").alias("score"))
 
 
 @query(f"{_SCORED} SELECT seq, CAST(r AS BIGINT) AS place, name, round(score / top, 2) AS score FROM rk WHERE r <= 3")
 def top3_tags(spark, d):
     """The three best tags of every post."""
-    rows = stack(spark, d).select("seq", F.posexplode(C.top_tags(C.tag_scores(F.col("text"), TAGS))).alias("k", "x"))
-    return rows.select("seq", (F.col("k") + 1).cast("long").alias("place"), "x.name", F.col("x.score").alias("score"))
+    rows = clean(spark, d).select("seq", F.posexplode(C.top_tags(C.tag_scores(F.col("text"), TAGS))).alias("k", "x"))
+    return rows.select("seq", (F.col("k") + 1).cast("long").alias("place"), "x.name", F.col("x.share").alias("score"))
+
+
+# Tags that topics became, as the tool would have added them.
+DYNAMIC = [Tag("Harbour", None, 0, ("harbour", "ferry", "quay")), Tag("Kitchen", None, 1, ("recipe", "oven")), Tag("Storms", None, 2, ("storm", "forecast", "wind"))]
+_MORE = _values("Harbour: harbour, ferry, quay\nKitchen: recipe, oven\nStorms: storm, forecast, wind")
+
+
+@query(
+    f"""{_SCORED}, kw2(pos, name, k, w) AS (VALUES {_MORE}), sc2 AS (SELECT seq, name, pos, sum(w) AS score FROM masked JOIN kw2 ON contains(lower(clean), k) GROUP BY ALL),
+    rk2 AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, pos) AS r, max(score) OVER (PARTITION BY seq) AS top FROM sc2),
+    u AS (SELECT seq, name, round(score / top, 2) AS score, 0 AS l, r FROM rk WHERE r <= 3 UNION ALL SELECT seq, name, round(score / top, 2), 1, r FROM rk2 WHERE r <= 3),
+    o AS (SELECT *, row_number() OVER (PARTITION BY seq, name ORDER BY score DESC, l, r) AS again FROM u),
+    p AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, l, r) AS place FROM o WHERE again = 1)
+    SELECT seq, CAST(place AS BIGINT) AS place, name, score FROM p WHERE place <= 3"""
+)
+def merged_tags(spark, d):
+    """The ranked lists of tags and dynamic tags as one."""
+    rows = clean(spark, d).select("seq", F.posexplode(C.merged_tags(F.col("text"), TAGS, DYNAMIC)).alias("k", "x"))
+    return rows.select("seq", (F.col("k") + 1).cast("long").alias("place"), "x.name", F.col("x.share").alias("score"))
 
 
 @query(f"{_SCORED} SELECT coalesce(name, 'Unclassified') AS tag, count(*) AS n FROM stack LEFT JOIN (SELECT * FROM rk WHERE r = 1) USING (seq) WHERE length(text) BETWEEN 20 AND 2000 GROUP BY 1")
 def primary_tag_counts(spark, d):
-    """Flagship: sanitize, filter by length, score, best tag, count."""
-    rows = stack(spark, d).where(F.length("text").between(20, 2000)).select(T.sanitize(F.col("text")).alias("text"), F.col("text").alias("raw"))
-    return rows.groupBy(F.coalesce(F.get(C.tag_scores(F.col("raw"), TAGS), 0)["name"], F.lit("Unclassified")).alias("tag")).agg(F.count("*").alias("n"))
+    """Flagship: filter by length, mask, score, best tag, count."""
+    rows = stack(spark, d).where(F.length("text").between(20, 2000)).select(T.sanitize(F.col("text")).alias("text"))
+    return rows.groupBy(F.coalesce(F.get(C.tag_scores(F.col("text"), TAGS), F.lit(0))["name"], F.lit("Unclassified")).alias("tag")).agg(F.count("*").alias("n"))
 
 
 _P, _W = significant_phrases(PROMPT), significant_keywords(PROMPT)
@@ -164,13 +215,13 @@ def match_gate(spark, d):
 @query()
 def classified_posts(spark, d):
     """The cascade of keywords, topic and none, by tier."""
-    return C.classify(stack(spark, d).select("seq", "text"), TAGS).groupBy("tier", "category").agg(F.count("*").alias("n"))
+    return C.classify(clean(spark, d).select("seq", "text"), TAGS, dynamic=DYNAMIC).groupBy("tier", "category").agg(F.count("*").alias("n"))
 
 
 @query()
 def dynamic_tags(spark, d):
     """Topics of unclassified posts that become tags."""
-    rows = C.classify(stack(spark, d).select("seq", "text"), TAGS).where("tier = 'topic'")
+    rows = C.classify(clean(spark, d).select("seq", "text"), TAGS).where("tier = 'topic'")
     return S.dynamic_tags(rows, "category")
 
 
@@ -327,12 +378,32 @@ def deduplicated(spark, d):
     return O.dedup(stack(spark, d)).select("seq")
 
 
-@query()
+@query(
+    """WITH k AS (SELECT *, sourceUrl IS NOT NULL AND regexp_matches(sourceUrl, '^https?://') AS keyed FROM stack), t AS (SELECT sourceUrl, coalesce(text, '') AS text, min(seq) AS seq FROM k WHERE keyed GROUP BY ALL),
+    f AS (SELECT sourceUrl, list_reduce(list([text, CAST(seq AS VARCHAR)] ORDER BY seq), lambda a, x: CASE WHEN contains(a[1], x[1]) THEN a ELSE [a[1] || chr(10) || chr(10) || x[1], x[2]] END) AS m, count(*) AS n_texts FROM t GROUP BY 1),
+    o AS (SELECT sourceUrl, arg_min(timestamp, seq) AS timestamp, bool_or(coalesce(isAd, false)) AS isAd, coalesce(arg_min(coalesce(isFavorite, false), seq), false) AS isFavorite FROM k WHERE keyed GROUP BY 1)
+    SELECT sourceUrl, CAST(m[2] AS BIGINT) AS seq, m[1] AS text, timestamp, isAd, isFavorite, n_texts FROM f JOIN o USING (sourceUrl)
+    UNION ALL SELECT sourceUrl, seq, text, timestamp, coalesce(isAd, false), coalesce(isFavorite, false), 1 FROM k WHERE NOT keyed"""
+)
 def upserted(spark, d):
-    """Posts of one URL merged; tested against a plain Python fold."""
+    """Posts of one URL merged."""
     return S.upsert_by_url(stack(spark, d))
 
 
+@query()
+def upserted_classified(spark, d):
+    """The merged posts classified anew, by tag."""
+    merged = S.upsert_by_url(clean(spark, d).withColumn("isFavorite", F.col("isFavorite")))
+    return C.classify(merged.select("seq", "text"), TAGS).groupBy(F.col("category").alias("tag")).agg(F.count("*").alias("n"))
+
+
+@query(f"{_SCORED} SELECT seq, name AS tag, coalesce(isFavorite, false) AS isFavorite FROM stack JOIN (SELECT * FROM rk WHERE r = 1) USING (seq) WHERE contains(lower(text), 'road') OR contains(lower(text), 'kitchen')")
+def recomputed(spark, d):
+    """After a change of tags and prompt, posts that pass the new gate under their new tags; here those with keywords."""
+    rows = C.reclassified(clean(spark, d), TAGS, '"road" "kitchen"').where("tier = 'keywords'")
+    return rows.select("seq", F.col("assignedTag").alias("tag"), F.coalesce("isFavorite", F.lit(False)).alias("isFavorite"))
+
+
 @query(
     """WITH a AS (SELECT DISTINCT ON (actionId) * FROM mutations ORDER BY actionId), m AS (SELECT seq, count(*) FILTER (kind = 'FAVORITE_TOGGLED') % 2 = 1 AS flip, bool_or(kind = 'ITEM_DELETED') AS gone FROM a GROUP BY seq),
     t AS (SELECT seq, newTag FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY actedAt DESC, actionId DESC) AS r FROM a WHERE kind = 'ITEM_RETAGGED' AND newTag IS NOT NULL) WHERE r = 1)
@@ -343,9 +414,17 @@ def after_mutations(spark, d):
     return O.after_mutations(stack(spark, d), read_table(spark, d, "mutations")).select("seq", F.col("assignedTag").alias("tag"), F.col("isFavorite").alias("favorite"))
 
 
-@query()
+_BARE = r"regexp_replace({n}, '[@_\s0-9-]', '', 'g')"
+_HANDLE = r"lower(regexp_replace(regexp_extract(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '([^/]+)/*$', 1), '^([^@]*)@', '\1'))"
+
+
+@query(
+    f"""WITH a AS (SELECT authorRef AS r, lower(trim(authorName)) AS n, {_BARE.format(n='lower(trim(authorName))')} AS m, {_HANDLE.format(u="coalesce(authorUrl, '')")} AS h FROM authors WHERE trim(authorName) <> '')
+    SELECT x.r AS a, y.r AS b FROM a x JOIN a y ON x.r < y.r AND (x.n = y.n OR x.m = y.m AND length(x.m) > 2 OR length(x.m) > 3 AND length(y.m) > 3 AND (contains(x.m, y.m) OR contains(y.m, x.m)) OR x.h <> '' AND x.h = y.h
+    OR greatest(length(x.m), length(y.m)) > 4 AND 1 - levenshtein(x.m, y.m) / greatest(length(x.m), length(y.m)) > 0.8)"""
+)
 def author_pairs(spark, d):
-    """Authors that match; tested against brute force."""
+    """Authors that match."""
     return A.author_pairs(read_table(spark, d, "authors"))
 
 
@@ -391,11 +470,14 @@ def html_roundtrip(spark, d):
     return pages.posts_of_pages(made)
 
 
-@query("SELECT s.id AS id, s.domain AS domain, s.isEnabled AS isEnabled FROM sites s")
+@query("""WITH up AS (SELECT id, CASE WHEN pos % 4 = 0 THEN NULL ELSE domain || '.new' END AS domain, NOT isEnabled AS isEnabled FROM sites WHERE pos % 2 = 0 UNION ALL SELECT id || '_b', 'added.' || domain, NULL FROM sites WHERE pos % 3 = 0)
+    SELECT coalesce(s.id, up.id) AS id, coalesce(up.domain, s.domain) AS domain, coalesce(up.isEnabled, s.isEnabled) AS isEnabled FROM sites s FULL JOIN up ON s.id = up.id""")
 def state_merged(spark, d):
-    """The stored sites merged with an update that brings nothing new."""
-    s = read_table(spark, d, "sites").select("id", "domain", "isEnabled")
-    return stores.merge_state(s, s.limit(0), "id")
+    """The stored sites merged with an update that changes rows, leaves columns null and adds rows."""
+    s = read_table(spark, d, "sites").select("id", "domain", "isEnabled", "pos")
+    changed = s.where("pos % 2 = 0").select("id", F.when(F.col("pos") % 4 != 0, F.concat("domain", F.lit(".new"))).alias("domain"), (~F.col("isEnabled")).alias("isEnabled"))
+    added = s.where("pos % 3 = 0").select(F.concat("id", F.lit("_b")).alias("id"), F.concat(F.lit("added."), "domain").alias("domain"), F.lit(None).cast("boolean").alias("isEnabled"))
+    return stores.merge_state(s.drop("pos"), changed.unionByName(added), "id")
 
 
 @query("WITH g AS (SELECT sourcePlatform, receivedAt, CASE WHEN receivedAt - lag(receivedAt) OVER (PARTITION BY sourcePlatform ORDER BY receivedAt) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS b FROM stack WHERE sourcePlatform IS NOT NULL AND receivedAt IS NOT NULL), h AS (SELECT *, sum(b) OVER (PARTITION BY sourcePlatform ORDER BY receivedAt ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT sourcePlatform, min(receivedAt) AS \"start\", max(receivedAt) + INTERVAL 5 MINUTE AS \"end\", count(*) AS n FROM h GROUP BY sourcePlatform, k")
