@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions.text import author_match, handle
@@ -10,23 +10,38 @@ from quillstream.session import cut
 
 
 def _matches(authors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(ids, hits): the id (least key of equal name and URL) of every author with a name, and the pairs (a, b), a < b, of ids that match."""
+    """(ids, hits): the id (least key of equal name and URL) of every author with a name, and the pairs (a, b), a < b, of ids that match.
+
+    Candidates come rule by rule, none is lost. Equal bare names and equal handles meet by equality. Of two names of which one
+    holds the other, the rarest run of three letters of the shorter stands in the longer. Names within an edit
+    distance d share one of their 3d + 1 rarest runs, at most d places apart.
+    """
     rows = authors.where(F.trim("authorName") != "").select(F.col(key).alias("ref"), F.lower(F.trim("authorName")).alias("name"), F.coalesce("authorUrl", F.lit("")).alias("url"))
     each = rows.groupBy("name", "url").agg(F.min("ref").alias("id"))
     bare = F.regexp_replace("name", "[@_\\s0-9-]", "")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare) - 2, F.lit(1))), lambda i: bare.substr(i, F.lit(3)))
-    # an author without a handle has no such block
-    handles = F.when(handle(F.col("url")) != "", F.array(F.concat(F.lit("/"), handle(F.col("url"))))).otherwise(F.array().cast("array<string>"))
-    keys = each.select("id", F.explode(F.array_distinct(F.concat(F.array("name"), grams, handles))).alias("k"))
-    near = keys.toDF("a", "k").join(keys.toDF("b", "k"), "k").where("a < b").select("a", "b").distinct()
-    side = lambda s: each.select(F.col("id").alias(s), F.col("name").alias(f"name_{s}"), F.col("url").alias(f"url_{s}"))
-    hits = near.join(side("a"), "a").join(side("b"), "b").where(author_match(F.col("name_a"), F.col("name_b"), F.col("url_a"), F.col("url_b"))).select("a", "b")
+    named = cut(each.select("id", "name", "url", bare.alias("bare"), F.coalesce(handle(F.col("url")), F.lit("")).alias("handle")))
+    ordered = lambda x, y: x.join(y, "k").where("a < b").select("a", "b")
+    same = lambda c: ordered(c.toDF("a", "k"), c.toDF("b", "k"))
+    equal = same(named.select("id", "bare").where("length(bare) > 2")).unionByName(same(named.select("id", "name"))).unionByName(same(named.select("id", "handle").where("handle <> ''")))
+    # runs of three letters with their places, rarest first
+    size = F.length("bare")
+    runs = named.where(size > 2).select("id", "bare", size.alias("size"), F.posexplode(F.transform(F.sequence(F.lit(1), size - 2), lambda i: F.col("bare").substr(i, F.lit(3)))).alias("at", "k"))
+    counts = runs.groupBy("k").agg(F.count("*").alias("n"))
+    ranked = cut(runs.join(counts, "k").withColumn("place", F.rank().over(Window.partitionBy("id").orderBy("n", "k"))))
+    side = lambda s: ranked.select("k", *[F.col(c).alias(d) for c, d in (("id", s), ("bare", f"bare_{s}"), ("size", f"size_{s}"), ("at", f"at_{s}"), ("place", f"place_{s}"))])
+    within = side("a").where("place_a = 1 and size_a > 3").join(side("b"), "k").where("a <> b and size_a <= size_b and contains(bare_b, bare_a)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edits = lambda s: F.ceil(F.col(f"size_{s}") / 4) - 1
+    first = lambda s: side(s).where(F.col(f"place_{s}") <= 3 * edits(s) + 1)
+    reach = F.greatest(edits("a"), edits("b"))
+    close = first("a").join(first("b"), "k").where(F.col("a") < F.col("b")).where((F.abs(F.col("size_a") - F.col("size_b")) <= reach) & (F.abs(F.col("at_a") - F.col("at_b")) <= reach)).select("a", "b")
+    near = equal.unionByName(within).unionByName(close).distinct()
+    whole = lambda s: named.select(F.col("id").alias(s), F.col("name").alias(f"name_{s}"), F.col("url").alias(f"url_{s}"))
+    hits = near.join(whole("a"), "a").join(whole("b"), "b").where(author_match(F.col("name_a"), F.col("name_b"), F.col("url_a"), F.col("url_b"))).select("a", "b")
     return rows.join(each, ["name", "url"]).select("ref", "id"), hits
 
 
 def author_pairs(authors: DataFrame, key: str = "authorRef") -> DataFrame:
-    """Pairs (a, b), a < b, of authors that match, among those that share a block: a run of three letters of the bare name,
-    or the handle of the URL. Any two matching names of three letters or more share one, so no pair is lost.
+    """Pairs (a, b), a < b, of authors that match. Null and blank names match nobody.
 
     Equal names are folded to one row before they meet and unfolded afterwards.
     """

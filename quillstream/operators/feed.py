@@ -14,8 +14,6 @@ def latest() -> Column:
     return F.max_by("timestamp", "seq")
 
 
-
-
 def host(col: Column) -> Column:
     """Platform in lower case without blanks and `www.`; the former name of x.com counts as x.com."""
     h = F.regexp_replace(F.lower(F.trim(col)), "^www\\.", "")
@@ -103,16 +101,70 @@ def tag_order(posts: DataFrame, tags: DataFrame) -> DataFrame:
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("latest"), "pos", "label")))
 
 
+def tag_tabs(posts: DataFrame, tags: DataFrame) -> DataFrame:
+    """The tabs of the feed with their counts: All and Favorites, the enabled tags by recency, Ads and Unclassified."""
+    real = tag_order(posts, tags.where("isEnabled and label not in ('Ads', 'Unclassified')")).select("label", F.lit(1).alias("part"), "place")
+    pinned = tags.sparkSession.createDataFrame([("All", 0, 0), ("Favorites", 0, 1), ("Ads", 2, 0), ("Unclassified", 2, 1)], "label string, part int, place int")
+    n = category_facets(posts).withColumnRenamed("facet", "label")
+    order = F.row_number().over(Window.orderBy("part", "place"))  # one row a tag
+    return pinned.unionByName(real).join(broadcast_if_small(n), "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"), (order - 1).alias("place"))
+
+
+def site_tabs(posts: DataFrame, sites: DataFrame) -> DataFrame:
+    """The sites of the feed with their counts: All, the enabled sites by recency, and Other last if it has posts."""
+    by = with_site(posts, sites).groupBy("site").agg(F.count("*").alias("n"), latest().alias("latest"))
+    real = sites.where("isEnabled and domain <> '*'").select(F.col("domain").alias("site"), "pos")
+    each = real.join(broadcast_if_small(by), "site", "left").select("site", F.lit(1).alias("part"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("latest", F.lit(0)).alias("latest"), "pos")
+    other = by.where("site = 'Other'").select("site", F.lit(2).alias("part"), "n", F.lit(0).cast("long").alias("latest"), F.lit(0).alias("pos"))
+    every = posts.agg(F.count("*").alias("n")).select(F.lit("All").alias("site"), F.lit(0).alias("part"), "n", F.lit(0).cast("long").alias("latest"), F.lit(0).alias("pos"))
+    order = F.row_number().over(Window.orderBy("part", F.desc("latest"), "pos", "site"))  # one row a site
+    return every.unionByName(each).unionByName(other).select("site", "n", (order - 1).alias("place"))
+
+
+def tab_site(hosts: DataFrame, sites: DataFrame, column: str = "host") -> DataFrame:
+    """`hosts` with `site`: the first site, by `pos`, that the host of a browser tab is under, if it is enabled; else All."""
+    each = hosts.select(host(F.col(column)).alias("_host")).where("_host is not null").distinct()
+    real = broadcast_if_small(sites.where("domain <> '*'").select("domain", "isEnabled", "pos"))
+    of = each.join(real, under(F.col("_host"), F.col("domain"))).groupBy("_host").agg(F.min_by(F.when(F.col("isEnabled"), F.col("domain")), "pos").alias("site"))
+    return hosts.withColumn("_host", host(F.col(column))).join(of, "_host", "left").withColumn("site", F.coalesce("site", F.lit("All"))).drop("_host")
+
+
+def by_author(posts: DataFrame, name: str, column: str = "authorName") -> DataFrame:
+    """Posts of one author, by the canonical name where `column` holds it; case counts."""
+    return posts.where(F.col(column) == name)
+
+
+def tracked(posts: DataFrame, tags: DataFrame) -> DataFrame:
+    """`posts` with `label`, the configured tag of the same name whatever its case, and `isTracked`, whether that one is enabled."""
+    few = broadcast_if_small(tags.groupBy(F.lower("label").alias("_tag")).agg(F.min_by("label", "pos").alias("label"), F.min_by("isEnabled", "pos").alias("isTracked")))
+    return posts.join(few, F.lower("assignedTag") == F.col("_tag"), "left").drop("_tag").withColumn("isTracked", F.coalesce("isTracked", F.lit(False)))
+
+
+def unless_paused(posts: DataFrame, paused: bool) -> DataFrame:
+    """Nothing comes in while tracking is paused."""
+    return posts.where(F.lit(not paused))
+
+
+def without_values(rules: DataFrame, removed: DataFrame) -> DataFrame:
+    """Ignore rules without the removed ones (kind, value): keywords and links by their exact value, tags and domains
+    whatever their case."""
+    folded = lambda c: F.when(F.col("kind").isin("tag", "domain"), F.lower(c)).otherwise(F.col(c))
+    gone = removed.select("kind", folded("value").alias("_value")).distinct()
+    return rules.withColumn("_value", folded("value")).join(broadcast_if_small(gone), ["kind", "_value"], "left_anti").drop("_value")
+
+
 def percentages(counts: DataFrame, key: str) -> DataFrame:
     """Counts as shares of the greatest one, in whole percent; zero counts are left out."""
-    top = F.max("n").over(Window.partitionBy())
-    return counts.where("n > 0").select(key, "n", F.floor(100 * F.col("n") / F.greatest(top, F.lit(1)) + 0.5).cast("long").alias("pct"))
+    top = F.broadcast(counts.agg(F.max("n").alias("_top")))  # one row
+    return counts.where("n > 0").crossJoin(top).select(key, "n", F.floor(100 * F.col("n") / F.greatest("_top", F.lit(1)) + 0.5).cast("long").alias("pct"))
 
 
-def top_authors(posts: DataFrame, n: int = 10) -> DataFrame:
-    """The authors of most posts; ties go to the one that came first."""
-    name = F.nullif(F.trim("authorName"), F.lit(""))
-    return posts.select(name.alias("author"), "seq").where("author is not null").groupBy("author").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")).orderBy(F.desc("n"), "first_seq").limit(n)
+def top_authors(posts: DataFrame, n: int = 10, active: str | None = None, column: str = "authorName") -> DataFrame:
+    """The authors of most posts; ties go to the one that came first. The active author is added if it isn't among them."""
+    name = F.nullif(F.trim(column), F.lit(""))
+    counts = posts.select(name.alias("author"), "seq").where("author is not null").groupBy("author").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+    top = counts.orderBy(F.desc("n"), "first_seq").limit(n)
+    return top if active is None else top.unionByName(counts.where(F.col("author") == active)).distinct()
 
 
 def first_by_author(posts: DataFrame) -> DataFrame:
@@ -121,31 +173,46 @@ def first_by_author(posts: DataFrame) -> DataFrame:
     return posts.withColumn("author", name).where("author is not null").groupBy("author").agg(F.max("seq").alias("seq"), latest().alias("timestamp"))
 
 
-def day_separators(posts: DataFrame, now_ms: int) -> DataFrame:
+#: Rows of one range of `seq`, and ranges of one range of ranges.
+RANGE = 4096
+
+
+def _ranged(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("block", F.floor(F.col("seq") / RANGE)).withColumn("far", F.floor(F.col("block") / RANGE))
+
+
+def day_separators(posts: DataFrame, now_ms: int, zone: str = "UTC") -> DataFrame:
     """Rows of the feed that a day label precedes: the day differs from that of the row before, newest first.
 
-    Labels are Today, Yesterday or the date, in UTC. The order is global: days are cut within ranges of `seq`, and only
-    the borders of the ranges meet, so no task sorts the whole feed.
+    Labels are Today, Yesterday or the date, in the time zone `zone`. The order is global: days are cut within ranges of
+    `seq`, only the borders of ranges meet within ranges of ranges, and only the borders of these meet in one task: one row
+    for 16 million.
     """
-    day = F.to_date(F.timestamp_millis("timestamp"))
-    today = F.to_date(F.timestamp_millis(F.lit(now_ms)))
-    rows = posts.select("seq", day.alias("day")).withColumn("block", F.floor(F.col("seq") / 4096))
+    local = lambda ms: F.to_date(F.from_utc_timestamp(F.timestamp_millis(ms), zone))
+    today = local(F.lit(now_ms))
+    rows = _ranged(posts.select("seq", local(F.col("timestamp")).alias("day")))
     inside = Window.partitionBy("block").orderBy(F.desc("seq"))
     rows = rows.withColumn("before", F.lag("day").over(inside)).withColumn("first", F.row_number().over(inside) == 1)
-    last = rows.groupBy("block").agg(F.min_by("day", "seq").alias("last_day"))
-    borders = last.select("block", F.lag("last_day").over(Window.orderBy(F.desc("block"))).alias("above"))  # one row a block
-    rows = rows.join(borders, "block").withColumn("before", F.when(F.col("first"), F.col("above")).otherwise(F.col("before")))
+    last = rows.groupBy("far", "block").agg(F.min_by("day", "seq").alias("last_day"))
+    within = Window.partitionBy("far").orderBy(F.desc("block"))
+    borders = last.select("far", "block", F.lag("last_day").over(within).alias("above"), (F.row_number().over(within) == 1).alias("edge"))
+    far = last.groupBy("far").agg(F.min_by("last_day", "block").alias("far_day")).select("far", F.lag("far_day").over(Window.orderBy(F.desc("far"))).alias("beyond"))
+    above = borders.join(far, "far").select("block", F.when(F.col("edge"), F.col("beyond")).otherwise(F.col("above")).alias("above"))
+    rows = rows.join(above, "block").withColumn("before", F.when(F.col("first"), F.col("above")).otherwise(F.col("before")))
     label = F.when(F.col("day") == today, "Today").when(F.col("day") == F.date_sub(today, 1), "Yesterday").otherwise(F.date_format("day", "yyyy-MM-dd"))
     return rows.where(F.col("before").isNull() | (F.col("before") != F.col("day"))).select("seq", label.alias("label"))
 
 
 def positions(posts: DataFrame) -> DataFrame:
-    """Place of every post in the view, newest first, from 0: counts of whole ranges of `seq` plus the place within one."""
-    rows = posts.select("seq", F.floor(F.col("seq") / 4096).alias("block"))
-    sizes = rows.groupBy("block").agg(F.count("*").alias("k"))
-    above = sizes.select("block", F.coalesce(F.sum("k").over(Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
+    """Place of every post in the view, newest first, from 0: counts of ranges of ranges, of ranges, and the place within one."""
+    rows = _ranged(posts.select("seq"))
+    sizes = rows.groupBy("far", "block").agg(F.count("*").alias("k"))
+    above = lambda w: F.coalesce(F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = sizes.select("far", "block", above(Window.partitionBy("far").orderBy(F.desc("block"))).alias("near"))
+    far = sizes.groupBy("far").agg(F.sum("k").alias("k")).select("far", above(Window.orderBy(F.desc("far"))).alias("beyond"))
     place = F.row_number().over(Window.partitionBy("block").orderBy(F.desc("seq"))) - 1
-    return rows.withColumn("place", place).join(above, "block").select("seq", (F.col("place") + F.col("above")).cast("long").alias("position"))
+    offsets = near.join(far, "far").select("block", (F.col("near") + F.col("beyond")).alias("offset"))
+    return rows.withColumn("place", place).join(offsets, "block").select("seq", (F.col("place") + F.col("offset")).cast("long").alias("position"))
 
 
 def next_tags(tags: DataFrame) -> DataFrame:

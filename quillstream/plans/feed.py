@@ -319,6 +319,55 @@ def top10_authors(spark, d):
     return O.top_authors(stack(spark, d))
 
 
+@query("WITH c AS (SELECT trim(authorName) AS author, count(*) AS n, min(seq) AS first_seq FROM stack WHERE trim(authorName) <> '' GROUP BY 1), a AS (SELECT arg_min(author, struct_pack(n := n, s := -first_seq)) AS author FROM c) SELECT * FROM (SELECT * FROM c ORDER BY n DESC, first_seq LIMIT 10) UNION SELECT c.* FROM c JOIN a USING (author)")
+def top_authors_with_active(spark, d):
+    """T5: the authors of most posts and the active one, here the author of fewest posts that came last."""
+    s = stack(spark, d)
+    c = s.select(F.trim("authorName").alias("a"), "seq").where("a <> ''").groupBy("a").agg(F.count("*").alias("n"), F.min("seq").alias("s"))
+    last = c.agg(F.min_by("a", F.struct("n", -F.col("s"))).alias("a")).first()["a"]
+    return O.top_authors(s, active=last)
+
+
+@query(f"WITH t AS (SELECT label, pos, coalesce(latest, 0) AS latest FROM tracked_tags LEFT JOIN (SELECT assignedTag, arg_max(timestamp, seq) AS latest FROM stack GROUP BY 1) ON label = assignedTag WHERE isEnabled AND label NOT IN ('Ads', 'Unclassified')), p AS (SELECT 'All' AS label, 0 AS part, 0 AS place UNION ALL SELECT 'Favorites', 0, 1 UNION ALL SELECT 'Ads', 2, 0 UNION ALL SELECT 'Unclassified', 2, 1 UNION ALL SELECT label, 1, row_number() OVER (ORDER BY latest DESC, pos, label) FROM t), n AS (SELECT facet, sum(n)::BIGINT AS n FROM (SELECT 'All' AS facet, count(*) AS n FROM stack UNION ALL SELECT 'Favorites', count(*) FROM stack WHERE isFavorite UNION ALL SELECT 'Ads', count(*) FROM stack WHERE isAd UNION ALL SELECT {TAG}, count(*) FROM stack GROUP BY 1) GROUP BY 1) SELECT label, coalesce(n, 0) AS n, row_number() OVER (ORDER BY part, place) - 1 AS place FROM p LEFT JOIN n ON facet = label")
+def tag_tabs(spark, d):
+    """Pinned tabs and tags by recency, with their counts."""
+    return O.tag_tabs(stack(spark, d), read_table(spark, d, "tracked_tags"))
+
+
+@query(f"WITH {_SITE}, b AS (SELECT site, count(*) AS n, arg_max(timestamp, seq) AS latest FROM s GROUP BY site), u AS (SELECT 'All' AS site, 0 AS part, (SELECT count(*) FROM stack) AS n, 0 AS latest, 0 AS pos UNION ALL SELECT domain, 1, coalesce(n, 0), coalesce(latest, 0), pos FROM sites LEFT JOIN b ON site = domain WHERE isEnabled AND domain <> '*' UNION ALL SELECT site, 2, n, 0, 0 FROM b WHERE site = 'Other') SELECT site, n, row_number() OVER (ORDER BY part, latest DESC, pos, site) - 1 AS place FROM u")
+def site_tabs(spark, d):
+    """A4, T4: All, sites by recency, and Other."""
+    return O.site_tabs(stack(spark, d), read_table(spark, d, "sites"))
+
+
+@query(f"WITH h AS (SELECT DISTINCT sourcePlatform AS host, {HOST} AS h FROM stack WHERE sourcePlatform IS NOT NULL), f AS (SELECT h, arg_min(CASE WHEN isEnabled THEN domain ELSE '' END, pos) AS site FROM (SELECT DISTINCT h FROM h) JOIN sites ON domain <> '*' AND {_UNDER.format(h='h', d='domain')} GROUP BY h) SELECT host, coalesce(nullif(site, ''), 'All') AS site FROM h LEFT JOIN f USING (h)")
+def tab_sites(spark, d):
+    """Tab host to site, for every host seen."""
+    return O.tab_site(stack(spark, d).select(F.col("sourcePlatform").alias("host")).where("host is not null").distinct(), read_table(spark, d, "sites"))
+
+
+@query("SELECT seq FROM stack WHERE authorName = (SELECT arg_max(authorName, struct_pack(n := n, a := authorName)) FROM (SELECT authorName, count(*) AS n FROM stack WHERE trim(authorName) <> '' GROUP BY 1))")
+def author_items(spark, d):
+    """posts of one author, here the one of most posts."""
+    s = stack(spark, d)
+    name = s.where(F.trim("authorName") != "").groupBy("authorName").agg(F.count("*").alias("n")).agg(F.max_by("authorName", F.struct("n", "authorName")).alias("a")).first()["a"]
+    return O.by_author(s, name).select("seq")
+
+
+@query("WITH t AS (SELECT lower(label) AS l, arg_min(label, pos) AS label, arg_min(isEnabled, pos) AS e FROM tracked_tags GROUP BY 1) SELECT coalesce(label, 'none') AS label, coalesce(e, false) AS isTracked, count(*) AS n FROM stack LEFT JOIN t ON lower(assignedTag) = l GROUP BY ALL")
+def tracked_posts(spark, d):
+    """Posts with their configured tag, counted."""
+    return O.tracked(stack(spark, d), read_table(spark, d, "tracked_tags")).groupBy(F.coalesce("label", F.lit("none")).alias("label"), "isTracked").agg(F.count("*").alias("n"))
+
+
+@query("SELECT kind, value FROM ignore_rules WHERE NOT (kind IN ('tag', 'domain') AND lower(substr(value, 1, 1)) < 'n') AND NOT (kind = 'keyword' AND value = lower(value))")
+def rules_removed(spark, d):
+    """Ignore rules after some were removed, tags and domains under another case, keywords in lower case."""
+    r = read_table(spark, d, "ignore_rules").select("kind", "value")
+    gone = r.where("kind in ('tag', 'domain') and lower(substr(value, 1, 1)) < 'n'").select("kind", F.upper("value").alias("value")).unionByName(r.where("kind = 'keyword'").select("kind", F.lower("value").alias("value")))
+    return O.without_values(r, gone)
+
+
 @query("SELECT trim(authorName) AS author, max(seq) AS seq, arg_max(timestamp, seq) AS timestamp FROM stack WHERE trim(authorName) <> '' GROUP BY 1")
 def first_by_author(spark, d):
     """The newest post of every author."""
@@ -419,7 +468,8 @@ _HANDLE = r"lower(regexp_replace(regexp_extract(regexp_extract({u}, '^[A-Za-z][A
 
 
 @query(
-    f"""WITH a AS (SELECT authorRef AS r, lower(trim(authorName)) AS n, {_BARE.format(n='lower(trim(authorName))')} AS m, {_HANDLE.format(u="coalesce(authorUrl, '')")} AS h FROM authors WHERE trim(authorName) <> '')
+    # the twin's edit distance counts bytes, so letters beyond ASCII become capitals, which no name in lower case has
+    f"""WITH a AS (SELECT authorRef AS r, lower(trim(authorName)) AS n, translate({_BARE.format(n='lower(trim(authorName))')}, '\u00a0\u00ad\u00e9\u00eb\u00f8\u0308\u03b2\u03bf\u0430\u043e\u0455\u0456\u2009\u200d\u2013\u3000\ufeff', 'ABCDEFGHIJKLMNOPQ') AS m, {_HANDLE.format(u="coalesce(authorUrl, '')")} AS h FROM authors WHERE trim(authorName) <> '')
     SELECT x.r AS a, y.r AS b FROM a x JOIN a y ON x.r < y.r AND (x.n = y.n OR x.m = y.m AND length(x.m) > 2 OR length(x.m) > 3 AND length(y.m) > 3 AND (contains(x.m, y.m) OR contains(y.m, x.m)) OR x.h <> '' AND x.h = y.h
     OR greatest(length(x.m), length(y.m)) > 4 AND 1 - levenshtein(x.m, y.m) / greatest(length(x.m), length(y.m)) > 0.8)"""
 )
@@ -450,18 +500,35 @@ def csv_projection(spark, d):
     return O.csv_rows(stack(spark, d))
 
 
-@query()
+@query("SELECT seq, CAST(to_json({'id': id, 'timestamp': timestamp, 'sourcePlatform': sourcePlatform, 'sourceUrl': sourceUrl, 'authorName': authorName, 'authorUrl': authorUrl, 'text': text, 'assignedTag': assignedTag, 'isFavorite': isFavorite, 'isAd': isAd}) AS VARCHAR) AS json FROM stack s WHERE " + _STORED)
 def json_projection(spark, d):
-    """Rows of the JSON export."""
-    return stores.json_rows(stack(spark, d))
+    """Rows of the JSON export of the active feed."""
+    return stores.json_rows(O.without_ignored(stack(spark, d), read_table(spark, d, "ignore_rules"), keywords=False))
 
 
-@query()
+def _escaped(c: str) -> str:
+    return f"replace(replace(replace(replace(replace(coalesce({c}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+
+_CARD = r"""c AS (SELECT *, trim(regexp_replace(text, '[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+', ' ', 'g')) AS t FROM stack), f AS (SELECT *, regexp_extract(t, '^(.*?[.!?])(?:\s|$)', 1) AS h FROM c),
+    k AS (SELECT *, CASE WHEN text IS NULL OR text = '' THEN '' WHEN h <> '' THEN h WHEN length(t) > 70 THEN substr(t, 1, 65) || '…' ELSE t END AS title, CASE WHEN text IS NULL OR text = '' THEN '' WHEN h <> '' THEN trim(substr(t, length(h) + 1)) WHEN length(t) > 70 THEN t ELSE '' END AS body FROM f)"""
+
+
+@query(
+    f"""WITH {_CARD} SELECT seq, '<article class="card" data-tag="' || {_escaped(TAG)} || '"><h3>' || {_escaped('title')} || '</h3><p>' || {_escaped('body')} || '</p><span class="author">' || {_escaped('authorName')} || '</span><a href="' || {_escaped('sourceUrl')} || '">' || {_escaped('sourcePlatform')}
+    || '</a><time>' || coalesce(strftime(make_timestamp_ms(timestamp), '%Y-%m-%dT%H:%M:%S.%g') || 'Z', '') || '</time></article>' AS html FROM k"""
+)
 def html_diary(spark, d):
     """Fragments of the HTML diary."""
     return stores.html_cards(stack(spark, d))
 
 
+@query(f"WITH {_CARD} SELECT seq FROM k WHERE {TAG} = 'Kitchen' AND contains(lower(concat_ws(' ', {TAG}, title, body, authorName, sourcePlatform)), 'oven')")
+def diary_search(spark, d):
+    """cards of the diary under a category that hold a word."""
+    return stores.search_cards(stack(spark, d), "Kitchen", " Oven ").select("seq")
+
+
 @query()
 def html_roundtrip(spark, d):
     """Posts read back out of pages made of the diary's fragments."""
