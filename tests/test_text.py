@@ -35,16 +35,24 @@ def test_keyword_ranking(spark):
         Tag("Finance", None, 1, ("bond", "yield", "recession")),
         Tag("AI & Machine Learning", None, 2, ("transformers", "language model", "gpu")),
     ]
-    texts = ["We need to write python code and commit it to our repository.", "The bond yield curve is showing recession indicators.", "A new transformers language model was trained on GPUs.", "The weather is lovely outside today.", None]
+    texts = ["Her software keeps all python scripts in one place.", "A recession would lift every bond in the drawer.", "Two transformers share a GPU rack.", "Rain again over the allotments.", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(C.top_tags(C.tag_scores(F.col("t"), tags)).alias("x"))
     assert [[y["name"] for y in r["x"]][:1] for r in df.collect()] == [["Tech"], ["Finance"], ["AI & Machine Learning"], [], []]
 
 
-def test_merge_ranked(spark):
-    a = F.array(F.struct(F.lit("A").alias("name"), F.lit(1.0).alias("score")), F.struct(F.lit("B").alias("name"), F.lit(0.5).alias("score")))
-    b = F.array(F.struct(F.lit("C").alias("name"), F.lit(1.0).alias("score")), F.struct(F.lit("A").alias("name"), F.lit(0.9).alias("score")))
-    got = spark.range(1).select(C.merge_ranked(a, b).alias("x")).first()["x"]
-    assert [x["name"] for x in got] == ["A", "C", "B"]
+def test_merged_lists():
+    a = [(4, 0, "A", 1.0, []), (2, -1, "B", 0.5, [])]
+    b = [(3, 0, "C", 1.0, []), (2, -1, "A", 0.9, [])]
+    assert [(x[2], x[3]) for x in C.merged(a, b)] == [("A", 1.0), ("C", 1.0), ("B", 0.5)]
+    assert C.merged([], []) == [] and C.merged(a, []) == a
+
+
+def test_cascade(spark):
+    tags, dynamic = [Tag("Tech", None, 0, ("python",))], [Tag("Boats", None, 0, ("ferry",))]
+    rows = [("python on a ferry",), ("the ferry left",), ("Tech is what Anna called it; Tech it was.",), ("In the end Lighthouse stayed, Lighthouse",), ("of the and",), (None,)]
+    got = [(r["category"], r["tier"], [t["name"] for t in r["tags"]]) for r in C.classify(spark.createDataFrame(rows, "text string"), tags, dynamic=dynamic).collect()]
+    assert got == [("Tech", "keywords", ["Tech", "Boats"]), ("Boats", "keywords", ["Boats"]), ("Tech", "topic", []), ("Lighthouse", "topic", []), ("Unclassified", "none", []), ("Unclassified", "none", [])]
+    assert C.prompt_tags("show me posts on Lighthouse keepers, Lighthouse") == ["Lighthouse"] and C.prompt_tags(None) == []
 
 
 def test_prompts(spark):
