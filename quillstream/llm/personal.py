@@ -61,15 +61,15 @@ _LOWER_TITLE = re.compile(r"\b(?:dr|prof|mrs|mr|ms|mme|herr|frau)\.?\s+(?:[a-z]\
 # Words that stand before or after persons, places and organisations.
 _ORG = re.compile(r"\s*(?:Network|Trust|Guild|Works|Council|Bureau|Archive|Circle|University|Institute|Company|Corporation|Department|Laborator\w+|Society|Club|Association|Foundation|Bank|Street|Road|Lane|Avenue|Square|Court|Row|Drive)\b")
 _PLACE = re.compile(r"(?:New|Port|Upper|Bad|Lake|Lower|Old|Saint|San|Mount|North|South|East|West)$")
-_PERSON_LEFT = re.compile(r"(?i)(?:regards to|ink:|picture:|ask|pregunta a|pergunta a|zapytaj|frag|demandez à|спросите, где|borrowed from|belongs to|kept by|signed|met|thanks to|hello to|written by|sticker:|said|by|with|for|from|gracias a|merci à|danke an|author:|—|–)\s*$")
-_PERSON_RIGHT = re.compile(r"(?i)\s*(?:and the kids|next door|small world|of all people|before it gets late|– still waiting|, small|, of all|, tiene|, ключ|, on partage|von nebenan|, ma klucz|, tem a chave|\(she|\(he|\(they)")
+_PERSON_LEFT = re.compile(r"(?i)(?:regards to|love to|thanks to|hello to|greetings (?:to|from)|ask|met|saw|know|knows|call|called|tell|told|invited?|signed|written|said|by|with|for|from|and|author|contact|owner|pregunta a|pergunta a|gracias a|zapytaj|frag|danke an|demandez à|merci à|спросите|borrowed from|belongs to|kept by|[:–—])[:,]?\s*$")
+_PERSON_RIGHT = re.compile(r"(?i)\s*(?:['’]s\b|[,–—-]?\s*(?:and|or|who|is|was|has|had|will|would|can|says?|said|told|asked|wrote|called|lives?|works?|knows?|next|of all|before|still|small|tiene|es|está|et|on|est|hat|ist|von|und|ma|jest|i\b|tem|é\b|ключ|и\b)|\((?:she|he|they)\b)")
 _PHONE_LEFT = re.compile(r"(?i)(?:\btel\b\.?|phone|call(?: me)?(?: on| from)?|ring|whatsapp|fax|mobile|cell|text me(?: on| at)?|number (?:on the note )?(?:was|is)|dial|звоните|ruf an|rufnummer|llama al|appelle[rz]?|telefon\w*|tél\.?|hotline|sms)\W*(?:on|at|from|:|to|unter|au|al|pod|por)?\W*$")
-_DECOY_LEFT = re.compile(r"(?i)(?:\border|build|invoice(?: no\.?)?|parcel|isbn|version|label reads|pin on the map is|page at|shelf mark|form(?: no\.?)?|voucher|room|worth(?: coins)?|coins|edition|chapter|ticket|serial(?: no\.?)?|bestellung|tracking(?: no\.?)?|batch|lot|article|artikel|part no\.?|model|doi|ref(?:erence)?(?: no\.?)?|score|coordinates|people|code|steps|page|flight|platform)\W*$")
+_DECOY_LEFT = re.compile(r"(?i)(?:\border|build|invoice(?: no\.?)?|parcel|isbn|version|label|map|shelf|signature|form(?: no\.?)?|voucher|room|coins|edition|chapter|ticket|serial(?: no\.?)?|bestellung|tracking(?: no\.?)?|batch|lot|article|artikel|part no\.?|model|doi|ref(?:erence)?(?: no\.?)?|score|coordinates|people|code|steps|page|flight|platform)\W*$")
 _DECOY_RIGHT = re.compile(r"(?i)\s*(?:steps|people|chairs|coins|euro|eur|usd|%|km|kg|m\b|pages|copies|answers with|°|views)")
 _ID_WORD = re.compile(r"(?i)(?:passports?|reisepass|pasaporte|passeport|passaporte|paszport\w*|паспорт\w*|national id(?:entity)?(?: card)?|identity (?:card|number)|id card|social security|social insurance|national insurance|ssn|nino|ni number|tax (?:id|number|payer)|steuer-?id|steuernummer|driv(?:ing|er'?s?) licen[cs]e|führerschein\w*|permis de conduire|dni|nie|nif|pesel|nip|cpf|ausweis(?:nummer|nr)?|personalausweis\w*|insee|codice fiscale|инн|снилс)(?:\s*(?:no\.?|number|nr\.?|num\.?|n[º°]|#|card|номер))?\W*$")
-_PAY_LEFT = re.compile(r"(?i)(?:charge it to|paid with|use|refund went to|receipt still shows|pasted|photo:|card(?: number)?|payé avec|bezahlt mit|se pagó con|оплата с|zapłacono kartą|paguei com|pago com|visa|mastercard|sticker:|zapłac\w*)\W*$")
-_ADDRESS_LEFT = re.compile(r"(?i)(?:key is at|flat is|moved from|live at|deliver to|meet at|door at|parcels go to|sticker:|address(?: is| was|:)?|vivimos en|colis vont au|живём здесь:|wohnen(?: jetzt)?:?|mieszkamy(?: przy)?|moramos (?:na|em)|note said|house at|send (?:it )?to)\W*$")
-_EMAIL_LEFT = re.compile(r"(?i)(?:mail|e-mail|email|write to|contact|address was|kept by|goes to|send it to|off-thread|escribe a|schreib an|écris à|пишите на|napisz na|escreve para|sticker|reach me)\W*(?:<|mailto:)?\s*$")
+_PAY_LEFT = re.compile(r"(?i)(?:charged?(?: it)? to|pa(?:id|y) (?:with|by)|use|refund(?: went)?(?: to)?|receipt(?: \w+){0,2}|photo|card(?: number| no\.?)?|credit|debit|payé avec|payer par|bezahlt mit|se pagó con|pagado con|оплат\w+ (?:с|картой)|zapłac\w*(?: kartą)?|paguei com|pago com|visa|mastercard|amex)\W*$")
+_ADDRESS_LEFT = re.compile(r"(?i)(?:(?:key|flat|house|door|shop|office|party|meeting)(?: is)? at|flat is|mov(?:ed|ing) (?:from|to)|lives? (?:at|in|on)|deliver(?:ed|y)? to|meet(?: me| us)? at|visit(?: us)? at|(?:parcels?|letters?|post|mail|packages?) (?:go(?:es)?|to)(?: to)?|address(?: is| was)?|vivimos en|vivo en|calle|colis vont au|habit\w+(?: au)?|живём(?: здесь)?|адрес|wohn\w+(?: jetzt)?(?: in)?|mieszkam\w*(?: przy)?|mor\w+ (?:na|em|no)|send (?:it )?to|at)\W*$")
+_EMAIL_LEFT = re.compile(r"(?i)(?:mail|e-mail|email|write to|contact|address was|goes to|send it to|escribe a|schreib an|écris à|пишите на|napisz na|escreve para|reach me)\W*(?:<|mailto:)?\s*$")
 _AT = re.compile(r"(?i)\s*[\[({]\s*at\s*[\])}]\s*|\s?@\s?|\s+at\s+")
 _LOCAL = re.compile(r"[\w+-]+(?:(?:\.|\s+(?:dot|DOT)\s+|\s*[\[(]dot[\])]\s*)[\w+-]+)*$")
 _HOST = re.compile(r"(?i)[\w-]+(?:(?:\.|\s+dot\s+|\s*[\[(]dot[\])]\s*)[\w-]+)+")
