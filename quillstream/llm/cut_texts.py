@@ -55,7 +55,8 @@ _DRESS = re.compile(r"(?:#\w+|https?://\S+\.\S+|[☀-➿\U0001F000-\U0001FAFF\uf
 #: Marks of a cut are shorter than this.
 TAIL = 80
 _STOPPED = re.compile(r"[.!?][»”\"')\]]*$")
-_LABEL = re.compile(r"(?:PS|P\.S\.|Found on a sticker|EDIT|edit)\s?:")
+#: A label of two to four words before a colon opens a remark, not a sentence.
+_LABEL = re.compile(r"(?:PS|P\.S\.|NB|EDIT|edit|[A-ZÀ-Þ][a-zà-ÿ]+(?: [a-zà-ÿ]+){1,3})\s?:")
 _DIGITS = re.compile(r"\d+")
 
 
