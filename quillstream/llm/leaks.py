@@ -7,8 +7,8 @@ The threshold loses nothing: the passages overlap by `RUN` words, so any run of
 of them, and each item's impacts are divided by the least score that any run of its own words can reach.
 An item that shares such a run with a passage therefore scores at least 1.
 
-The index is built from the items only. Items are taken in blocks of bounded size, each handed to the tasks
-with the closure; documents are read by the tasks and never shuffled.
+The index is built from the items only. Items are taken in blocks of bounded size, whose indexes are built once and
+broadcast; documents are read by the tasks and never shuffled.
 """
 
 from __future__ import annotations
@@ -140,8 +140,10 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     for k in range(blocks):
         part = [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()]
 
-        def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
-            index = Index(part)
+        shared = docs.sparkSession.sparkContext.broadcast(Index(part))  # of bounded size, built once
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
             for b in batches:
                 found = [(i, *x) for i, t in enumerate(b.column(1).to_pylist()) for x in index.leaks(t)]
                 yield pa.RecordBatch.from_arrays(

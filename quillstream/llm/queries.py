@@ -109,6 +109,12 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
+_GRAMS = r"""SELECT {key}, unnest(list_distinct(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' ')))) AS g FROM (SELECT {key}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 12"""
+_LEAKED = f"WITH d AS ({_GRAMS.format(key='doc_id', table='documents')}), i AS ({_GRAMS.format(key='item_id', table='eval_items')})"
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL twins, where SQL can express the operator."""
-    return {}
+    return {
+        "p8_found": f"{_LEAKED} SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)",
+    }
