@@ -119,6 +119,11 @@ def escape_html(text: Column) -> Column:
     return out
 
 
+def user_prompt(text: Column, platform: Column) -> Column:
+    """A post as a model is asked about it: its source and its text in quotation marks."""
+    return F.concat(F.lit("[Source: "), F.coalesce(platform, F.lit("unknown")), F.lit('] "'), F.coalesce(text, F.lit("")), F.lit('"'))
+
+
 def extract_domain(url: Column) -> Column:
     """Host of a URL without the first `www.`; the input itself where it is no URL."""
     return F.coalesce(F.regexp_replace(F.lower(F.call_function("try_parse_url", url, F.lit("HOST"))), "^(.*?)www\\.", "$1"), url)

@@ -10,12 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.config import Tag, significant_keywords, significant_phrases, tag_keywords
+from quillstream.config import STOP_WORDS, Tag, significant_keywords, significant_phrases, tag_keywords
 from quillstream.functions import text as T
 from quillstream.operators import authors as A
 from quillstream.operators import classify as C
 from quillstream.operators import feed as O
 from quillstream.operators import state as S
+from quillstream.operators.settings import after_changes
 from quillstream.session import read_table
 from quillstream.sources import pages, stores
 
@@ -112,9 +113,16 @@ def card_texts(spark, d):
     return stack(spark, d).where("text <> ''").select("seq", T.card_title(F.col("text")).alias("title"), T.card_body(F.col("text")).alias("body"))
 
 
-@query()
+_IGNORED = "['with', 'this', 'that', 'from', 'they', 'your', 'about', 'their', 'there', 'when', 'more']"
+
+
+@query(
+    f"""WITH w AS (SELECT seq, CASE WHEN assignedTag IS NULL OR assignedTag IN ('Unclassified', 'Ads', '') THEN CAST([] AS VARCHAR[]) ELSE [assignedTag] END AS own, regexp_extract_all(text, '#([A-Za-z0-9_]+)', 1)[1:2] AS tags, string_split_regex(regexp_replace(text, '[^A-Za-z0-9_\\s]', '', 'g'), '\\s+') AS ws FROM stack WHERE text <> ''),
+    l AS (SELECT seq, list_concat(own, tags, list_filter(ws[2:], lambda x: length(x) >= 4 AND regexp_matches(x, '^[A-Z]') AND NOT regexp_matches(x, '^[A-Z]+$') AND NOT list_contains({_IGNORED}, lower(x)))) AS l FROM w)
+    SELECT seq, unnest(list_filter(l, lambda x, i: list_position(l, x) = i)[1:3]) AS entity FROM l"""
+)
 def local_entities(spark, d):
-    """C16 over all posts; tested against a plain Python version."""
+    """C16 over all posts."""
     return stack(spark, d).where("text is not null").select("seq", F.explode(T.local_entities(F.col("text"), F.col("assignedTag"))).alias("entity"))
 
 
@@ -125,9 +133,16 @@ def noun_topics(spark, d):
     return stack(spark, d).select(topic.alias("topic")).where("topic is not null").groupBy("topic").agg(F.count("*").alias("n"))
 
 
-@query()
+_STOPS = "[" + ", ".join(quoted(w) for w in sorted(STOP_WORDS)) + "]"
+
+
+@query(
+    f"""WITH w AS (SELECT seq, list_filter(string_split_regex(lower(regexp_replace(text, '[^A-Za-z0-9_\\s-]', ' ', 'g')), '\\s+'), lambda x: x <> '') AS ws FROM stack WHERE text IS NOT NULL), h AS (SELECT ws, list_transform(ws, lambda x: length(x) >= 2 AND NOT list_contains({_STOPS}, x)) AS hs FROM w),
+    p AS (SELECT list_concat(list_transform(list_filter(range(1, len(ws)), lambda i: hs[i] AND hs[i + 1]), lambda i: array_to_string(ws[i:i + 1], ' ')), list_transform(list_filter(range(1, len(ws) - 1), lambda i: hs[i] AND hs[i + 1] AND hs[i + 2]), lambda i: array_to_string(ws[i:i + 2], ' '))) AS ps FROM h)
+    SELECT phrase, count(*) AS n FROM (SELECT unnest(list_distinct(ps)) AS phrase FROM p) GROUP BY 1"""
+)
 def phrase_counts(spark, d):
-    """Neighbouring pairs and triples of weighty words by posts; tested against a plain Python version."""
+    """Neighbouring pairs and triples of weighty words by posts."""
     return stack(spark, d).select(F.explode(T.ngrams(F.col("text"))).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
 
 
@@ -478,9 +493,14 @@ def author_pairs(spark, d):
     return A.author_pairs(read_table(spark, d, "authors"))
 
 
-@query()
+@query(
+    f"""WITH p AS ({SQL['author_pairs']}), m AS (SELECT map_from_entries(list((b, l))) AS m FROM (SELECT b, list(a) AS l FROM p GROUP BY b)), o AS (SELECT list([authorRef] ORDER BY authorRef) AS l FROM authors WHERE trim(authorName) <> ''),
+    k AS (SELECT unnest(list_reduce(l, lambda acc, x: CASE WHEN list_has_any(acc, coalesce(m[x[1]], CAST([] AS BIGINT[]))) THEN acc ELSE list_concat(acc, x) END)) AS ref FROM o, m),
+    t AS (SELECT b, min(a) AS of FROM p JOIN k ON p.a = k.ref WHERE b NOT IN (SELECT ref FROM k) GROUP BY b)
+    SELECT a.authorRef, trim(coalesce(c.authorName, a.authorName)) AS canonical FROM authors a LEFT JOIN t ON t.b = a.authorRef LEFT JOIN authors c ON c.authorRef = t.of"""
+)
 def canonical_authors(spark, d):
-    """Canonical names; tested against a plain fold."""
+    """Canonical names, as a fold over all authors in order gives them."""
     return A.canonical_names(read_table(spark, d, "authors"))
 
 
@@ -493,6 +513,16 @@ def tags_added(spark, d):
     return t.select("label", F.lit("kept").alias("state")).unionByName(fresh.select("label", F.lit("added").alias("state")))
 
 
+_CHANGES = [("kitchen", "toggle", 1), ("Gardening", "add", 2), ("gardening", "toggle", 3), ("COURTS", "remove", 4), ("Courts", "toggle", 5), ("Code", "remove", 6), ("Code", "add", 7), ("Money", "add", 8), ("Money", "toggle", 9), ("money", "toggle", 10), ("Nowhere", "toggle", 11), ("Nowhere", "remove", 12)]
+
+
+@query("SELECT label, CASE WHEN lower(label) = 'kitchen' THEN NOT isEnabled WHEN label = 'Code' THEN true ELSE isEnabled END AS isEnabled FROM tracked_tags WHERE lower(label) <> 'courts' UNION ALL SELECT 'Gardening', false")
+def tags_after_changes(spark, d):
+    """Tags after a list of additions, removals and switches, whatever the case of the labels."""
+    changes = spark.createDataFrame(_CHANGES, "label string, op string, at long")
+    return after_changes(read_table(spark, d, "tracked_tags").select("label", "isEnabled"), changes, ("label",), folded=True)
+
+
 # --- sinks and sources --------------------------------------------------------------------------------------------
 @query("SELECT coalesce(id, '') AS id, coalesce(strftime(make_timestamp_ms(timestamp), '%Y-%m-%dT%H:%M:%S.%g') || 'Z', '') AS time, coalesce(nullif(sourcePlatform, ''), 'unknown') AS platform, coalesce(authorName, '') AS author, coalesce(authorUrl, '') AS author_url, coalesce(sourceUrl, '') AS url, coalesce(nullif(assignedTag, ''), 'Unclassified') AS tag, CASE WHEN isFavorite THEN 'TRUE' ELSE 'FALSE' END AS favorite, coalesce(text, '') AS text FROM stack")
 def csv_projection(spark, d):
@@ -563,12 +593,16 @@ def counts_by_day(spark, d):
     return counts_by_tag(stack(spark, d).where("receivedAt is not null"))
 
 
-@query()
+@query(
+    """WITH t AS (SELECT sourceUrl, coalesce(text, '') AS text, min(seq) AS seq FROM stack WHERE regexp_matches(sourceUrl, '^https?://') GROUP BY ALL),
+    f AS (SELECT sourceUrl, list_reduce(list([text, '1'] ORDER BY seq), lambda a, x: CASE WHEN contains(a[1], x[1]) THEN a ELSE [a[1] || chr(10) || chr(10) || x[1], CAST(CAST(a[2] AS INT) + 1 AS VARCHAR)] END) AS m FROM t GROUP BY 1)
+    SELECT sourceUrl, m[1] AS text, CAST(m[2] AS BIGINT) AS n_texts FROM f"""
+)
 def stream_upserts(spark, d):
     """R2: the merge by URL as a stream over the stack's files, read to the end; its last state of every URL."""
     import uuid
 
-    from quillstream.session import ensure_checkpoint_dir
+    from quillstream.session import cut, ensure_checkpoint_dir, remove
     from quillstream.streaming.feed import read_posts, run_once, upserts
 
     ensure_checkpoint_dir(spark)
@@ -577,5 +611,8 @@ def stream_upserts(spark, d):
     rows = stack(spark, d)
     alone = rows.inputFiles()[0].endswith("/stack.parquet")  # a single file is read by its folder
     stream = read_posts(spark, d, rows.schema, only="stack.parquet") if alone else read_posts(spark, f"{d}/stack.parquet", rows.schema)
-    run_once(upserts(stream), lambda b, _: b.write.mode("append").parquet(f"{at}/out"), f"{at}/state", "update")
-    return spark.read.parquet(f"{at}/out").groupBy("sourceUrl").agg(F.max_by("text", "n_texts").alias("text"), F.max("n_texts").alias("n_texts"))
+    try:
+        run_once(upserts(stream), lambda b, _: b.write.mode("append").parquet(f"{at}/out"), f"{at}/state", "update")
+        return cut(spark.read.parquet(f"{at}/out").groupBy("sourceUrl").agg(F.max_by("text", "n_texts").alias("text"), F.max("n_texts").alias("n_texts")))
+    finally:
+        remove(spark, at)

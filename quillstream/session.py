@@ -65,8 +65,13 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
             df.select("*").write.parquet(at)
         yield spark.read.schema(df.schema).parquet(at)
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, at)
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    """A folder and all in it gone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def plan_bytes(df: DataFrame) -> int:

@@ -46,13 +46,14 @@ def upserts(posts: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         text, seq, n = state.get if state.exists else ("", -1, 0)
-        for b in batches:
-            for s, t in zip(b["seq"], b["text"]):
-                t = t if isinstance(t, str) else ""
-                if not n:
-                    text, seq, n = t, int(s), 1
-                elif t not in text:
-                    text, seq, n = text + JOINT + t, int(s), n + 1
+        # arrival order within a micro-batch; what has been merged before stays
+        rows = pd.concat(list(batches)).sort_values("seq")
+        for s, t in zip(rows["seq"], rows["text"]):
+            t = t if isinstance(t, str) else ""
+            if not n:
+                text, seq, n = t, int(s), 1
+            elif t not in text:
+                text, seq, n = text + JOINT + t, int(s), n + 1
         state.update((text, seq, n))
         yield pd.DataFrame([(key[0], text, seq, n)], columns=["sourceUrl", "text", "seq", "n_texts"])
 
