@@ -149,6 +149,18 @@ def _vote(*votes: int) -> str:
     return "".join("-0+"[v + 1] for v in votes).ljust(LABELERS, "0")
 
 
+_CAPITALS = re.compile(r"[A-Z]{2,3}[ -]")
+
+
+def _pieces(m: re.Match) -> Iterator[tuple[int, str]]:
+    """A number, and where it starts; the end of a sentence parts two numbers."""
+    at = m.start()
+    for part in re.split(r"(\.\s+)", m[0]):
+        if sum(c.isdigit() for c in part) >= 7:
+            yield at, part
+        at += len(part)
+
+
 def spans(text: str) -> list[tuple[str, int, int, str]]:
     """Proposed spans (kind, start, end, votes) of a text in the consistent form."""
     out: list[tuple[str, int, int, str]] = []
@@ -163,10 +175,11 @@ def spans(text: str) -> list[tuple[str, int, int, str]]:
         out.append(("email", i, j, _vote(1 if sign == "@" else 0, 1 if spelled else 0, 1 if _EMAIL_LEFT.search(left) else 0, -1 if path else 0, 1 if re.search(r"[A-Za-z]{2,}$", s) else -1)))
         emails.append((i, j))
     if _FIVE_DIGITS.search(text):
-        for m in _NUMBER.finditer(text):
-            if in_url(m.start()):
+        for start, s in (x for m in _NUMBER.finditer(text) for x in _pieces(m)):
+            end = start + len(s)
+            if in_url(start):
                 continue
-            s, left, right = m[0], text[max(0, m.start() - 40) : m.start()], text[m.end() : m.end() + 20]
+            left, right = text[max(0, start - 40) : start], text[end : end + 20]
             if s[0] == "(" and ")" not in s:
                 s = s[1:]
             d = re.sub(r"\D", "", s)
@@ -174,7 +187,7 @@ def spans(text: str) -> list[tuple[str, int, int, str]]:
             idword = bool(_ID_WORD.search(left))
             if 13 <= len(d) <= 19 and not re.search(r"[()/+]|\.\d", s):
                 book = d[:3] in ("978", "979") and len(d) == 13
-                out.append(("card", m.start(), m.end(), _vote(1 if luhn(d) else -1, 1 if _PAY_LEFT.search(left) else 0, -1 if decoy or book else 0, 1 if d[0] in "345689" or d[:2] in ("22", "27") else -1, 1 if len(d) in (15, 16) else 0, -1 if idword else 0)))
+                out.append(("card", start, end, _vote(1 if luhn(d) else -1, 1 if _PAY_LEFT.search(left) else 0, -1 if decoy or book else 0, 1 if d[0] in "345689" or d[:2] in ("22", "27") else -1, 1 if len(d) in (15, 16) else 0, -1 if idword else 0)))
             if 8 <= len(d) <= 15:
                 dated = bool(re.fullmatch(r"(?:19|20)\d\d[.-]\d{1,2}[.-]\d{1,2}(?:[.-]\d+)?|\d{1,3}(?:\.\d{1,3}){3}|\d{1,3}(?:[ .]\d{3})+|(?:19|20)\d\d[- ]\d{4}|\d{1,3}\.\d{3,6}", s)) and not re.match(r"0\d{2} \d{3} \d{3}", s)
                 strict = bool(re.match(r"\+\d|\(0\)\d|\(\d{2,5}\)|00\d", s) or re.fullmatch(r"0\d{1,4}[/ .-].*", s) or re.fullmatch(r"0\d{8,11}", s) or re.fullmatch(r"1?[ .-]?\d{3}[ .-]?\d{3}[ .-]\d{4}", s) or re.fullmatch(r"1\d{10}", s))
@@ -182,12 +195,16 @@ def spans(text: str) -> list[tuple[str, int, int, str]]:
                 card = 13 <= len(d) and luhn(d) and s[0] != "+"
                 if idword or ident and not _PHONE_LEFT.search(left):
                     continue
-                out.append(("phone", m.start(), m.end(), _vote(1 if strict else 0, 1 if _PHONE_LEFT.search(left) else 0, -1 if decoy else 0, -1 if dated else 0, -1 if ident or card else 0, 1 if 9 <= len(d) <= 13 else -1)))
+                out.append(("phone", start, end, _vote(1 if strict else 0, 1 if _PHONE_LEFT.search(left) else 0, -1 if decoy else 0, -1 if dated else 0, -1 if ident or card else 0, 1 if 9 <= len(d) <= 13 else -1)))
         up = text.upper() if lower else text
         for m in _ID.finditer(up):
             if in_url(m.start()):
                 continue
-            s, left = m[0], text[max(0, m.start() - 40) : m.start()]
+            start, s = m.start(), m[0]
+            # a name of the number in capitals is no part of it
+            if (named := _CAPITALS.match(s)) and _ID_WORD.search(text[max(0, start - 40) : start] + named[0]):
+                start, s = start + named.end(), s[named.end() :]
+            left = text[max(0, start - 40) : start]
             if sum(c.isdigit() for c in s) < 5:
                 continue
             word = bool(_ID_WORD.search(left))
@@ -195,7 +212,7 @@ def spans(text: str) -> list[tuple[str, int, int, str]]:
             if not word and not shape:
                 continue
             strong = bool(re.fullmatch(r"[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|\d{3}-\d{2}-\d{4}|\d{8}-[A-Z]|[A-Z]\d{3}-\d{4}-\d{4}", s))
-            out.append(("id_number", m.start(), m.end(), _vote(1 if word else 0, 1 if shape else 0, -1 if _DECOY_LEFT.search(left) and not word else 0, 1 if strong else 0, -1 if _PHONE_LEFT.search(left) else 0, -1 if not word and not strong else 0)))
+            out.append(("id_number", start, m.end(), _vote(1 if word else 0, 1 if shape else 0, -1 if _DECOY_LEFT.search(left) and not word else 0, 1 if strong else 0, -1 if _PHONE_LEFT.search(left) else 0, -1 if not word and not strong else 0)))
     if _DIGIT.search(text):
         for m in (_ADDRESS_LOWER if lower else _ADDRESS).finditer(text):
             left, right = text[max(0, m.start() - 40) : m.start()], text[m.end() : m.end() + 30]
