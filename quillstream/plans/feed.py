@@ -126,16 +126,24 @@ def local_entities(spark, d):
     return stack(spark, d).where("text is not null").select("seq", F.explode(T.local_entities(F.col("text"), F.col("assignedTag"))).alias("entity"))
 
 
-@query()
+_STOPS = "[" + ", ".join(quoted(w) for w in sorted(STOP_WORDS)) + "]"
+
+
+def _topics(rows: str, column: str) -> str:
+    """CTEs that end in `topics` (seq, topic): the topic tag of every text of `rows`."""
+    return f"""parts AS (SELECT seq, unnest(ps) AS p, generate_subscripts(ps, 1) AS s FROM (SELECT seq, string_split_regex({column}, '[.!?]+') AS ps FROM {rows} WHERE {column} IS NOT NULL)),
+    listed AS (SELECT seq, s, list_filter(string_split_regex(regexp_replace(p, '[^A-Za-z0-9_\\s-]', '', 'g'), '\\s+'), lambda x: length(x) >= 3) AS ws FROM parts), each_word AS (SELECT seq, s, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM listed),
+    weighed AS (SELECT seq, lower(w) AS l, arg_min(w, s * 1000000 + i) AS w, min(s * 1000000 + i) AS seen, sum(1 + CASE WHEN NOT regexp_matches(w, '^[A-Z]') THEN 0 WHEN i = 1 THEN 1 ELSE 3 END) AS score FROM each_word WHERE NOT list_contains({_STOPS}, lower(w)) GROUP BY 1, 2),
+    topics AS (SELECT seq, trim(substr(upper(substr(w, 1, 1)) || lower(substr(w, 2)), 1, 20)) AS topic FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, seen) AS r FROM weighed) WHERE r = 1)"""
+
+
+@query(f"WITH {_topics('stack', 'text')} SELECT topic, count(*) AS n FROM topics WHERE topic <> '' GROUP BY 1")
 def noun_topics(spark, d):
-    """Posts by topic tag; tested against a plain Python version."""
+    """Posts by topic tag."""
     topic = T.clean_tag_name(T.noun_topic(F.col("text")))
     return stack(spark, d).select(topic.alias("topic")).where("topic is not null").groupBy("topic").agg(F.count("*").alias("n"))
 
 
-_STOPS = "[" + ", ".join(quoted(w) for w in sorted(STOP_WORDS)) + "]"
-
-
 @query(
     f"""WITH w AS (SELECT seq, list_filter(string_split_regex(lower(regexp_replace(text, '[^A-Za-z0-9_\\s-]', ' ', 'g')), '\\s+'), lambda x: x <> '') AS ws FROM stack WHERE text IS NOT NULL), h AS (SELECT ws, list_transform(ws, lambda x: length(x) >= 2 AND NOT list_contains({_STOPS}, x)) AS hs FROM w),
     p AS (SELECT list_concat(list_transform(list_filter(range(1, len(ws)), lambda i: hs[i] AND hs[i + 1]), lambda i: array_to_string(ws[i:i + 1], ' ')), list_transform(list_filter(range(1, len(ws) - 1), lambda i: hs[i] AND hs[i + 1] AND hs[i + 2]), lambda i: array_to_string(ws[i:i + 2], ' '))) AS ps FROM h)
@@ -197,14 +205,14 @@ DYNAMIC = [Tag("Harbour", None, 0, ("harbour", "ferry", "quay")), Tag("Kitchen",
 _MORE = _values("Harbour: harbour, ferry, quay\nKitchen: recipe, oven\nStorms: storm, forecast, wind")
 
 
-@query(
-    f"""{_SCORED}, kw2(pos, name, k, w) AS (VALUES {_MORE}), sc2 AS (SELECT seq, name, pos, sum(w) AS score FROM masked JOIN kw2 ON contains(lower(clean), k) GROUP BY ALL),
+_MERGED = f"""{_SCORED}, kw2(pos, name, k, w) AS (VALUES {_MORE}), sc2 AS (SELECT seq, name, pos, sum(w) AS score FROM masked JOIN kw2 ON contains(lower(clean), k) GROUP BY ALL),
     rk2 AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, pos) AS r, max(score) OVER (PARTITION BY seq) AS top FROM sc2),
     u AS (SELECT seq, name, round(score / top, 2) AS score, 0 AS l, r FROM rk WHERE r <= 3 UNION ALL SELECT seq, name, round(score / top, 2), 1, r FROM rk2 WHERE r <= 3),
     o AS (SELECT *, row_number() OVER (PARTITION BY seq, name ORDER BY score DESC, l, r) AS again FROM u),
-    p AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, l, r) AS place FROM o WHERE again = 1)
-    SELECT seq, CAST(place AS BIGINT) AS place, name, score FROM p WHERE place <= 3"""
-)
+    p AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, l, r) AS place FROM o WHERE again = 1)"""
+
+
+@query(_MERGED + " SELECT seq, CAST(place AS BIGINT) AS place, name, score FROM p WHERE place <= 3")
 def merged_tags(spark, d):
     """The ranked lists of tags and dynamic tags as one."""
     rows = clean(spark, d).select("seq", F.posexplode(C.merged_tags(F.col("text"), TAGS, DYNAMIC)).alias("k", "x"))
@@ -227,13 +235,23 @@ def match_gate(spark, d):
     return stack(spark, d).where(C.matches(F.col("text"), PROMPT)).select("seq")
 
 
-@query()
+_LABELLED = "(VALUES " + ", ".join(f"({quoted(t.label)})" for t in [*TAGS, *DYNAMIC]) + ")"
+
+
+@query(
+    _MERGED + f""", {_topics('masked', 'clean')}, b AS (SELECT seq, name FROM p WHERE place = 1), lb AS (SELECT DISTINCT ON (lower(l)) l FROM {_LABELLED} x(l))
+    SELECT CASE WHEN b.name IS NOT NULL THEN 'keywords' WHEN topic <> '' THEN 'topic' ELSE 'none' END AS tier, coalesce(b.name, l, nullif(topic, ''), 'Unclassified') AS category, count(*) AS n
+    FROM stack LEFT JOIN b ON b.seq = stack.seq LEFT JOIN topics t ON t.seq = stack.seq LEFT JOIN lb ON lower(l) = lower(topic) GROUP BY 1, 2"""
+)
 def classified_posts(spark, d):
     """The cascade of keywords, topic and none, by tier."""
     return C.classify(clean(spark, d).select("seq", "text"), TAGS, dynamic=DYNAMIC).groupBy("tier", "category").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"""{_SCORED}, {_topics('masked', 'clean')}, f AS (SELECT lower(topic) AS k, min(seq) AS seq, arg_min(topic, seq) AS label FROM topics WHERE topic <> '' AND seq NOT IN (SELECT seq FROM rk) AND lower(topic) NOT IN (SELECT lower(l) FROM {_LABELLED} x(l)) GROUP BY 1)
+    SELECT label, seq FROM f ORDER BY seq LIMIT 10"""
+)
 def dynamic_tags(spark, d):
     """Topics of unclassified posts that become tags."""
     rows = C.classify(clean(spark, d).select("seq", "text"), TAGS).where("tier = 'topic'")
