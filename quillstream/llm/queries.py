@@ -113,8 +113,15 @@ _GRAMS = r"""SELECT {key}, unnest(list_distinct(list_transform(range(1, len(w) -
 _LEAKED = f"WITH d AS ({_GRAMS.format(key='doc_id', table='documents')}), i AS ({_GRAMS.format(key='item_id', table='eval_items')})"
 
 
+_ITEMS = r"""WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL), iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w, regexp_extract_all(lower(coalesce(answer, '')), '[\p{L}\p{N}]+') AS a FROM eval_items WHERE text IS NOT NULL),
+    d AS (SELECT doc_id, unnest(range(1, len(w) - 10)) AS k, w FROM dw WHERE len(w) >= 12), dg AS (SELECT doc_id, k, array_to_string(w[k:k + 11], ' ') AS g FROM d), i AS (SELECT item_id, unnest(range(1, len(w) - 10)) AS k, w FROM iw WHERE len(w) >= 12), ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM i),
+    m AS (SELECT DISTINCT doc_id, item_id, k FROM dg JOIN ig USING (g)), s AS (SELECT doc_id, item_id, k - row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k) AS isle FROM m), r AS (SELECT doc_id, item_id, isle, count(*) + 11 AS run FROM s GROUP BY ALL), l AS (SELECT doc_id, item_id, max(run) AS run FROM r GROUP BY ALL)
+    SELECT l.item_id, count(*) AS n_docs, CAST(max(run) AS INT) AS longest_run, count(*) FILTER (len(a) > 0 AND contains(' ' || array_to_string(dw.w, ' ') || ' ', ' ' || array_to_string(a, ' ') || ' ')) AS n_with_answer FROM l JOIN dw USING (doc_id) JOIN iw USING (item_id) GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL twins, where SQL can express the operator."""
     return {
         "p8_found": f"{_LEAKED} SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)",
+        "p8_items": _ITEMS,
     }
