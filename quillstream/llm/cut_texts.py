@@ -45,7 +45,7 @@ def _boundaries(text: str) -> Iterator[re.Match]:
     """Ends of sentences and lines; a dot after an initial or an abbreviation is none."""
     for m in _END.finditer(text):
         i = m.start()
-        if m[0][0] != "." or text[max(0, i - 5) : i].isalpha() and i >= 5 or not _ABBREVIATION.search(text, max(0, i - 5), i):
+        if text[i] != "." or i >= 5 and text[i - 5 : i].isalpha() or not _ABBREVIATION.search(text, max(0, i - 5), i):
             yield m
 
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -124,14 +125,14 @@ def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         ids = {s: words(s) for s in known}
         tags = {tag: _tag(tag) for _, tag in uses}
         n, m = len(at), len(uses)
-        own = [ids[s] for s, _ in uses]
+        own = [ids[s] for s, _ in uses]  # in the order of the rows
         yield pa.RecordBatch.from_arrays(
             [
                 pa.concat_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.nulls(m, b.column(0).type)]),
                 pa.concat_arrays([_lists(np.array(sents, np.int64), lengths, pa.int64()), pa.nulls(m, pa.list_(pa.int64()))]),
                 pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array([known[s] for s, _ in uses], pa.int64())]),
                 pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array([tags[tag] for _, tag in uses], pa.int64())]),
-                pa.concat_arrays([pa.nulls(n, pa.list_(pa.int32())), _lists([w for x in own for w in x], [len(x) for x in own], pa.int32())]),
+                pa.concat_arrays([pa.nulls(n, pa.list_(pa.int32())), _lists(np.fromiter(chain.from_iterable(own), np.int32), [len(x) for x in own], pa.int32())]),
                 pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(uses.values(), pa.int64())]),
             ],
             names=["key", "sents", "hash", "tag", "words", "uses"],
@@ -159,13 +160,18 @@ def _once_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         tags = x.column(2).flatten()
         return pa.RecordBatch.from_arrays([x.column(0).take(pa.array([0] * len(tags))), tags, x.column(1).take(pa.array([0] * len(tags))), pa.array([x.column(3)[0].as_py()] + [0] * (len(tags) - 1), pa.int64())], names=["hash", "tag", "words", "uses"])
 
+    counts = _WordSums()
+
     def out(m: pa.RecordBatch) -> pa.RecordBatch:
-        a, uses, n, kind = _word_counts(m.column(1), m.column(3).to_numpy())
-        rows, more = m.num_rows, len(a)
-        none = lambda c: pa.concat_arrays([c, pa.nulls(more, c.type)])
-        late = lambda x, t: pa.concat_arrays([pa.nulls(rows, t), pa.array(x, t)])
-        cols = [none(m.column(0)), none(m.column(1)), none(m.column(2)), pa.concat_arrays([m.column(3), pa.array(uses)]), late(kind, pa.int8()), late(a, pa.int64()), late(n, pa.int64())]
-        return pa.RecordBatch.from_arrays(cols, names=["hash", "words", "tags", "uses", "kind", "a", "sentences"])
+        """The sentences of a batch; the counts of their words stay here until there are many."""
+        counts.add(m.column(1), m.column(3).to_numpy())
+        none = [pa.nulls(m.num_rows, t) for t in (pa.int8(), pa.int64(), pa.int64())]
+        return pa.RecordBatch.from_arrays([*m.columns, *none], names=["hash", "words", "tags", "uses", "kind", "a", "sentences"])
+
+    def counted(like: pa.RecordBatch) -> pa.RecordBatch:
+        kind, a, uses, n = counts.all()
+        none = [pa.nulls(len(a), like.column(k).type) for k in range(3)]
+        return pa.RecordBatch.from_arrays([*none, pa.array(uses), pa.array(kind), pa.array(a), pa.array(n)], names=["hash", "words", "tags", "uses", "kind", "a", "sentences"])
 
     held: pa.RecordBatch | None = None
     for b in batches:
@@ -177,8 +183,37 @@ def _once_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         held = m.slice(m.num_rows - 1)
         if m.num_rows > 1:
             yield out(m.slice(0, m.num_rows - 1))
+            if counts.held > counts.MOST:
+                yield counted(m)
     if held is not None:
         yield out(held)
+        yield counted(held)
+
+
+class _WordSums:
+    """Counts of words and of pairs of neighbours, added up over batches."""
+
+    MOST = 1_500_000
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def add(self, lists: pa.ListArray, n: np.ndarray) -> None:
+        self.parts.append(_word_counts(lists, n))
+        self.held += len(self.parts[-1][0])
+        if self.held > self.MOST:  # what is left after adding up may stay if it is less than half of that
+            self.parts = [self.all()]
+            self.held = 2 * len(self.parts[0][0])
+
+    def all(self) -> tuple[np.ndarray, ...]:
+        """(kind, code, uses, sentences); it starts anew."""
+        kind, code, uses, n = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.empty(0, np.int8), *(np.empty(0, np.int64) for _ in range(3)))
+        order = np.lexsort((code, kind))
+        kind, code, uses, n = kind[order], code[order], uses[order], n[order]
+        start = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (kind[1:] != kind[:-1])]) if len(code) else np.empty(0, np.int64)
+        self.parts, self.held = [], 0
+        return (kind[start], code[start], np.add.reduceat(uses, start), np.add.reduceat(n, start)) if len(start) else (kind, code, uses, n)
 
 
 class _Sums:
@@ -246,15 +281,15 @@ def _neighbours(flat: np.ndarray, sent: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _word_counts(lists: pa.ListArray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of different sentences and their uses: words and pairs of neighbours, uses and number of the sentences that hold
-    each, and the kind, 0 for words and 1 for pairs."""
+    """Of different sentences and their uses: kind (0 words, 1 pairs of neighbours), code, uses and number of the
+    sentences that hold each."""
     flat, sent, _ = _flat(lists)
     vocab, w = np.unique(flat, return_inverse=True)
     key = np.unique(sent * max(len(vocab), 1) + w)
     ws, ss = key % max(len(vocab), 1), key // max(len(vocab), 1)
     pair, of = _neighbours(flat, sent)
     u, inv = np.unique(pair, return_inverse=True)
-    return np.r_[vocab, u], np.r_[np.bincount(ws, n[ss], len(vocab)), np.bincount(inv, n[of], len(u))].astype(np.int64), np.r_[np.bincount(ws, minlength=len(vocab)), np.bincount(inv, minlength=len(u))], np.r_[np.zeros(len(vocab), np.int8), np.ones(len(u), np.int8)]
+    return np.r_[np.zeros(len(vocab), np.int8), np.ones(len(u), np.int8)], np.r_[vocab, u], np.r_[np.bincount(ws, n[ss], len(vocab)), np.bincount(inv, n[of], len(u))].astype(np.int64), np.r_[np.bincount(ws, minlength=len(vocab)), np.bincount(inv, minlength=len(u))]
 
 
 def _pair_batches(nodes: np.ndarray, linked: np.ndarray):
