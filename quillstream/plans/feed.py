@@ -577,6 +577,33 @@ def diary_search(spark, d):
     return stores.search_cards(stack(spark, d), "Kitchen", " Oven ").select("seq")
 
 
+_PLAIN_ROWS = "text SIMILAR TO '[!-~]+( [!-~]+)*' AND length(text) BETWEEN 20 AND 1800 AND authorName SIMILAR TO '[!-~]+( [!-~]+)*' AND NOT regexp_matches(text, 'Follow|Like|Comment|Share')"
+
+
+@query(
+    f"""SELECT seq AS page_id, ['x.com', 'linkedin.com', 'facebook.com', 'youtube.com'][seq % 4 + 1] AS sourcePlatform, CASE seq % 4 WHEN 0 THEN 'Tweet by: ' || authorName || chr(10) || chr(10) || text WHEN 3 THEN 'Comment by ' || authorName || ':' || chr(10) || text ELSE 'Post by: ' || authorName || chr(10) || chr(10) || text END AS text,
+    CASE seq % 4 WHEN 0 THEN 'https://x.com/u' || seq || '/status/' || seq WHEN 1 THEN 'https://linkedin.com/posts/' || seq WHEN 2 THEN 'https://facebook.com/u' || seq || '/posts/' || seq ELSE 'https://youtube.com/watch?v=' || seq END AS sourceUrl, CASE seq % 4 WHEN 3 THEN '' ELSE authorName END AS authorName, seq % 4 = 2 AND coalesce(isAd, false) AS isAd
+    FROM stack WHERE {_PLAIN_ROWS}"""
+)
+def platform_pages(spark, d):
+    """Posts of plain characters read back out of pages as four platforms build them."""
+    plain = "^[!-~]+( [!-~]+)*$"
+    rows = stack(spark, d).where(F.col("text").rlike(plain) & F.length("text").between(20, 1800) & F.col("authorName").rlike(plain) & ~F.col("text").rlike("Follow|Like|Comment|Share"))
+    text, name, k = T.escape_html(F.col("text")), T.escape_html(F.col("authorName")), F.col("seq").cast("string")
+    c = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    badge = F.when(F.coalesce("isAd", F.lit(False)), F.lit("<span>Sponsored</span>")).otherwise(F.lit(""))
+    made = [
+        ("x.com/home", c('<article data-testid="tweet"><div data-testid="User-Name"><div><a href="/u', k, '">', name, '</a></div><span>·</span><a href="/u', k, "/status/", k, '">1h</a></div><div data-testid="tweetText">', text, "</div></article>")),
+        ("linkedin.com/feed", c('<div class="feed-shared-update-v2"><a class="update-components-actor__meta-link" href="/in/u', k, '"><span class="update-components-actor__title">', name, '</span></a><div class="update-components-text">', text, '</div><a href="/posts/', k, '">open</a></div>')),
+        ("facebook.com/", c('<div role="article"><h3><strong>', name, '</strong></h3>', badge, '<div dir="auto">', text, '</div><div role="button">Like</div><a href="/u', k, "/posts/", k, '">1 h</a></div>')),
+        ("youtube.com/watch?v=", c('<ytd-comment-thread-renderer><span id="author-text">', name, '</span><div id="content-text">', text, "</div></ytd-comment-thread-renderer>")),
+    ]
+    n = F.col("seq") % 4
+    pick = lambda j: F.when(n == 0, made[0][j] if j else F.lit(made[0][0])).when(n == 1, made[1][j] if j else F.lit(made[1][0])).when(n == 2, made[2][j] if j else F.lit(made[2][0])).otherwise(made[3][j] if j else c(made[3][0], k))
+    shown = rows.select(F.col("seq").alias("page_id"), F.concat(F.lit("https://"), pick(0)).alias("url"), c("<html><body><nav>menu</nav>", pick(1), "</body></html>").alias("html"))
+    return pages.posts_of_pages(shown).drop("authorUrl")
+
+
 @query()
 def html_roundtrip(spark, d):
     """Posts read back out of pages made of the diary's fragments."""
