@@ -248,8 +248,8 @@ def candidates(people: DataFrame) -> DataFrame:
     # words within the distance asked for below differ in length by no more than that
     fits = F.abs(F.length("x.word") - F.length("y.word")) <= 0.4 * F.greatest(F.length("x.word"), F.length("y.word"))
     alike = banded.alias("x").join(banded.alias("y").hint("merge"), (F.col("x.band") == F.col("y.band")) & (F.col("x.word") <= F.col("y.word")) & fits).select(F.col("x.word").alias("w"), F.col("y.word").alias("v")).distinct()
-    alike = alike.where((1 - F.levenshtein("w", "v") / F.greatest(F.length("w"), F.length("v"))) >= 0.6)
-    alike = cut(alike.unionByName(alike.where("w < v").select(F.col("v").alias("w"), F.col("w").alias("v"))))
+    alike = cut(alike.where((1 - F.levenshtein("w", "v") / F.greatest(F.length("w"), F.length("v"))) >= 0.6))
+    alike = alike.unionByName(alike.where("w < v").select(F.col("v").alias("w"), F.col("w").alias("v")))
     asking = keys.where("not has and ask is not null").select(F.col("ref").alias("a"), F.col("word").alias("w"), F.col("ask").alias("key"))
     giving = keys.select(F.col("ref").alias("b"), F.col("word").alias("v"), F.col("give").alias("key")).distinct()
     by_words = asking.join(alike.hint("merge"), "w").join(giving.hint("merge"), ["v", "key"]).select("a", "b")
