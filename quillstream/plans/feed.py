@@ -612,13 +612,13 @@ def html_roundtrip(spark, d):
     return pages.posts_of_pages(made)
 
 
-@query("""WITH up AS (SELECT id, CASE WHEN pos % 4 = 0 THEN NULL ELSE domain || '.new' END AS domain, NOT isEnabled AS isEnabled FROM sites WHERE pos % 2 = 0 UNION ALL SELECT id || '_b', 'added.' || domain, NULL FROM sites WHERE pos % 3 = 0)
+@query("""WITH up AS (SELECT id, CASE WHEN pos % 4 = 0 THEN NULL ELSE domain || '.new' END AS domain, CASE WHEN pos % 4 = 2 THEN NOT isEnabled END AS isEnabled FROM sites WHERE pos % 2 = 0 UNION ALL SELECT id || '_b', 'added.' || domain, false FROM sites WHERE pos % 3 = 0)
     SELECT coalesce(s.id, up.id) AS id, coalesce(up.domain, s.domain) AS domain, coalesce(up.isEnabled, s.isEnabled) AS isEnabled FROM sites s FULL JOIN up ON s.id = up.id""")
 def state_merged(spark, d):
     """The stored sites merged with an update that changes rows, leaves columns null and adds rows."""
     s = read_table(spark, d, "sites").select("id", "domain", "isEnabled", "pos")
-    changed = s.where("pos % 2 = 0").select("id", F.when(F.col("pos") % 4 != 0, F.concat("domain", F.lit(".new"))).alias("domain"), (~F.col("isEnabled")).alias("isEnabled"))
-    added = s.where("pos % 3 = 0").select(F.concat("id", F.lit("_b")).alias("id"), F.concat(F.lit("added."), "domain").alias("domain"), F.lit(None).cast("boolean").alias("isEnabled"))
+    changed = s.where("pos % 2 = 0").select("id", F.when(F.col("pos") % 4 != 0, F.concat("domain", F.lit(".new"))).alias("domain"), F.when(F.col("pos") % 4 == 2, ~F.col("isEnabled")).alias("isEnabled"))
+    added = s.where("pos % 3 = 0").select(F.concat("id", F.lit("_b")).alias("id"), F.concat(F.lit("added."), "domain").alias("domain"), F.lit(False).alias("isEnabled"))
     return stores.merge_state(s.drop("pos"), changed.unionByName(added), "id")
 
 
