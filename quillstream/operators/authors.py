@@ -2,42 +2,100 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.functions.text import author_match, handle
-from quillstream.session import cut
+from quillstream.functions.text import handle
+from quillstream.session import cut, kept
+
+
+def _segments(size: int, parts: int) -> list[tuple[int, int]]:
+    """(start, end) of so many even segments of a text."""
+    return [(size * i // parts, size * (i + 1) // parts) for i in range(parts)]
+
+
+def _edits(size: int) -> int:
+    """The largest edit distance that two names may have of which the longer has so many letters."""
+    return (size - 1) // 5
+
+
+def _letters(name: str) -> int:
+    """Bits of the letters that stand in a name, and of those that stand there twice; an edit changes two at most."""
+    once = twice = 0
+    for c in name:
+        bit = 1 << ord(c) % 31
+        twice |= once & bit
+        once |= bit
+    return once | twice << 31
+
+
+def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names to keys (bare, letters, key, longer): the segments of each as the longer of two, and the runs that may equal
+    one of them in each as the shorter.
+
+    Of a name cut into one segment more than there are edits, one segment i is whole and has i edits at most before
+    it, so its place in the other name moves by i at most, and counted from the end by the other edits at most.
+    """
+    for b in batches:
+        at, key, longer = [], [], []
+        for k, name in enumerate(b.column(0).to_pylist()):
+            own, size, keys = len(name), len(name), set()
+            while size - own <= _edits(size):
+                edits, gap = _edits(size), size - own
+                for i, (start, end) in enumerate(_segments(size, edits + 1) if edits else ()):
+                    if not gap:
+                        at.append(k)
+                        key.append(f"{size} {i} {name[start:end]}")
+                        longer.append(True)
+                    first, last = max(0, start - i, start - gap - edits + i), min(own - end + start, start + i, start - gap + edits - i)
+                    keys.update(f"{size} {i} {name[p : p + end - start]}" for p in range(first, last + 1))
+                size += 1
+            at += [k] * len(keys)
+            key += keys
+            longer += [False] * len(keys)
+        i = pa.array(at, pa.int64())
+        letters = pa.array([_letters(n) for n in b.column(0).to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(i), letters.take(i), pa.array(key, pa.string()), pa.array(longer, pa.bool_())], names=["bare", "letters", "key", "longer"])
+
+
+def _close(bares: DataFrame) -> DataFrame:
+    """Pairs (x, y) of different names `bare` whose edit distance is below a fifth of the longer's length."""
+    parts = bares.sparkSession.sparkContext.defaultParallelism
+    with kept(bares.repartition(parts, "bare").mapInArrow(_segment_batches, "bare string, letters long, key string, longer boolean")) as keys:
+        side = lambda s, which: keys.where(which).select(F.col("bare").alias(s), F.col("letters").alias(f"letters_{s}"), F.length("bare").alias(f"size_{s}"), "key").repartition(4 * parts, "key")
+        met = side("x", "not longer").join(side("y", "longer").withColumn("edits", F.expr("(size_y - 1) div 5")).hint("merge"), "key")
+        fits = F.bit_count(F.col("letters_x").bitwiseXOR(F.col("letters_y"))) <= 2 * F.col("edits")
+        near = F.levenshtein("x", "y") <= F.col("edits")
+        for k in (4, 3, 2, 1):  # -1 beyond k, found in less time; each distance is named once, or Spark works it out ahead of the other conditions
+            near = F.when(F.col("edits") == k, F.levenshtein("x", "y", k) >= 0).otherwise(near)
+        return cut(met.where(fits).where("size_x < size_y or x < y").where(near).select("x", "y").distinct())
 
 
 def _matches(authors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(ids, hits): the id (least key of equal name and URL) of every author with a name, and the pairs (a, b), a < b, of ids that match.
 
-    Candidates come rule by rule, none is lost. Equal bare names and equal handles meet by equality. Of two names of which one
-    holds the other, the rarest run of three letters of the shorter stands in the longer. Names within an edit
-    distance d share one of their 3d + 1 rarest runs, at most d places apart.
+    Pairs come rule by rule, none is lost. Equal bare names and equal handles meet by equality. Of two names of which one
+    holds the other, the rarest run of four letters of the shorter stands in the longer. Names within an edit
+    distance share a segment (`_segment_batches`). These two meet as different bare names and are compared where they meet.
     """
     rows = authors.where(F.trim("authorName") != "").select(F.col(key).alias("ref"), F.lower(F.trim("authorName")).alias("name"), F.coalesce("authorUrl", F.lit("")).alias("url"))
     each = rows.groupBy("name", "url").agg(F.min("ref").alias("id"))
     bare = F.regexp_replace("name", "[@_\\s0-9-]", "")
-    named = cut(each.select("id", "name", "url", bare.alias("bare"), F.coalesce(handle(F.col("url")), F.lit("")).alias("handle")))
+    named = cut(each.select("id", "name", bare.alias("bare"), F.coalesce(handle(F.col("url")), F.lit("")).alias("handle")))
     ordered = lambda x, y: x.join(y, "k").where("a < b").select("a", "b")
     same = lambda c: ordered(c.toDF("a", "k"), c.toDF("b", "k"))
     equal = same(named.select("id", "bare").where("length(bare) > 2")).unionByName(same(named.select("id", "name"))).unionByName(same(named.select("id", "handle").where("handle <> ''")))
-    # runs of three letters with their places, rarest first
-    size = F.length("bare")
-    runs = named.where(size > 2).select("id", "bare", size.alias("size"), F.posexplode(F.transform(F.sequence(F.lit(1), size - 2), lambda i: F.col("bare").substr(i, F.lit(3)))).alias("at", "k"))
-    counts = runs.groupBy("k").agg(F.count("*").alias("n"))
-    ranked = cut(runs.join(counts, "k").withColumn("place", F.rank().over(Window.partitionBy("id").orderBy("n", "k"))))
-    side = lambda s: ranked.select("k", *[F.col(c).alias(d) for c, d in (("id", s), ("bare", f"bare_{s}"), ("size", f"size_{s}"), ("at", f"at_{s}"), ("place", f"place_{s}"))])
-    within = side("a").where("place_a = 1 and size_a > 3").join(side("b"), "k").where("a <> b and size_a <= size_b and contains(bare_b, bare_a)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edits = lambda s: F.ceil(F.col(f"size_{s}") / 4) - 1
-    first = lambda s: side(s).where(F.col(f"place_{s}") <= 3 * edits(s) + 1)
-    reach = F.greatest(edits("a"), edits("b"))
-    close = first("a").join(first("b"), "k").where(F.col("a") < F.col("b")).where((F.abs(F.col("size_a") - F.col("size_b")) <= reach) & (F.abs(F.col("at_a") - F.col("at_b")) <= reach)).select("a", "b")
-    near = equal.unionByName(within).unionByName(close).distinct()
-    whole = lambda s: named.select(F.col("id").alias(s), F.col("name").alias(f"name_{s}"), F.col("url").alias(f"url_{s}"))
-    hits = near.join(whole("a"), "a").join(whole("b"), "b").where(author_match(F.col("name_a"), F.col("name_b"), F.col("url_a"), F.col("url_b"))).select("a", "b")
-    return rows.join(each, ["name", "url"]).select("ref", "id"), hits
+    bares = cut(named.select("bare").where("length(bare) > 3").distinct())
+    runs = cut(bares.select("bare", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("bare") - 3), lambda i: F.col("bare").substr(i, F.lit(4))))).alias("k")))
+    rarest = runs.join(runs.groupBy("k").agg(F.count("*").alias("n")), "k").groupBy("bare").agg(F.min(F.struct("n", "k")).alias("r"))
+    within = rarest.select(F.col("bare").alias("x"), F.col("r.k").alias("k")).join(runs.select(F.col("bare").alias("y"), "k"), "k").where("x <> y and contains(y, x)").select("x", "y")
+    names = within.unionByName(_close(bares)).distinct()
+    of = lambda s, c: named.select(F.col("id").alias(s), F.col("bare").alias(c))
+    other = names.join(of("p", "x"), "x").join(of("q", "y"), "y").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    return rows.join(each, ["name", "url"]).select("ref", "id"), equal.unionByName(other).distinct()
 
 
 def author_pairs(authors: DataFrame, key: str = "authorRef") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as T
@@ -47,6 +48,38 @@ def test_author_pairs_against_all_pairs(spark):
     assert {tuple(r) for r in A.author_pairs(df).collect()} == want and want
 
 
+def test_names_of_many_authors_meet_seldom():
+    """Namesakes of one given name meet by segments, all close names do, and no others than those that share one."""
+    rnd = random.Random(7)
+    names = sorted({"".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(rnd.randrange(3, 9))) for _ in range(400)})
+    for n in list(names[:150]):
+        m = list(n)
+        for _ in range(rnd.randrange(1, 4)):
+            at = rnd.randrange(len(m))
+            m[at : at + 1] = rnd.choice(["", rnd.choice("abdik"), m[at] + rnd.choice("abdik")])
+        names.append("".join(m))
+    names = sorted({n for n in names if len(n) > 3})
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for j, d in enumerate(b):
+                last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (c != d))
+        return row[-1]
+
+    batch = pa.RecordBatch.from_arrays([pa.array(names)], names=["bare"])
+    give, ask, letters = {}, {}, {}
+    for r in next(A._segment_batches(iter([batch]))).to_pylist():
+        (give if r["longer"] else ask).setdefault(r["key"], set()).add(r["bare"])
+        letters[r["bare"]] = r["letters"]
+    met = {(x, y) for k, ys in give.items() for y in ys for x in ask.get(k, ())}
+    close = {(x, y) for i, x in enumerate(names) for y in names[i + 1 :] if 5 * distance(x, y) < max(len(x), len(y))}
+    close = {(x, y) if (len(x), x) < (len(y), y) else (y, x) for x, y in close}
+    assert close and close <= met and len(met) < 0.05 * len(names) ** 2
+    assert all((letters[x] ^ letters[y]).bit_count() <= 2 * A._edits(len(y)) for x, y in close)
+
+
 def test_ranges_of_ranges(spark):
     seqs = [0, 1, 4095, 4096, 4097, 4096 * 4096 - 1, 4096 * 4096, 4096 * 4096 * 3 + 5]
     df = spark.createDataFrame([(s, 86_400_000 * (s % 2)) for s in seqs], "seq long, timestamp long")
