@@ -9,7 +9,8 @@ Method: MinHash banding over padded q-grams, verified by Monge-Elkan similarity,
    alike. The collision curve 1-(1-s^ROWS)^BANDS was set for words of nine letters: one letter changed (s = 0.57) is
    met with probability 0.999, two swapped (s = 0.47) with 0.99. Two names meet if a word of one is like a
    word of the other and another word of each begins alike (two letters, or one where one of them is an initial), so
-   that no word, however common, is no key, and no hot word brings all its names together. Handles and
+   that no word, however common, is no key, and no hot word brings all its names together. Words are banded under each
+   beginning of the other word, and where names meet, their letters tell which pairs cannot pass (3). Handles and
    acronyms must be equal to count, so they meet by equality. Two records with different accounts are never compared.
 3. A candidate is verified by the handle (a person keeps the core of theirs everywhere; two cores are two persons)
    and by the mean of Monge-Elkan similarities in both directions, over Jaro-Winkler with initials.
@@ -209,10 +210,38 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cores), pa.array([w for w, _ in parsed], pa.list_(pa.string())), pa.array([o for _, o in parsed])], names=["ref", "core", "words", "own"])
 
 
+def _letters(word: str) -> int:
+    """Bits of the letters that stand in a word, and of those that stand there twice."""
+    once = twice = 0
+    for c in word:
+        bit = 1 << ord(c) % 31
+        twice |= once & bit
+        once |= bit
+    return once | twice << 31
+
+
+def _start(word: str) -> int:
+    """The first four letters in 32 bits; letters that are equal have equal bits."""
+    return int.from_bytes(bytes(ord(c) % 256 for c in word[:4]).ljust(4, b"\0"), "big")
+
+
 def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, asks, gives) to rows (word, letters, key, code, asks): one for each band of the word and each key."""
     for b in batches:
-        rows = [(i, k) for i, w in enumerate(b.column(0).to_pylist()) for k in bands_of(w)]
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _ in rows], pa.int64())), pa.array([k for _, k in rows], pa.int64())], names=["word", "band"])
+        at, key, code, side = [], [], [], []
+        for i, (w, *both) in enumerate(zip(*(c.to_pylist() for c in b.columns))):
+            bands = np.array(bands_of(w), np.int64).view(np.uint64)
+            for asks, keys in zip((True, False), both):
+                if keys:
+                    marks = np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64)
+                    code.append((bands[None, :] ^ marks[:, None]).ravel())
+                    at += [i] * code[-1].size
+                    key += [k for k in keys for _ in bands]
+                    side += [asks] * code[-1].size
+        i = pa.array(at, pa.int64())
+        codes = np.concatenate(code).view(np.int64) if code else np.empty(0, np.int64)
+        letters = pa.array([_letters(w) for w in b.column(0).to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(i), letters.take(i), pa.array(key, pa.string()), pa.array(codes), pa.array(side, pa.bool_())], names=["word", "letters", "key", "code", "asks"])
 
 
 def _verify_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,10 +252,20 @@ def _verify_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ref, core, words) to keys (ref, has, word, ask, give): a name that asks meets the names that give the same."""
+    """(ref, core, words, held) to keys (ref, has, word, ask, give, sort, and of this and the other word the letters, start
+    and length): a name that asks meets the names that give the same. Of sort 1 are names of two full words, none of an
+    organisation; of sort 2 those of organisations with one word of their own, which then stands for the other word.
+
+    A name whose only full word is a given name can't be told by words (`verify`), so it has no keys.
+    """
     for b in batches:
-        at, word, ask, give = [], [], [], []
-        for k, words in enumerate(b.column(2).to_pylist()):
+        at, word, ask, give, sort, marks = [], [], [], [], [], []
+        for k, (words, held) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+            if not _full(words) and all(w in GIVEN for w in words if len(w) > 1):
+                continue
+            own = [w for w in words if len(w) > 1 and w not in held and w not in GIVEN and w not in _ORG]
+            of = 2 if set(words) & _ORG and len(own) == 1 else int(len(words) == 2 and _full(words) and not set(words) & _ORG)
+            mark = {w: (_letters(w), _start(w), len(w)) for w in words}
             for w, u in dict.fromkeys((w, u) for i, w in enumerate(words) if len(w) > 1 for j, u in enumerate(words) if i != j):
                 # full words by two letters; an initial by its letter, with full words and with initials
                 for x, y in ((f"f{u[:2]}", f"f{u[:2]}"), (f"j{u[0]}", f"i{u[0]}")) if len(u) > 1 else ((f"i{u}", f"j{u}"), (None, f"i{u}")):
@@ -234,25 +273,71 @@ def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     word.append(w)
                     ask.append(x)
                     give.append(y)
+                    sort.append(of)
+                    marks.append(mark[w] + mark[own[0] if of == 2 else u])
         i = pa.array(at, pa.int64())
         has = pa.array([c != "" for c in b.column(1).to_pylist()], pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column(0).take(i), has.take(i), pa.array(word, pa.string()), pa.array(ask, pa.string()), pa.array(give, pa.string())], names=["ref", "has", "word", "ask", "give"])
+        sides = np.array(marks, np.int64).reshape(-1, 6)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(i), has.take(i), *(pa.array(c, pa.string()) for c in (word, ask, give)), pa.array(sort, pa.int8()), *(pa.array(c) for c in sides.T)], names=["ref", "has", "word", "ask", "give", "sort", *_MARKS])
+
+
+_MARKS = [f"{what}_{of}" for of in ("word", "other") for what in ("letters", "start", "size")]
+
+
+def _common(x: str, y: str, size_x, size_y):
+    """At least the number of letters that two words have in common, from their `letters`."""
+    count = lambda c: F.bit_count(F.col(c))
+    return F.bit_count(F.col(x).bitwiseAND(F.col(y))) + F.least(size_x - count(x), size_y - count(y))
+
+
+def _may_be(x: str, y: str, least: dict):
+    """Words may have a Jaro-Winkler similarity of so much or more (by sort), from their letters, starts and lengths."""
+    size_x, size_y = F.col(f"size_{x}"), F.col(f"size_{y}")
+    apart = F.col(f"start_{x}").bitwiseXOR(F.col(f"start_{y}"))
+
+    def jaro(sure: float):
+        """What three times the Jaro similarity less 1 must be, by the letters that both begin with."""
+        need = [3 * (sure - 0.1 * n) / (1 - 0.1 * n) - 1 - 1e-6 for n in range(5)]
+        return F.when(apart >= 1 << 24, need[0]).when(apart >= 1 << 16, need[1]).when(apart >= 1 << 8, need[2]).when(apart > 0, need[3]).otherwise(need[4])
+
+    (_, one), *more = least.items()
+    need = jaro(one)
+    for sort, other in more:
+        need = F.when(F.col("sort") == sort, jaro(other)).otherwise(need)
+    return _common(f"letters_{x}", f"letters_{y}", size_x, size_y) * (size_x + size_y) >= need * size_x * size_y
+
+
+def _may_link():
+    """No pair (columns of the second end in 2) that `verify` lets pass by words is lost.
+
+    Two full names need a mean of `SURE` over their words' best similarities. As one of two words is 1 at best, the other's
+    is `2 * SURE - 1` in one of the names, with the other's other word or crosswise. Organisations are alike in their own
+    words. The conditions are kept short: a join with long ones is not compiled.
+    """
+    other = 2 * SURE - 1
+    cross = _may_be("other", "word2", {1: other}) | _may_be("word", "other2", {1: other})
+    return (F.col("sort") != F.col("sort2")) | (F.col("sort") == 0) | _may_be("other", "other2", {1: other, 2: 0.9}) | (F.col("sort") == 1) & cross
 
 
 def candidates(people: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of records (ref, core, words, own) that may be linked."""
+    """Pairs (a, b), a < b, of records (ref, core, words, own, and held if there is) that may be linked."""
+    held = F.col("held") if "held" in people.columns else F.array().cast("array<string>").alias("held")
     kind = people.schema["ref"].dataType.simpleString()
-    keys = cut(people.select("ref", "core", "words").mapInArrow(_key_batches, f"ref {kind}, has boolean, word string, ask string, give string").distinct())
-    # every different word is banded once; like words meet, then their records, of which one has no account
-    banded = cut(keys.select("word").distinct().mapInArrow(_band_batches, "word string, band long"))
-    # words within the distance asked for below differ in length by no more than that
-    fits = F.abs(F.length("x.word") - F.length("y.word")) <= 0.4 * F.greatest(F.length("x.word"), F.length("y.word"))
-    alike = banded.alias("x").join(banded.alias("y").hint("merge"), (F.col("x.band") == F.col("y.band")) & (F.col("x.word") <= F.col("y.word")) & fits).select(F.col("x.word").alias("w"), F.col("y.word").alias("v")).distinct()
+    marks = ", ".join(f"{c} long" for c in _MARKS)
+    keys = cut(people.select("ref", "core", "words", held).mapInArrow(_key_batches, f"ref {kind}, has boolean, word string, ask string, give string, sort byte, {marks}"))
+    # every different word is banded once, and under each of its keys; like words meet, then their records, of which one has no account
+    each = keys.groupBy("word").agg(F.collect_set(F.when(~F.col("has"), F.col("ask"))).alias("asks"), F.collect_set("give").alias("gives"))
+    banded = cut(each.mapInArrow(_band_batches, "word string, letters long, key string, code long, asks boolean"))
+    side = lambda s, which: banded.where(which).select(F.col("word").alias(s), F.col("letters").alias(f"letters_{s}"), F.length("word").alias(f"size_{s}"), "key", "code")
+    # words within the distance asked for below have so many letters in common
+    fits = _common("letters_w", "letters_v", F.col("size_w"), F.col("size_v")) >= 0.6 * F.greatest("size_w", "size_v") - 1e-6
+    alike = side("w", "asks").join(side("v", "not asks").drop("key").hint("merge"), "code").where(fits).where("w <> v").select("w", "v", "key").distinct()
     alike = cut(alike.where((1 - F.levenshtein("w", "v") / F.greatest(F.length("w"), F.length("v"))) >= 0.6))
-    alike = alike.unionByName(alike.where("w < v").select(F.col("v").alias("w"), F.col("w").alias("v")))
-    asking = keys.where("not has and ask is not null").select(F.col("ref").alias("a"), F.col("word").alias("w"), F.col("ask").alias("key"))
-    giving = keys.select(F.col("ref").alias("b"), F.col("word").alias("v"), F.col("give").alias("key")).distinct()
-    by_words = asking.join(alike.hint("merge"), "w").join(giving.hint("merge"), ["v", "key"]).select("a", "b")
+    asking = keys.where("not has and ask is not null").select(F.col("ref").alias("a"), F.col("word").alias("w"), F.col("ask").alias("key"), "sort", *_MARKS)
+    giving = keys.select(F.col("ref").alias("b"), F.col("word").alias("v"), F.col("give").alias("key"), F.col("sort").alias("sort2"), *[F.col(c).alias(f"{c}2") for c in _MARKS])
+    by_equal = asking.join(giving.withColumnRenamed("v", "w").hint("merge"), ["w", "key"]).where(_may_link()).select("a", "b")
+    by_alike = asking.join(alike.hint("merge"), ["w", "key"]).join(giving.hint("merge"), ["v", "key"]).where(_may_link()).select("a", "b")
+    by_words = by_equal.unionByName(by_alike)
     # handles: a name that is one meets accounts, other such names, and names whose words joined are the same
     joined = people.where(F.size("words") > 0).select("ref", "core", F.explode(F.array_distinct(F.array(F.array_join("words", ""), F.array_join(F.reverse("words"), "")))).alias("k"))
     own = people.where("own <> ''").select(F.col("ref").alias("a"), F.col("core").alias("core_a"), F.col("own").alias("k"))
