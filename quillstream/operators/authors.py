@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.functions.text import handle
-from quillstream.session import cut, kept
+from quillstream.session import cut
 
 
 def _segments(size: int, parts: int) -> list[tuple[int, int]]:
@@ -32,6 +33,98 @@ def _letters(name: str) -> int:
     return once | twice << 31
 
 
+def _within(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray, edits: int) -> np.ndarray:
+    """Is the edit distance of the rows of letters at most `edits`? The matrix is filled beside its diagonal, all pairs at once."""
+    n, width = len(x), int(size_x.max())
+    y = np.pad(y[:, : width + edits], ((0, 0), (edits, 2 * edits + max(0, width - y.shape[1]))))
+    kind = np.int8 if edits < 100 else np.int32
+    far = kind(100 if edits < 100 else 1 << 30)
+    row = [np.full(n, k if k >= 0 else far, kind) for k in range(-edits, edits + 1)]
+    last = np.full(n, far, kind)
+    for i in range(width + 1):
+        if i:
+            fresh: list[np.ndarray] = []
+            for k in range(2 * edits + 1):
+                if i + k - edits < 0:
+                    fresh.append(np.full(n, far, kind))
+                    continue
+                cell = row[k] + (x[:, i - 1] != y[:, i + k - 1]) if i + k - edits > 0 else np.full(n, min(i, far), kind)
+                if k < 2 * edits:
+                    cell = np.minimum(cell, row[k + 1] + 1)
+                if k:
+                    cell = np.minimum(cell, fresh[k - 1] + 1)
+                fresh.append(np.minimum(cell, far).astype(kind))
+            row = fresh
+        if len(done := np.flatnonzero(size_x == i)):
+            last[done] = np.stack(row)[(size_y - size_x)[done] + edits, done]
+    return last <= edits
+
+
+def _near_batches(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Rows (bare, letters, key, longer) in the order of their keys to pairs (x, y) of names of one key, y the longer one,
+    that are different and close; at most so many are compared at once."""
+
+    def pairs(t: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        group = t.column(2).dictionary_encode().indices.to_numpy()
+        longer = t.column(3).to_numpy(zero_copy_only=False)
+        letters = t.column(1).to_numpy()
+        order = np.lexsort((longer, group))  # of each group the shorter ones go first
+        n = np.bincount(group)
+        n_y = np.bincount(group, longer).astype(np.int64)
+        start, n_x = np.r_[0, np.cumsum(n)[:-1]], n - n_y
+        # one task for each shorter name: its place, and where the longer ones of its group are
+        of = np.repeat(np.arange(len(n)), np.where(n_y > 0, n_x, 0))
+        if not len(of):
+            return
+        first = np.r_[True, of[1:] != of[:-1]]
+        at = np.arange(len(of)) - np.repeat(np.flatnonzero(first), np.diff(np.r_[np.flatnonzero(first), len(of)]))
+        x_at, y_from, y_n = start[of] + at, start[of] + n_x[of], n_y[of]
+        names = t.column(0).dictionary_encode()
+        spelt = names.dictionary.to_pylist()
+        which = names.indices.to_numpy()
+        size = np.array([len(w) for w in spelt], np.int64)
+        ends = np.cumsum(y_n)
+        low = 0
+        while low < len(of):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, "right")))
+            times = y_n[low:high]
+            i = np.repeat(x_at[low:high], times)
+            j = np.repeat(y_from[low:high] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            i, j = order[i], order[j]
+            low = high
+            x, y = which[i], which[j]
+            edits = (size[y] - 1) // 5
+            fits = (np.bitwise_count(letters[i] ^ letters[j]) <= 2 * edits) & (x != y) & (size[x] <= size[y]) & (size[y] - size[x] <= edits)
+            x, y, edits = x[fits], y[fits], edits[fits]
+            code = np.unique(x.astype(np.int64) * len(spelt) + y)
+            x, y = code // len(spelt), code % len(spelt)
+            edits = (size[y] - 1) // 5
+            hit = np.zeros(len(x), bool)
+            for k in np.unique(edits):
+                some = np.flatnonzero(edits == k)
+                own = np.unique(np.r_[x[some], y[some]])
+                chars = np.array([spelt[w] for w in own], f"U{size[own].max()}").view(np.uint32).reshape(len(own), -1)
+                hit[some] = _within(chars[np.searchsorted(own, x[some])], chars[np.searchsorted(own, y[some])], size[x[some]], size[y[some]], int(k))
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(x[hit])), names.dictionary.take(pa.array(y[hit]))], names=["x", "y"])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column(2)
+        if held and key[0].as_py() == key[-1].as_py() == held[-1].column(2)[-1].as_py():
+            held.append(b)  # one key goes on
+            continue
+        whole = pa.Table.from_batches([*held, b]).combine_chunks().to_batches()[0]
+        ids = whole.column(2).dictionary_encode().indices.to_numpy()
+        end = int(np.searchsorted(ids, ids[-1]))
+        if end:
+            yield from pairs(whole.slice(0, end))
+        held = [whole.slice(end)]
+    if held:
+        yield from pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
 def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Names to keys (bare, letters, key, longer): the segments of each as the longer of two, and the runs that may equal
     one of them in each as the shorter.
@@ -64,14 +157,10 @@ def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def _close(bares: DataFrame) -> DataFrame:
     """Pairs (x, y) of different names `bare` whose edit distance is below a fifth of the longer's length."""
     parts = bares.sparkSession.sparkContext.defaultParallelism
-    with kept(bares.repartition(parts, "bare").mapInArrow(_segment_batches, "bare string, letters long, key string, longer boolean")) as keys:
-        side = lambda s, which: keys.where(which).select(F.col("bare").alias(s), F.col("letters").alias(f"letters_{s}"), F.length("bare").alias(f"size_{s}"), "key").repartition(4 * parts, "key")
-        met = side("x", "not longer").join(side("y", "longer").withColumn("edits", F.expr("(size_y - 1) div 5")).hint("merge"), "key")
-        fits = F.bit_count(F.col("letters_x").bitwiseXOR(F.col("letters_y"))) <= 2 * F.col("edits")
-        near = F.levenshtein("x", "y") <= F.col("edits")
-        for k in (4, 3, 2, 1):  # -1 beyond k, found in less time; each distance is named once, or Spark works it out ahead of the other conditions
-            near = F.when(F.col("edits") == k, F.levenshtein("x", "y", k) >= 0).otherwise(near)
-        return cut(met.where(fits).where("size_x < size_y or x < y").where(near).select("x", "y").distinct())
+    keys = bares.repartition(parts, "bare").mapInArrow(_segment_batches, "bare string, letters long, key string, longer boolean")
+    found = keys.repartition(4 * parts, "key").sortWithinPartitions("key").mapInArrow(_near_batches, "x string, y string")
+    # of two names of one size both are the longer one
+    return cut(found.where("length(x) < length(y) or x < y").distinct())
 
 
 def _matches(authors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -120,3 +120,28 @@ def test_tags_of_configuration(spark):
 def test_user_prompt(spark):
     df = spark.createDataFrame([("Exploring Bitcoin markets", "linkedin.com"), (None, None)], "t string, p string")
     assert [r[0] for r in df.select(T.user_prompt(F.col("t"), F.col("p"))).collect()] == ['[Source: linkedin.com] "Exploring Bitcoin markets"', '[Source: unknown] ""']
+
+
+def test_close_names_are_those_of_all_pairs_whatever_the_batches():
+    import random
+
+    import pyarrow as pa
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            before, row[0] = row[0], i
+            for j, d in enumerate(y, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (c != d))
+        return row[-1]
+
+    rnd = random.Random(4)
+    names = ["".join(rnd.choice("abcé") for _ in range(rnd.randrange(5, 28))) for _ in range(30)]
+    names += [n[:k] + rnd.choice(["", "x", "xy"]) + n[k + rnd.randrange(2) :] for n in names for k in (1, len(n) // 2)] + ["a" * 600, "a" * 595 + "b" * 6]
+    names = sorted({n for n in names if len(n) > 3})
+    rows = [(n, A._letters(n), key, longer) for key in ("k", "l", "m") for n in names for longer in (False, True) if len(n) < 100 or key == "l"]
+    table = pa.table(dict(zip(("bare", "letters", "key", "longer"), map(list, zip(*rows)))))
+    want = {(x, y) for x in names for y in names if x != y and len(x) <= len(y) and abs(len(x) - len(y)) <= 120 and distance(x, y) <= A._edits(len(y))}
+    for size, most in ((7, 50), (10_000, 50), (150, 1 << 18)):
+        got = {(r["x"], r["y"]) for b in A._near_batches(iter(table.to_batches(size)), most) for r in b.to_pylist()}
+        assert {(x, y) for x, y in got if len(x) <= len(y)} == want and ("a" * 600, "a" * 595 + "b" * 6) in got
