@@ -37,7 +37,8 @@ FAMILIES = 10
 ASKS = FAMILIES
 _TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*|[,;:“”«»–—(·=/]")
 _MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
-_END = re.compile(rf"[.!?…]+[»”\"')\]]*(?:\s+(?!{_MONTHS})|$)|\n+")
+#: One class comes first, as the search then skips to its characters.
+_END = re.compile(rf"[.!?…\n](?:(?<=\n)\n*|(?<!\n)[.!?…]*[»”\"')\]]*(?:\s+(?!{_MONTHS})|$))")
 _ABBREVIATION = re.compile(r"(?:\b[A-ZÀ-Þ]|\b(?:Dr|Mr|Ms|Mrs|Prof|no|ul|St|tel|ext|Nr))$")
 
 

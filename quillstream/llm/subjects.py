@@ -12,19 +12,21 @@ A sentence then takes the subject of its words. Fixed phrases (small talk, figur
 word, while a word's own sentences differ; word pairs that nearly always return within the same sentence
 mark such phrases, and their sentences take no subject.
 
-Texts are read and split once: posts are kept as lists of sentence hashes, different sentences as lists of word ids
-(32 bits of a hash). All counts are taken over sentences made distinct over all rows, and uses over different texts, so
+Texts are read and split once: posts are kept as lists of sentence hashes, different sentences as word ids
+(32 bits of a hash), packed into bytes. Counts of pairs leave a task packed, too, one row for each word. All counts are taken over sentences made distinct over all rows, and uses over different texts, so
 that neither copies nor the layout of the rows weigh anything. What the tasks get is bounded: a word is a node only if it stands in `NODE_SHARE` of all
 different sentences, so there are at most (mean words of a sentence) / `NODE_SHARE` nodes, some 50,000, and as many
-labelled words; a pair marks fixed phrases only if it makes up `FIXED_OF_ALL` of all uses of sentences.
+labelled words; a pair marks fixed phrases only if it makes up `FIXED_OF_ALL` of all uses of sentences, and one that is
+counted over all sentences makes up about a third of that in sentences of `OFTEN` uses.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import sys
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,17 +60,22 @@ FIXED, FIXED_USES, FIXED_OF_ALL, FIXED_SHARE = 0.34, 4, 2e-6, 0.4
 #: A sentence returns only if it makes up this share of all uses of sentences; else its uses count as one, as in a large
 #: table every sentence of common words returns by chance.
 RETURNS = 3e-6
+#: A sentence of fewer uses makes no pair one that marks fixed phrases: what it adds to the sentences is more than `FIXED` of its uses.
+OFTEN = 1 / FIXED
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
-_ASCII_TOKEN = re.compile(r"[A-Za-z]+(?:['-][A-Za-z]+)*|[0-9]+")
 
 
 class _Ids(dict):
-    """Ids of words in lower case, numbers as 0; filled as they come up, and emptied when it grows too large."""
+    """Packed ids of the words in a piece of text without spaces; filled as pieces come up, and emptied when it grows too large."""
 
-    def __missing__(self, w: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[w] = k = _id("0" if w[0].isdigit() else w.lower())
+    MOST, LONGEST = 300_000, 40
+
+    def __missing__(self, piece: str) -> bytes:
+        k = b"".join(_id("0" if w[0].isdigit() else w.lower()).to_bytes(4, sys.byteorder, signed=True) for w in _TOKEN.findall(piece))
+        if len(piece) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[piece] = k
         return k
 
 
@@ -97,15 +104,37 @@ def sentences(text: str | None) -> list[str]:
     return out
 
 
-def words(sentence: str) -> list[int]:
-    """Ids of the words in lower case; numbers count as one word. Names drop out of the graph by their counts."""
-    return [_ids[w] for w in (_ASCII_TOKEN if sentence.isascii() else _TOKEN).findall(sentence)]
+def words(sentence: str) -> bytes:
+    """Packed ids of the words in lower case; numbers count as one word. Names drop out of the graph by their counts.
+
+    No word holds a space, so the pieces between spaces can be looked up.
+    """
+    return b"".join(map(_ids.__getitem__, sentence.split()))
 
 
 def _lists(values: list | np.ndarray, counts: list[int] | np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values, kind))
 
 
+def _packed(lists: pa.ListArray) -> pa.BinaryArray:
+    """Lists of numbers as their bytes, which the JVM, shuffles and tables handle as one value each."""
+    if lists.null_count == len(lists):  # rows of counts, which have none at all
+        return pa.nulls(len(lists), pa.binary())
+    ends = lists.offsets.to_numpy()
+    ends = (ends - ends[0]) * (lists.type.value_type.bit_width // 8)
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(lists.flatten().to_numpy())])
+
+
+def _unpacked(a: pa.BinaryArray, kind: pa.DataType) -> pa.ListArray:
+    """The lists again; nulls stay nulls."""
+    if not len(a):
+        return pa.array([], pa.list_(kind))
+    valid, ends, data = a.buffers()
+    ends = np.frombuffer(ends, np.int32, a.offset + len(a) + 1) // (kind.bit_width // 8)
+    values = pa.Array.from_buffers(kind, int(ends[-1]), [None, data or pa.py_buffer(b"")])
+    return pa.Array.from_buffers(pa.list_(kind), len(a), [valid, pa.py_buffer(ends.astype(np.int32))], offset=a.offset, children=[values])
+
+
 def _tag(tag: str | None) -> int:
     return xxhash.xxh64_intdigest("#" + (tag or "")) - 2**63
 
@@ -130,25 +159,25 @@ def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             sents += own
             lengths.append(len(own))
         ids = {s: words(s) for s in known}
-        tags = {tag: _tag(tag) for _, tag in uses}
+        tags = {tag: _tag(tag) for tag in {tag for _, tag in uses}}
         n, m = len(at), len(uses)
-        own = [ids[s] for s, _ in uses]  # in the order of the rows
         yield pa.RecordBatch.from_arrays(
             [
                 pa.concat_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.nulls(m, b.column(0).type)]),
                 pa.concat_arrays([_lists(np.array(sents, np.int64), lengths, pa.int64()), pa.nulls(m, pa.list_(pa.int64()))]),
                 pa.array(texts + [known[s] for s, _ in uses], pa.int64()),
                 pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array([tags[tag] for _, tag in uses], pa.int64())]),
-                pa.concat_arrays([pa.nulls(n, pa.list_(pa.int32())), _lists(np.fromiter(chain.from_iterable(own), np.int32), [len(x) for x in own], pa.int32())]),
+                pa.array([None] * n + [ids[s] for s, _ in uses], pa.binary()),
                 pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(uses.values(), pa.int64())]),
             ],
             names=["key", "sents", "hash", "tag", "words", "uses"],
         )
 
 
-def _once_batches(batches: Iterator[pa.RecordBatch], least: float = 0.0) -> Iterator[pa.RecordBatch]:
+def _once_batches(batches: Iterator[pa.RecordBatch], least: float = 0.0, often: float = 0.0) -> Iterator[pa.RecordBatch]:
     """Sentences (hash, tag, words, uses) in the order of their hashes to one row each (hash, words, tags, uses), and
-    rows (kind, a, uses, sentences) that count their words; see `_word_counts`. Fewer uses than `least` count as one.
+    rows (kind, a, uses, sentences) that count their words; see `_word_counts`. Fewer uses than `least` count as one, and
+    neighbours are counted in sentences of at least `often` uses.
 
     Rows without words take back uses of copies; they stand behind the others of their hash. The rows of the last sentence
     of a batch are held back until the next.
@@ -185,7 +214,7 @@ def _once_batches(batches: Iterator[pa.RecordBatch], least: float = 0.0) -> Iter
     def out(m: pa.RecordBatch) -> pa.RecordBatch:
         """The sentences of a batch; the counts of their words stay here until there are many."""
         uses = m.column(3).to_numpy()
-        counts.add(m.column(1), np.where(uses < least, 1, uses))
+        counts.add(m.column(1), _weights(uses, least), often)
         none = [pa.nulls(m.num_rows, t) for t in (pa.int8(), pa.int64(), pa.int64())]
         return pa.RecordBatch.from_arrays([*m.columns, *none], names=["hash", "words", "tags", "uses", "kind", "a", "sentences"])
 
@@ -211,6 +240,18 @@ def _once_batches(batches: Iterator[pa.RecordBatch], least: float = 0.0) -> Iter
         yield counted(held)
 
 
+def _once_packed(batches: Iterator[pa.RecordBatch], least: float, often: float) -> Iterator[pa.RecordBatch]:
+    """`_once_batches` with packed words and tags."""
+    lists = (pa.RecordBatch.from_arrays([b.column(0), b.column(1), _unpacked(b.column(2), pa.int32()), b.column(3)], names=b.schema.names) for b in batches)
+    for m in _once_batches(lists, least, often):
+        yield pa.RecordBatch.from_arrays([m.column(0), _packed(m.column(1)), _packed(m.column(2)), *m.columns[3:]], names=m.schema.names)
+
+
+def _weights(uses: np.ndarray, least: float) -> np.ndarray:
+    """Fewer uses than `least` count as one."""
+    return np.where(uses < least, 1, uses)
+
+
 class _WordSums:
     """Counts of words and of pairs of neighbours, added up over batches."""
 
@@ -220,8 +261,8 @@ class _WordSums:
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = 0
 
-    def add(self, lists: pa.ListArray, n: np.ndarray) -> None:
-        self.parts.append(_word_counts(lists, n))
+    def add(self, lists: pa.ListArray, n: np.ndarray, often: float) -> None:
+        self.parts.append(_word_counts(lists, n, often))
         self.held += len(self.parts[-1][0])
         if self.held > self.MOST:  # what is left after adding up may stay if it is less than half of that
             self.parts = [self.all()]
@@ -289,6 +330,36 @@ class _Sums:
         return codes[start], np.add.reduceat(counts, start) if len(start) else counts
 
 
+class _Places:
+    """Places of numbers in a sorted array: a table over hashed bits answers for all but numbers that share a cell."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        self.codes = codes
+        self.mask = (1 << max(12, min(22, (32 * len(codes)).bit_length()))) - 1
+        cell = self._cell(codes)
+        self.table = np.full(self.mask + 1, -1, np.int32)
+        self.table[cell] = np.where(np.bincount(cell, minlength=self.mask + 1)[cell] > 1, len(codes), np.arange(len(codes)))
+
+    def _cell(self, x: np.ndarray) -> np.ndarray:
+        return (x ^ x >> 32) & self.mask
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the numbers are in the array, and where."""
+        p = self.table[self._cell(x)]
+        at = np.flatnonzero(p >= 0)
+        p, x = p[at], x[at]
+        shared = np.flatnonzero(p == len(self.codes))
+        p[shared] = np.minimum(np.searchsorted(self.codes, x[shared]), len(self.codes) - 1)
+        there = self.codes[p] == x if len(self.codes) else p == 0
+        return at[there], p[there].astype(np.int64)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The different numbers in order; sorting whole batches is faster here than NumPy's hash table."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of the sentences one after the other, the sentence of each, and their number in each."""
     size = np.diff(lists.offsets.to_numpy())
@@ -301,47 +372,69 @@ def _neighbours(flat: np.ndarray, sent: np.ndarray) -> tuple[np.ndarray, np.ndar
     return flat[inside] << 32 | flat[inside + 1] & 0xFFFFFFFF, sent[inside]
 
 
-def _word_counts(lists: pa.ListArray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of different sentences and their uses: kind (0 words, 1 pairs of neighbours), code, uses and number of the
-    sentences that hold each."""
+def _word_counts(lists: pa.ListArray, n: np.ndarray, often: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of different sentences and their uses: kind (0 words, 1 pairs of neighbours in sentences of `often` uses), code, uses
+    and number of the sentences that hold each."""
     flat, sent, _ = _flat(lists)
     vocab, w = np.unique(flat, return_inverse=True)
-    key = np.unique(sent * max(len(vocab), 1) + w)
+    key = _distinct(sent * max(len(vocab), 1) + w)
     ws, ss = key % max(len(vocab), 1), key // max(len(vocab), 1)
-    pair, of = _neighbours(flat, sent)
+    returns = (n >= often)[sent]
+    pair, of = _neighbours(flat[returns], sent[returns])
     u, inv = np.unique(pair, return_inverse=True)
     return np.r_[np.zeros(len(vocab), np.int8), np.ones(len(u), np.int8)], np.r_[vocab, u], np.r_[np.bincount(ws, n[ss], len(vocab)), np.bincount(inv, n[of], len(u))].astype(np.int64), np.r_[np.bincount(ws, minlength=len(vocab)), np.bincount(inv, minlength=len(u))]
 
 
-def _pair_batches(nodes: np.ndarray, linked: np.ndarray):
-    """Different sentences (words, tags) to counts (kind, a, b, sentences): 2 pairs a < b of the words `linked`, 4 words
-    of `nodes` with a tag. Both arrays are sorted."""
-    links = np.isin(nodes, linked)
+#: What `_pair_batches` counts: uses and sentences of pairs of neighbours, pairs of words, words with a tag.
+USES, HOLD, PAIR, TAGGED = 0, 1, 2, 4
+
+
+def _pair_batches(nodes: np.ndarray, linked: np.ndarray, marks: np.ndarray, least: float):
+    """Different sentences (words, tags, uses) to counts (kind, a, b, n), one row for each `a` with all its partners `b` and
+    their counts packed: pairs of the words `linked` (the places in `nodes`, a < b), words of `nodes` (the place) with a
+    tag, and the neighbours `marks`. The arrays are sorted; fewer uses than `least` count as one."""
+    links, node_places, mark_places = np.isin(nodes, linked), _Places(nodes), _Places(marks)
+
+    def rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+        """Of counts in the order of `a`."""
+        start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
+        per = np.diff(np.r_[start, len(a)])
+        return [pa.array(np.full(len(start), kind, np.int8)), pa.array(a[start]), *(_packed(_lists(x, per, pa.int64())) for x in (b, n))]
+
+    def batch(*parts: list[pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*parts)], names=["kind", "a", "b", "n"])
 
     def out(pairs: _Sums, tagged: _Sums, names: dict[int, int]) -> pa.RecordBatch:
         u, c = pairs.all()
         t, n = tagged.all()
         tags = np.array(list(names), np.int64)
-        cols = [
-            np.r_[np.full(len(u), 2, np.int8), np.full(len(t), 4, np.int8)], np.r_[nodes[u // len(nodes)], nodes[t % len(nodes)]],
-            np.r_[nodes[u % len(nodes)], tags[t // len(nodes)] if len(t) else t], np.r_[c, n].astype(np.int64),
-        ]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["kind", "a", "b", "sentences"])
+        order = np.argsort(t % len(nodes), kind="stable")
+        t, n = t[order], n[order]
+        return batch(rows(PAIR, u // len(nodes), u % len(nodes), c), rows(TAGGED, t % len(nodes), tags[t // len(nodes)] if len(t) else t, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, tagged, names = _Sums(len(nodes) ** 2), _Sums(1 << 62), {}
+        used, hold = np.zeros(len(marks), np.int64), np.zeros(len(marks), np.int64)
         for b in batches:
-            flat, sent, _ = _flat(b.column(0))
-            if not len(nodes) or not len(flat):
+            flat, sent, _ = _flat(_unpacked(b.column(0), pa.int32()))
+            if not len(flat):
+                continue
+            if len(marks):
+                pair, of = _neighbours(flat, sent)
+                at, m = mark_places.find(pair)
+                of = of[at]
+                used += np.bincount(m, _weights(b.column(2).to_numpy(), least)[of], len(marks)).astype(np.int64)
+                hold += np.bincount(m, minlength=len(marks))
+            if not len(nodes):
                 continue
-            w = np.minimum(np.searchsorted(nodes, flat), len(nodes) - 1)
-            keep = nodes[w] == flat
-            key = np.unique(sent[keep] * len(nodes) + w[keep])
+            at, w = node_places.find(flat)
+            key = _distinct(sent[at] * len(nodes) + w)
             ws, ss = key % len(nodes), key // len(nodes)
             # under each of its tags a sentence counts once
-            name, t = np.unique(b.column(1).flatten().to_numpy(), return_inverse=True)
+            lists = _unpacked(b.column(1), pa.int64())
+            name, t = np.unique(lists.flatten().to_numpy(), return_inverse=True)
             t = np.array([names.setdefault(x, len(names)) for x in name.tolist()], np.int64)[t]
-            ends = np.r_[0, np.cumsum(np.diff(b.column(1).offsets.to_numpy()))]
+            ends = np.r_[0, np.cumsum(np.diff(lists.offsets.to_numpy()))]
             times = np.diff(ends)[ss]
             of = np.repeat(ends[ss], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             full = tagged.add(t[of] * len(nodes) + np.repeat(ws, times))
@@ -357,6 +450,51 @@ def _pair_batches(nodes: np.ndarray, linked: np.ndarray):
                 yield out(pairs, tagged, names)
         if len(nodes):
             yield out(pairs, tagged, names)
+        if len(marks):
+            at = marks >> 32
+            yield batch(rows(USES, at, marks, used), rows(HOLD, at, marks, hold))
+
+    return run
+
+
+def _summed_batches(nodes: np.ndarray, sizes: np.ndarray, together: int):
+    """Rows (kind, a, b, n) in the order of kind and `a`, as from many tasks, to (kind, a, b, n_ab, n_a, n_b): one row for each
+    pair, words as their ids. Pairs of words need `together` sentences; `sizes` are the sentences of the `nodes`."""
+
+    def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        b, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        return b, np.bincount(at, np.concatenate([x for _, x in parts]), len(b)).astype(np.int64)
+
+    def summed(kind: int, a: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+        b, n = added(parts)
+        if kind == PAIR:
+            b, n = b[n >= together], n[n >= together]
+            return np.full(len(b), kind, np.int8), np.full(len(b), nodes[a]), nodes[b], n, np.full(len(b), sizes[a]), sizes[b]
+        none = np.zeros(len(b), np.int64)
+        return np.full(len(b), kind, np.int8), np.full(len(b), nodes[a] if kind == TAGGED else a), b, n, none, none
+
+    def out(done: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*done)], names=["kind", "a", "b", "n_ab", "n_a", "n_b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, held, done, ready = None, [], 0, [], 0
+        for batch in batches:
+            for kind, a, b, n in zip(*(x.to_pylist() for x in batch.columns)):
+                if at != (kind, a):
+                    if at:
+                        done.append(summed(*at, parts))
+                        ready += len(done[-1][0])
+                    at, parts, held = (kind, a), [], 0
+                    if ready > 50_000:
+                        yield out(done)
+                        done, ready = [], 0
+                parts.append((np.frombuffer(b, np.int64), np.frombuffer(n, np.int64)))
+                held += len(parts[-1][0])
+                if held > _Sums.MOST:  # the same partners from many tasks
+                    parts = [added(parts)]
+                    held = len(parts[0][0]) // 2
+        if at:
+            yield out([*done, summed(*at, parts)])
 
     return run
 
@@ -366,36 +504,39 @@ def _seeds(examples: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(w, s, i) for t, s, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()) if t and s for x in sentences(t) for w in set(words(x))]
+            rows = [(w, s, i) for t, s, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()) if t and s for x in sentences(t) for w in set(np.frombuffer(words(x), np.int32).tolist())]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["a", "subject", "example"])
 
     seen = examples.select("text", "subject", F.xxhash64("text").alias("example")).mapInArrow(run, "a long, subject string, example long").groupBy("a", "subject").agg(F.count_distinct("example").alias("n"))
     return seen.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("a")))
 
 
-def model(different: DataFrame, words: DataFrame, examples: DataFrame) -> tuple[list, np.ndarray]:
+def model(different: DataFrame, words: DataFrame, examples: DataFrame, returns: float = 0.0) -> tuple[list, np.ndarray]:
     """The words' subjects (a, subject, score, company) and the sorted word pairs that mark fixed phrases, from the
-    different sentences (words, tags, uses) and the counts of their words (kind, a, uses, sentences).
+    different sentences (words, tags, uses) and the counts of their words (kind, a, uses, sentences). Fewer uses than
+    `returns` count as one.
 
     `company` is the mean number of other words of the same subject in a word's sentences.
     """
     size = different.agg(F.count("*").alias("n"), F.sum("uses").alias("uses")).first()
     total = size["n"] or 1
     least = max(FIXED_USES, int(FIXED_OF_ALL * (size["uses"] or 0)))
-    counts = cut(words.groupBy("kind", "a").agg(F.sum("uses").alias("uses"), F.sum("sentences").alias("sentences")).where(F.expr(f"kind = 0 or uses >= {least} and sentences <= {FIXED} * uses")))
-    vocab = counts.where("kind = 0").select("a", F.col("sentences").alias("n"), "uses")
-    fixed = np.sort(np.array([r["a"] for r in counts.where("kind = 1").select("a").collect()], np.int64))
-    nodes = vocab.where(F.col("n") >= max(NODE_SENTENCES, NODE_SHARE * total))
-    numbers = nodes.select("a", "n").collect()
-    every = np.sort(np.array([r["a"] for r in numbers], np.int64))
-    linked = np.sort(np.array([r["a"] for r in numbers if r["n"] <= max(COMMON * total, 3)], np.int64))
+    # Neighbours are counted in sentences of `OFTEN` uses so far. Others have at most `few` uses, so a pair that is fixed over
+    # all sentences is so over these, too, and they have at least the rest of `few * FIXED` of the uses it needs.
+    few = math.ceil(OFTEN) - 1
+    counts = cut(words.groupBy("kind", "a").agg(F.sum("uses").alias("uses"), F.sum("sentences").alias("sentences")).where(F.expr(f"kind = 0 and sentences >= {max(NODE_SENTENCES, NODE_SHARE * total)} or kind = 1 and uses >= {least * (1 - few * FIXED) * 0.999} and sentences <= {FIXED} * uses")))
+    rows = sorted(counts.collect())
+    nodes, sizes = (np.array([r[x] for r in rows if not r["kind"]], np.int64) for x in ("a", "sentences"))
+    marks = np.array([r["a"] for r in rows if r["kind"]], np.int64)
     together = max(LEAST, round(LEAST_SHARE * total))
-    counted = different.select("words", "tags").mapInArrow(_pair_batches(every, linked), "kind byte, a long, b long, sentences long").groupBy("kind", "a", "b").agg(F.sum("sentences").alias("n_ab"))
-    with kept(counted.where(F.col("n_ab") >= F.when(F.col("kind") == 2, together).otherwise(1))) as both:
-        pairs = both.where("kind = 2").select("a", "b", "n_ab")
-        pairs = pairs.join(nodes.select("a", F.col("n").alias("n_a")), "a").join(nodes.select(F.col("a").alias("b"), F.col("n").alias("n_b")), "b")
-        with kept(pairs) as pairs:
-            return _spread(both.where("kind = 4").select("a", "b", F.col("n_ab").alias("posts")), pairs, nodes, examples, total), fixed
+    counted = different.select("words", "tags", "uses").mapInArrow(_pair_batches(nodes, nodes[sizes <= max(COMMON * total, 3)], marks, returns), "kind byte, a long, b binary, n binary")
+    summed = counted.repartition("kind", "a").sortWithinPartitions("kind", "a").mapInArrow(_summed_batches(nodes, sizes, together), "kind byte, a long, b long, n_ab long, n_a long, n_b long")
+    with kept(summed) as both:
+        uses, hold = (F.sum(F.when(F.col("kind") == k, F.col("n_ab"))).alias(x) for k, x in ((USES, "uses"), (HOLD, "sentences")))
+        marked = both.where(F.col("kind") <= HOLD).groupBy("b").agg(uses, hold).where(F.expr(f"uses >= {least} and sentences <= {FIXED} * uses"))
+        fixed = np.sort(np.array([r["b"] for r in marked.select("b").collect()] if len(marks) else [], np.int64))
+        own = counts.where("kind = 0").select("a")
+        return _spread(both.where(F.col("kind") == TAGGED).select("a", "b", F.col("n_ab").alias("posts")), both.where(F.col("kind") == PAIR), own, examples, total), fixed
 
 
 def _one(df: DataFrame) -> DataFrame:
@@ -447,14 +588,15 @@ def _label_batches(table: np.ndarray, subject: np.ndarray, score: np.ndarray, co
     `table` holds the labelled words in order; subject (one of `n_names` numbers), score and company belong to them.
     """
 
+    places, fixed_places = _Places(table), _Places(fixed)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat, sent, size = _flat(b.column(1))
+            flat, sent, size = _flat(_unpacked(b.column(1), pa.int32()))
             if not len(flat) or not len(table):
                 continue
-            w = np.minimum(np.searchsorted(table, flat), len(table) - 1)
-            hit = table[w] == flat
-            key = np.unique(sent[hit] * len(table) + w[hit])
+            hit, w = places.find(flat)
+            key = _distinct(sent[hit] * len(table) + w)
             ws, ss = key % len(table), key // len(table)
             at = ss * n_names + subject[ws]
             shape = (len(size), n_names)
@@ -468,8 +610,7 @@ def _label_batches(table: np.ndarray, subject: np.ndarray, score: np.ndarray, co
             told = (size >= 3) & (n > 0) & (mass[i, best] >= 0.6 * mass.sum(axis=1)) & (n >= np.where(near[i, best] / np.maximum(n, 1) >= 1.2, 2, 1))
             # fixed phrases name no subject
             pair, of = _neighbours(flat, sent)
-            f = np.minimum(np.searchsorted(fixed, pair), max(len(fixed) - 1, 0))
-            marks = np.bincount(of[fixed[f] == pair] if len(fixed) else of[:0], minlength=len(size))
+            marks = np.bincount(of[fixed_places.find(pair)[0]], minlength=len(size))
             told &= marks < FIXED_SHARE * (size - 1)
             at = np.flatnonzero(told)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(best[at].astype(np.int32))], names=["hash", "subject"])
@@ -485,22 +626,22 @@ def subjects(df: DataFrame, examples: DataFrame, key: str = "seq", text: str = "
     """
     few = df.select(F.col(key).alias("key"), text, F.col(tag).alias("tag"))
     kind = few.schema["key"].dataType.simpleString()
-    with kept(few.mapInArrow(_split_batches, f"key {kind}, sents array<long>, hash long, tag long, words array<int>, uses long")) as split:
+    with kept(few.mapInArrow(_split_batches, f"key {kind}, sents array<long>, hash long, tag long, words binary, uses long")) as split:
         posts = split.where("sents is not null")
         # a text taken several times counts once: what its other rows count is taken back
         copies = posts.groupBy("hash").agg(F.count("*").alias("n"), F.max("sents").alias("sents")).where("n > 1")
         back = cut(copies.select(F.explode("sents").alias("hash"), (1 - F.col("n")).alias("uses")).groupBy("hash").agg(F.sum("uses").alias("uses")))
         each = split.where("words is not null").select("hash", "tag", "words", "uses")
         all_uses = each.select("uses").unionByName(back.select("uses")).agg(F.sum("uses")).first()[0] or 0
-        none = back.select("hash", F.lit(None).cast("long").alias("tag"), F.lit(None).cast("array<int>").alias("words"), "uses")
+        none = back.select("hash", F.lit(None).cast("long").alias("tag"), F.lit(None).cast("binary").alias("words"), "uses")
         ordered = each.unionByName(none).repartition("hash").sortWithinPartitions("hash", F.col("words").isNull())
-        with kept(ordered.mapInArrow(partial(_once_batches, least=RETURNS * all_uses), "hash long, words array<int>, tags array<long>, uses long, kind byte, a long, sentences long")) as once:
+        with kept(ordered.mapInArrow(partial(_once_packed, least=RETURNS * all_uses, often=OFTEN), "hash long, words binary, tags binary, uses long, kind byte, a long, sentences long")) as once:
             different = once.where("kind is null")
-            rows, fixed = model(different, once.where("kind is not null").select("kind", "a", "uses", "sentences"), examples)
+            rows, fixed = model(different, once.where("kind is not null").select("kind", "a", "uses", "sentences"), examples, RETURNS * all_uses)
             names = sorted({r["subject"] for r in rows})
             place = {s: k for k, s in enumerate(names)}
             labels = _label_batches(np.array([r["a"] for r in rows], np.int64), np.array([place[r["subject"]] for r in rows], np.int64), np.array([r["score"] for r in rows], float), np.array([r["company"] for r in rows], float), len(names), fixed)
             told = different.select("hash", "words").mapInArrow(labels, "hash long, place int")
             held = posts.select("key", F.explode("sents").alias("hash"))
-            found = cut(held.join(told.hint("merge"), "hash").select("key", "place").distinct())
+            found = cut(held.join(told.hint("shuffle_hash"), "hash").select("key", "place").distinct())
             return found.select(F.col("key").alias(key), F.get(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.col("place")).alias("subject"))

@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -376,6 +377,100 @@ def test_counts_are_sums_in_both_ways():
         assert (u == np.unique(codes)).all() and (n == np.unique(codes, return_counts=True)[1]).all() and not len(sums.all()[0])
 
 
+def test_lists_come_back_from_their_bytes():
+    import pyarrow as pa
+
+    for kind in (pa.int32(), pa.int64()):
+        lists = pa.array([[1, -2], [], [3], [4, 5, 6]], pa.list_(kind))
+        for part in (lists, lists.slice(1), lists.slice(2, 1), lists.slice(4)):
+            assert subjects._unpacked(subjects._packed(part), kind).to_pylist() == part.to_pylist()
+        with_null = pa.concat_arrays([subjects._packed(lists), pa.nulls(1, pa.binary()), subjects._packed(lists)])
+        assert subjects._unpacked(with_null.slice(3, 3), kind).to_pylist() == [[4, 5, 6], None, [1, -2]]
+
+
+def test_words_of_pieces_are_those_of_the_sentence():
+    text = "Don't re-use x2y ²nd ½, ’tis l’été-là Ünï ok 12.5 мир/мира " + "字" * 60 + "。 a\x1cb"
+    want = [subjects._id("0" if w[0].isdigit() else w.lower()) for w in subjects._TOKEN.findall(text)]
+    assert np.frombuffer(subjects.words(text), np.int32).tolist() == want and not any(len(p) > subjects._Ids.LONGEST for p in subjects._ids)
+
+
+def test_places_are_those_of_a_search():
+    rnd = np.random.default_rng(3)
+    for codes in (np.empty(0, np.int64), np.array([5]), np.unique(rnd.integers(-(2**31), 2**31, 4000)), np.unique(rnd.integers(-(2**62), 2**62, 4000)), np.arange(64) << 52):
+        x = np.r_[rnd.integers(-(2**62), 2**62, 500), codes, codes + 1, codes ^ 1 << 40]
+        at, p = subjects._Places(codes).find(x)
+        assert (at == np.flatnonzero(np.isin(x, codes))).all() and (p == np.searchsorted(codes, x[at])).all()
+
+
+def test_sentences_end_where_they_did():
+    import re
+
+    from quillstream.llm.cut_texts import _END, _MONTHS
+
+    plain = re.compile(rf"[.!?…]+[»”\"')\]]*(?:\s+(?!{_MONTHS})|$)|\n+")
+    rnd = random.Random(5)
+    for _ in range(20_000):
+        t = "".join(rnd.choices(["a", "3", " ", "\n", ".", "!", "…", ")", "”", "\r", "Mai", "März"], k=rnd.randrange(12)))
+        assert [m.span() for m in _END.finditer(t)] == [m.span() for m in plain.finditer(t)], repr(t)
+
+
+def test_counts_of_pairs_and_fixed_phrases_against_plain_counting(spark, monkeypatch):
+    """Pairs of words, words with a tag, and the pairs that mark fixed phrases; few sentences of many uses, many of few."""
+    import pyarrow as pa
+
+    rnd = random.Random(7)
+    # a fixed pair leads its sentences; now and then it stands in sentences of one or two uses, too
+    rows = {}
+    for h in range(1500):
+        ws = rnd.sample(range(40), rnd.randrange(0, 7))
+        uses = rnd.choice([1, 1, 1, 2, 3, 4, 9])
+        if uses > 2 or rnd.random() < 0.15:
+            ws = [100 + 2 * rnd.randrange(12), 0, *ws]
+            ws[1] = ws[0] + 1
+        rows[h] = (ws, sorted(rnd.sample([5, 6, 7], rnd.randrange(1, 3))), uses)
+    least = 4.0
+    weigh = lambda u: u if u >= least else 1
+    pairs, tagged, fixed, vocab = Counter(), Counter(), {}, Counter()
+    for ws, tags, uses in rows.values():
+        own = sorted(set(ws))
+        vocab.update(own)
+        pairs.update((a, b) for i, a in enumerate(own) for b in own[i + 1 :])
+        tagged.update((a, t) for a in own for t in tags)
+        for p in zip(ws, ws[1:]):
+            u, n = fixed.get(p, (0, 0))
+            fixed[p] = (u + weigh(uses), n + 1)
+    want = sorted(a << 32 | b for (a, b), (u, n) in fixed.items() if u >= subjects.FIXED_USES and n <= subjects.FIXED * u)
+    given = pa.table({"hash": pa.array([h for h, r in rows.items() for _ in r[1]], pa.int64()), "tag": pa.array([t for r in rows.values() for t in r[1]], pa.int64()), "words": pa.array([np.array(r[0], np.int32).tobytes() for r in rows.values() for _ in r[1]], pa.binary()), "uses": pa.array([r[2] if t == r[1][0] else 0 for r in rows.values() for t in r[1]], pa.int64())})
+    once = [r for b in subjects._once_packed(iter(given.to_batches(97)), least, subjects.OFTEN) for r in b.to_pylist()]
+    df = spark.createDataFrame([(r["hash"], r["words"], r["tags"], r["uses"]) for r in once if r["kind"] is None], "hash long, words binary, tags binary, uses long").repartition(3)
+    words = spark.createDataFrame([(r["kind"], r["a"], r["uses"], r["sentences"]) for r in once if r["kind"] is not None], "kind byte, a long, uses long, sentences long")
+    seen = {}
+    monkeypatch.setattr(subjects, "_spread", lambda tags, edges, nodes, examples, total: seen.update(tags=tags.collect(), edges=edges.collect(), total=total) or [])
+    _, got = subjects.model(df, words, None, least)
+    nodes = {a for a, n in vocab.items() if n >= subjects.NODE_SENTENCES}
+    linked = {a for a in nodes if vocab[a] <= max(subjects.COMMON * len(rows), 3)}
+    assert got.tolist() == want and len(want) > 3 and seen["total"] == len(rows)
+    assert sorted((r["a"], r["b"], r["n_ab"], r["n_a"], r["n_b"]) for r in seen["edges"]) == sorted((a, b, n, vocab[a], vocab[b]) for (a, b), n in pairs.items() if {a, b} <= linked and n >= subjects.LEAST)
+    assert seen["edges"] and sorted((r["a"], r["b"], r["posts"]) for r in seen["tags"]) == sorted((a, t, n) for (a, t), n in tagged.items() if a in nodes)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_pairs_of_words_are_not_moved_one_by_one(spark):
+    sc = spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        listed = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {listed.apply(k).stageId(): listed.apply(k).shuffleWriteRecords() for k in range(listed.size())}
+
+    before = stages()
+    df, ex = spark.read.parquet(f"{SF}/stack.parquet"), spark.read.parquet(f"{SF}/subject_examples.parquet")
+    assert subjects.subjects(df, ex).count()
+    moved = sum(n for k, n in stages().items() if k not in before)
+    once = {s for r in df.collect() for s in subjects.sentences(r["text"])}
+    assert moved < 36 * len(once)  # 28 times; 45 times when every pair was a row
+
+
 # --- what goes beyond former limits --------------------------------------------------------------------------------
 def test_common_words_are_keys(spark):
     # a family name that many hold: initials and typed variants still meet, namesakes with other initials don't
